@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import langid, topk
+from pixelloom.llm import flac, langid, secrets, simhash, topk
 from pixelloom.llm._common import table
 
 
@@ -27,9 +27,37 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's bytes, padded to whole blocks, stored as FLAC and read back."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.octet_length(text)
+    full = F.greatest(F.lit(flac.BLOCK), F.ceil(n / flac.BLOCK) * flac.BLOCK)
+    payload = F.concat(text, F.repeat(F.lit(" "), (full - n).cast("int"))).cast("binary")
+    media = flac.write_media(docs.select("doc_id", n.cast("long").alias("n_bytes"), payload.alias("payload")))
+    return flac.media_features(media)
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    n = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(line(F.col("base_spans")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_language_id": op2_language_id,
+    "op3_flac_columns": op3_flac_columns,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLES: dict[str, str] = {
