@@ -186,8 +186,9 @@ def configuration_lp(counts: dict[int, int], capacity: int, rounds: int, slack:
 def plan(counts: dict[int, int], capacity: int, rounds: int = 100) -> Counter[Filling]:
     """Fillings and how many sequences take each; together they hold exactly the histogram.
 
-    The program's fillings are rounded to whole numbers in order of how full they are, for several least
-    fills; what a rounding leaves is packed best-fit, and the rounding with the fewest sequences is taken.
+    The program's fillings are rounded to whole numbers, most used first, for several least fills; what a
+    rounding leaves is packed best-fit, and the rounding with the fewest sequences is taken. Then, while
+    the volume bound is not met, sequences with room left and a share of the others are packed anew.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     if not counts:
@@ -213,6 +214,21 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = 100) -> Counter[Fi
             chosen.update(best_fit({s: n for s, n in left.items() if n > 0}, capacity))
             if best is None or sum(chosen.values()) < sum(best.values()):
                 best = chosen
+    volume = -(-sum(s * n for s, n in counts.items()) // capacity)
+    for share in (0.1, 0.2, 0.3, 0.4, 0.5, 0.5, 0.5, 0.5):
+        if sum(best.values()) <= volume:
+            break
+        rng, kept, left = np.random.default_rng(int(share * 100) + len(best)), Counter(), Counter()
+        for filling, times in sorted(best.items()):
+            full = sum(s * n for s, n in filling) == capacity
+            stay = times - int(rng.binomial(times, share)) if full else 0
+            if stay:
+                kept[filling] += stay
+            for s, n in filling:
+                left[s] += n * (times - stay)
+        kept.update(best_fit({s: n for s, n in left.items() if n > 0}, capacity))
+        if sum(kept.values()) <= sum(best.values()):
+            best = kept
     return best
 
 
