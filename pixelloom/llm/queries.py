@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-import public_tokenizers
 
-from pixelloom.llm import flac, langid, packing, quality, secrets, simhash, tokencount, topk
+from pixelloom.llm import flac, langid, masked_lm, packing, quality, secrets, sentpiece, simhash, tokencount, topk
 from pixelloom.llm._common import table
 
 
@@ -39,6 +39,12 @@ def op3_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_features(media)
 
 
+def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -53,6 +59,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to piece ids and decoded again: token count, and digests of ids and decoded text."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentpiece.digests(sentpiece.decode(sentpiece.encode(table(spark, sf_dir, "documents"), model), model))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document."""
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -73,8 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_language_id": op2_language_id,
     "op3_flac_columns": op3_flac_columns,
+    "op4_masked_lm": op4_masked_lm,
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash": op6_simhash,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_token_counts": op8_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality": op10_quality,
