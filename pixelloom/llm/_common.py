@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +114,16 @@ def keep_share(id_col: Column, share: float, salt: int) -> Column:
     if share >= 1:
         return F.lit(True)
     return F.pmod(F.xxhash64(F.lit(salt), id_col), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+
+
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int = 1 << 20) -> DataFrame:
+    """docs' rows, all columns, whose text `keep` accepts; keep takes the texts' bytes and offsets and gives a mask."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(at))
+            for i, j in slices(offsets, limit):
+                yield batch.slice(i, j - i).filter(pa.array(keep(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
+
+    return docs.mapInArrow(run, docs.schema)

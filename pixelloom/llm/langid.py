@@ -173,3 +173,14 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for i in np.nonzero(~out & (offsets[1:] > offsets[:-1]))[0]:
         out[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
     return out
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is `und` or ambiguous; all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        m: LanguageModel = shared.value
+        return has_letter(data, offsets) & bool(m.langs) & ~m.predict(data, offsets)[2]
+
+    return C.filtered(docs, text_col, keep, SLICE)

@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,29 +33,61 @@ from pixelloom.llm.tokencount import load
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A chunk starts with a run of white space: pre-tokens of byte-level tokenizers never cross into one.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-CACHE = 300_000
+CACHE = 700_000  # chunks; the cache starts anew when full
+SLICE = 1 << 19  # characters of text handled at once
+JOINED = 256  # chunks that are encoded as one string
 _caches: dict[str, dict[str, bytes]] = {}
+_widths: dict[str, np.ndarray] = {}  # bytes that each token stands for
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
+def _encoded(chunks: list[str], path: str) -> list[bytes]:
+    """Each chunk's ids. Chunks that begin with white space and end without it are encoded in joined runs.
+
+    No pre-token crosses from one such chunk into the next, and a byte-level token stands for as many bytes
+    as its name has characters, so the joined ids fall apart again at the chunks' ends.
+    """
+    tok = load(path)
+    if path not in _widths:
+        vocab = tok.get_vocab(with_added_tokens=True)
+        width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            width[i] = len(token)
+        _widths[path] = width
+    joins = [i for i, c in enumerate(chunks) if c[0].isspace() and not c[-1].isspace()]
+    out: list[bytes] = [b""] * len(chunks)
+    alone = sorted(set(range(len(chunks))) - set(joins))
+    for i, e in zip(alone, tok.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False)):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    runs = [joins[i : i + JOINED] for i in range(0, len(joins), JOINED)]
+    for run, e in zip(runs, tok.encode_batch_fast(["".join([chunks[i] for i in run]) for run in runs], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        ends = np.cumsum(_widths[path][ids])
+        sizes = np.cumsum([len(chunks[i].encode()) for i in run])
+        cuts = np.searchsorted(ends, sizes) + 1
+        if (ends[cuts - 1] != sizes).any():
+            raise ValueError(f"{path}: tokens cross white space")
+        raw, at = ids.tobytes(), 0
+        for i, cut in zip(run, (cuts * 4).tolist()):
+            out[i] = raw[at:cut]
+            at = cut
+    return out
+
+
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit numbers; chunks go through a worker cache."""
-    cache, tok = _caches.setdefault(path, {}), load(path)
-    out = []
-    for text in texts:
-        chunks = CHUNK.findall(text)
-        try:
-            out.append(b"".join(map(cache.__getitem__, chunks)))
-            continue
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list(dict.fromkeys(chunks))
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False))}
-        cache.update((c, ids) for c, ids in fresh.items() if len(c) <= 256)
-        out.append(b"".join([fresh[c] if c in fresh else cache[c] for c in chunks]))
+    cache = _caches.setdefault(path, {})
+    cut = [CHUNK.findall(text) for text in texts]
+    new = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in cache]
+    if len(cache) + len(new) > CACHE:
+        cache.clear()
+        new = list(dict.fromkeys(chain.from_iterable(cut)))
+    cache.update(zip(new, _encoded(new, path)))
+    out = [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
+    for c in new:
+        if len(c) > 256:
+            del cache[c]
     return out
 
 
@@ -64,14 +97,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows: list[tuple] = []
-            for doc, text in zip(ids, batch.column(1).to_pylist()):
-                raw = token_ids([text or ""], path)[0] + end
-                n = len(raw) // 4
-                first = (n - 1) % capacity + 1
-                cuts = [0, *range(first, n + 1, capacity)]
-                rows += [(doc, i, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            ids, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
+            for i, j in C.slices(np.concatenate([[0], np.cumsum([len(t) for t in texts])]), SLICE):
+                for doc, raw in zip(ids[i:j], token_ids(texts[i:j], path)):
+                    raw += end
+                    n = len(raw) // 4
+                    first = (n - 1) % capacity + 1
+                    cuts = [0, *range(first, n + 1, capacity)]
+                    rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -246,3 +246,9 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
 
     rows = C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, posterior double, votes string, keep boolean")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """docs without the rows that `classify` rejects; all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return C.filtered(docs, text_col, lambda data, offsets: shared.value.score(data, offsets)[2] >= shared.value.threshold, SLICE)

@@ -253,3 +253,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE, id
     roots = components(near_links(named.where("node is not null"), distance))
     named = named.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 4, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each near-duplicate group: the one of smallest id; all columns.
+
+    Rows of one id count as one document, of which one row stays. Rows with a null id stay.
+    """
+    found = C.stored(near_duplicates(docs, size, distance, id_col, text_col).select("doc_id", "component_id"), "groups")
+    # Only ids travel here; the texts of rows that stay are joined once, against the ids that go.
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated"))
+    if not repeated.limit(1).count():
+        return kept
+    match = kept[id_col] == repeated["_repeated"]
+    return kept.join(repeated, match, "left_anti").unionByName(kept.join(repeated, match, "left_semi").dropDuplicates([id_col]))
