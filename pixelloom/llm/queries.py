@@ -62,7 +62,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to piece ids and decoded again: token count, and digests of ids and decoded text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentpiece.digests(sentpiece.decode(sentpiece.encode(table(spark, sf_dir, "documents"), model), model))
+    got = sentpiece.transcode(table(spark, sf_dir, "documents"), model)
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return got.select("doc_id", n, F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

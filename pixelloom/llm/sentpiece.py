@@ -13,10 +13,8 @@ to the tokenizer, so decoding gives a space for it. Characters without a piece b
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +27,9 @@ from pixelloom.llm import _common as C
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE = 250_000  # chunks; the cache starts anew when full
-TEXT = 1 << 19  # characters that are indexed at once
+ROWS = 500  # texts handled at once
+CACHE = 200_000  # chunks; the cache starts anew when full
+TEXT = 1 << 18  # characters that are indexed at once
 LONG = 256  # longer chunks are relaxed one by one with a heap
 NONE = np.iinfo(np.int64).max
 
@@ -290,47 +289,54 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     return out
 
 
-def decode_ids(ids: list[int], p: Pieces) -> str:
-    raw = b"".join(map(p.raw.__getitem__, ids))
+def decode_ids(ids: bytes | np.ndarray, p: Pieces) -> str:
+    """Text of ids, given as numbers or as little-endian unsigned 32-bit bytes."""
+    numbers = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.asarray(ids)
+    raw = b"".join(map(p.raw.__getitem__, numbers.tolist()))
     return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
+def _id_array(got: list[bytes]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 2000):
-                got = encode_texts(texts[i : i + 2000], path)
-                offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(got)), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+            for i in range(0, batch.num_rows, ROWS):
+                got = encode_texts([t or "" for t in batch.column(1).slice(i, ROWS).to_pylist()], path)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(got)), _id_array(got)], names=["doc_id", "ids"])
 
     return C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and text for every row of doc_id and ids; null ids decode to the empty text."""
+    """doc_id and text for every row of doc_id and ids; null ids decode to the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = load(path)
         for batch in batches:
-            texts = [decode_ids(ids or [], p) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            for i in range(0, batch.num_rows, ROWS):
+                ids = batch.column(1).slice(i, ROWS).fill_null([])
+                cuts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+                flat = ids.flatten().to_numpy(zero_copy_only=False)
+                texts = [decode_ids(flat[a:b], p) for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, ROWS), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids) and decoded_sha256."""
+def transcode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit numbers, as bytes) and decoded (the text those ids stand for), in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = load(path)
         for batch in batches:
-            ids = batch.column(1)
-            flat, cuts = ids.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
-            sha = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(cuts).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
+            for i in range(0, batch.num_rows, ROWS):
+                got = encode_texts([t or "" for t in batch.column(1).slice(i, ROWS).to_pylist()], path)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(got)), pa.array(got, pa.binary()), pa.array([decode_ids(g, p) for g in got], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return decoded.select("doc_id", "ids", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    return C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
