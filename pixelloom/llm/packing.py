@@ -19,7 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +33,12 @@ from pixelloom.llm.tokencount import load
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A chunk starts with a run of white space: pre-tokens of byte-level tokenizers never cross into one.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-CACHE = 700_000  # chunks; the cache starts anew when full
+#: A space before other white space: such texts are cut by CHUNK, at runs of white space.
+RUNS = [" " + c for c in " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+CACHE = 450_000  # chunks; the cache starts anew when full
 SLICE = 1 << 19  # characters of text handled at once
 JOINED = 256  # chunks that are encoded as one string
-_caches: dict[str, dict[str, bytes]] = {}
+_caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}  # chunks as they are, and chunks after a space
 _widths: dict[str, np.ndarray] = {}  # bytes that each token stands for
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
@@ -55,16 +57,16 @@ def _encoded(chunks: list[str], path: str) -> list[bytes]:
         for token, i in vocab.items():
             width[i] = len(token)
         _widths[path] = width
-    joins = [i for i, c in enumerate(chunks) if c[0].isspace() and not c[-1].isspace()]
+    fits = [c[:1].isspace() and not c[-1].isspace() for c in chunks]
+    joins, alone = list(compress(count(), fits)), [i for i, fit in enumerate(fits) if not fit]
     out: list[bytes] = [b""] * len(chunks)
-    alone = sorted(set(range(len(chunks))) - set(joins))
     for i, e in zip(alone, tok.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False)):
         out[i] = np.array(e.ids, "<u4").tobytes()
     runs = [joins[i : i + JOINED] for i in range(0, len(joins), JOINED)]
     for run, e in zip(runs, tok.encode_batch_fast(["".join([chunks[i] for i in run]) for run in runs], add_special_tokens=False)):
         ids = np.array(e.ids, "<u4")
         ends = np.cumsum(_widths[path][ids])
-        sizes = np.cumsum([len(chunks[i].encode()) for i in run])
+        sizes = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in map(chunks.__getitem__, run)])
         cuts = np.searchsorted(ends, sizes) + 1
         if (ends[cuts - 1] != sizes).any():
             raise ValueError(f"{path}: tokens cross white space")
@@ -75,19 +77,58 @@ def _encoded(chunks: list[str], path: str) -> list[bytes]:
     return out
 
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers; chunks go through a worker cache."""
-    cache = _caches.setdefault(path, {})
-    cut = [CHUNK.findall(text) for text in texts]
-    new = [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in cache]
-    if len(cache) + len(new) > CACHE:
+def _trimmed(cache: dict[str, bytes], more: int) -> None:
+    """Make room: what came first is mostly what is common, so the later half goes."""
+    if len(cache) + more > CACHE:
+        kept = dict(islice(cache.items(), CACHE // 2))
         cache.clear()
-        new = list(dict.fromkeys(chain.from_iterable(cut)))
-    cache.update(zip(new, _encoded(new, path)))
-    out = [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
-    for c in new:
-        if len(c) > 256:
-            del cache[c]
+        cache.update(kept)
+
+
+def token_ids(texts: list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers; chunks go through worker caches.
+
+    Texts in which every space stands before a word are cut at the spaces: such a space is alone or ends
+    a run of white space, and goes to the word, so no pre-token crosses the cut. Other texts are cut before
+    each run of white space. Chunks after a lone space are cached without it, all others as they are.
+    """
+    plain, spaced = _caches.setdefault(path, ({}, {}))
+    held: list[tuple[list[str], list, list[int], bool]] = []
+    new_plain: dict[str, bytes] = {}
+    new_spaced: dict[str, bytes] = {}
+    for text in texts:
+        if any(s in text for s in RUNS):
+            keys, first = CHUNK.findall(text), None
+        else:
+            keys = text.split(" ")
+            first = keys[0]
+            keys[0] = ""
+            if first not in plain:
+                new_plain[first] = b""
+        cache, new = (plain, new_plain) if first is None else (spaced, new_spaced)
+        got = list(map(cache.get, keys))
+        missed = [i for i, ids in enumerate(got) if ids is None] if None in got else []
+        if first is not None and missed and missed[0] == 0:
+            del missed[0]
+        for i in missed:
+            new[keys[i]] = b""
+        held.append((keys, got, missed, first))
+    fresh = _encoded([*new_plain, *(" " + k for k in new_spaced)], path)
+    new_plain = dict(zip(new_plain, fresh))
+    new_spaced = dict(zip(new_spaced, fresh[len(new_plain) :]))
+    out = []
+    for keys, got, missed, first in held:
+        new = new_plain if first is None else new_spaced
+        for i in missed:
+            got[i] = new[keys[i]]
+        if first is not None:
+            got[0] = new_plain[first] if first in new_plain else plain[first]
+        out.append(b"".join(got))
+    for cache, new in ((plain, new_plain), (spaced, new_spaced)):
+        _trimmed(cache, len(new))
+        cache.update(new)
+        for k in [k for k in new if len(k) > 256]:
+            del cache[k]
     return out
 
 
