@@ -22,7 +22,7 @@ def auto_window(pixels: DataFrame, keys: list[str], value: Column, stored: Colum
 def _window(low: Column, high: Column) -> tuple[Column, Column]:
     top = F.when(high == low, low + 1.0).otherwise(high)
     center = F.coalesce(low + (top - low) / 2.0, F.lit(128.0))
-    width = F.coalesce(F.greatest(top - low, F.lit(1.0)), F.lit(256.0))
+    width = F.when(low.isNull(), F.lit(256.0)).otherwise(F.greatest(top - low, F.lit(1.0)))  # greatest() skips nulls
     return center.alias("auto_center"), width.alias("auto_width")
 
 
