@@ -69,14 +69,14 @@ def entropy_windows(run: str, window: int, least: float) -> list[tuple[int, int]
     counts: dict[str, int] = {}
     total, out = 0.0, []
     for i, ch in enumerate(run):
-        c = counts.get(ch, 0)
-        total += weight[c + 1] - weight[c]
-        counts[ch] = c + 1
         if i >= window:
             old = run[i - window]
             c = counts[old]
             total += weight[c - 1] - weight[c]
             counts[old] = c - 1
+        c = counts.get(ch, 0)
+        total += weight[c + 1] - weight[c]
+        counts[ch] = c + 1
         if i >= window - 1 and total <= most + 1e-9:
             start, end = i - window + 1, i + 1
             if out and start <= out[-1][1]:
