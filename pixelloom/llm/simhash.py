@@ -263,7 +263,8 @@ def one_of_each(docs: DataFrame, size: int = 4, distance: int = DISTANCE, id_col
     found = C.stored(near_duplicates(docs, size, distance, id_col, text_col).select("doc_id", "component_id"), "groups")
     # Only ids travel here; the texts of rows that stay are joined once, against the ids that go.
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    # The list grows with the corpus, so it is never broadcast.
+    kept = docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated"))
     if not repeated.limit(1).count():
         return kept
