@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import _common as C
 
-BITS = 12
+BITS = 11
 SLICE = 1 << 20
 DAMP = 200  # n-grams added to a text's count, so that short texts lean on their votes
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -109,7 +109,7 @@ class LabelModel:
         return dict(zip(LABELLERS, ((said[:, 0, 0] + said[:, 1, 1]) / np.maximum(said.sum(axis=(1, 2)), 1e-12)).tolist()))
 
 
-def estimate(v: np.ndarray, counts: np.ndarray, trust: float = 0.85, rounds: int = 200) -> LabelModel:
+def estimate(v: np.ndarray, counts: np.ndarray, trust: float = 0.95, rounds: int = 200) -> LabelModel:
     """Expectation-maximisation over vote patterns, begun by taking any bad vote at its word.
 
     Kinds of bad text hardly overlap, so most labellers call most bad texts good, and the votes alone would
@@ -165,12 +165,14 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.
     return [two.astype(np.int64), three.astype(np.int64) + (1 << BITS)], starts, n + DAMP
 
 
-def _train(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def _train(x: np.ndarray, y: np.ndarray, rounds: int = 300, gram_decay: float = 1e-2, vote_decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Adam; both sides weigh the same. Returns weights for x as given."""
-    scale = np.sqrt((x * x).mean(axis=0)) + 1e-5
-    x = x / scale.astype(np.float32)
+    # The floor, and the stronger decay of n-gram weights, keep n-grams that a text which repeats itself holds in excess from outweighing votes.
+    scale = np.maximum(np.sqrt((x * x).mean(axis=0)), 0.01).astype(np.float32)
+    x /= scale
     side = np.where(y > 0.5, 0.5 / max((y > 0.5).sum(), 1), 0.5 / max((y <= 0.5).sum(), 1))
     w, b = np.zeros(x.shape[1]), 0.0
+    decay = np.where(np.arange(x.shape[1]) < 2 << BITS, gram_decay, vote_decay)
     m, s = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + b, -30, 30)))
@@ -182,7 +184,7 @@ def _train(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float = 1e-3)
     return w / scale, float(b)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1500, threshold: float = 0.2) -> QualityModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1000, threshold: float = 0.2) -> QualityModel:
     """The label model from all texts' votes, and the scorer from a bounded sample labelled by it."""
     spark = docs.sparkSession
     texts = docs.select(docs[text_col].cast("string").alias("text"), (F.pmod(F.xxhash64(F.lit(21), docs[id_col]), F.lit(1 << 30)) / F.lit(1 << 30)).alias("pick")).where("text is not null and text <> ''")
@@ -225,7 +227,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cla
     y = np.array([r["y"] for r in rows])
     if not len(y) or (y > 0.5).all() or (y <= 0.5).all():
         return QualityModel(labels, None, None, 0.0, threshold)
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(len(rows), -1)
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
+    del rows
     w, b = _train(x, y)
     grams = 2 << BITS
     return QualityModel(labels, w[:grams].astype(np.float32)[:, None], w[grams:], b, threshold)

@@ -116,7 +116,7 @@ def test_posterior_by_hand():
     v = np.array([[quality.GOOD] * 8, [quality.BAD] + [quality.GOOD] * 7])
     model = quality.estimate(v, np.array([90.0, 10.0]))
     p = model.posterior(v)
-    assert p[0] > 0.9 and p[1] <= 0.15 + 1e-12
+    assert p[0] > 0.9 and p[1] <= 0.05 + 1e-12
     assert quality.unpacked(quality.packed(v)).tolist() == v.tolist()
 
 
