@@ -124,18 +124,3 @@ def described(e: Column) -> Column:
     from pixelloom.functions.dictionaries import tag_text
 
     return F.concat(tag_text(e["tag"]), F.lit(" "), e["vr"], F.lit(" ["), e["value_length"].cast("string"), F.lit(" bytes] -> "), as_string(e))
-
-
-#: Value representations of bytes that are no text; their text is only made where it is asked for.
-BYTES = ["OB", "OD", "OF", "OL", "OW", "SQ", "UN"]
-
-
-def decoded(e: Column) -> Column:
-    """The element with its value decoded once: text, whole (as_int), decimal (as_double) and decimals (as_double_list).
-
-    Values of byte VRs (pixels, tables, sequences) stay bytes: all four are null.
-    """
-    bulk = e["vr"].isin(BYTES)
-    read = lambda f: F.when(~bulk, f(e))
-    kept = ("ordinal", "tag", "vr", "value_length", "value_bytes", "is_little_endian", "encapsulated")
-    return F.struct(*(e[c].alias(c) for c in kept), read(as_string).alias("text"), read(as_int).alias("whole"), read(as_double).alias("decimal"), read(as_double_list).alias("decimals"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import values as V
 from pixelloom.functions.dictionaries import EXPLICIT_LE, TAG, clean_uid
+from pixelloom.session import once
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -22,13 +23,13 @@ def last_wins_ranked(rows: DataFrame, keys: list[str], order: list[str]) -> Data
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def dataset_of(elements: Column) -> Column:
-    """map<tag, element> of the last element of each tag, values decoded: getters then only pick fields."""
-    return F.map_from_entries(F.transform(F.filter(elements, lambda e: e["is_last"]), lambda e: F.struct(e["tag"], V.decoded(e))))
+def dataset_of(elements: str) -> Column:
+    """map<tag, element> of the last element of each tag; values are decoded once, at parsing, and getters only pick fields."""
+    return F.expr(f"map_from_entries(transform(filter({elements}, e -> e.is_last), e -> struct(e.tag, e)))")
 
 
 def with_dataset(parsed: DataFrame) -> DataFrame:
-    return parsed.withColumn("dataset", dataset_of(F.col("elements")))
+    return parsed.withColumn("dataset", dataset_of("elements"))
 
 
 def element(dataset: Column, keyword: str) -> Column:
@@ -69,8 +70,10 @@ def pixel_spacing(items: Column) -> Column:
     return F.when((F.size(items) == 2) & ~F.exists(numbers, lambda x: x.isNull()), numbers)
 
 
-def getters(d: Column) -> dict[str, Column]:
-    """Every typed getter of a data set map, by name."""
+@once
+def getters(column: str = "dataset") -> dict[str, Column]:
+    """Every typed getter of the data set map in `column`, by name."""
+    d = F.col(column)
     pixels = element(d, "PixelData")
     bits_allocated = get_int(d, "BitsAllocated", 16)
     bits_stored = get_int(d, "BitsStored", bits_allocated)
@@ -105,5 +108,5 @@ def getters(d: Column) -> dict[str, Column]:
 def instances(parsed: DataFrame, names: list[str] | None = None) -> DataFrame:
     """file_id, the getters (all, or those named) and error: one narrow projection."""
     rows = with_dataset(parsed)
-    found = getters(F.col("dataset"))
+    found = getters()
     return rows.select("file_id", *(found[n].alias(n) for n in names or found), "error")

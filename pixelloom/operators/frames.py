@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.errors import FORMAT, RANGE, STATE, UNSUPPORTED, error, first_error
 from pixelloom.functions.dictionaries import RLE, is_encapsulated, syntax_name
+from pixelloom.session import once
 
 #: What a frame needs of its instance.
 NEEDS = ["transfer_syntax_uid", "number_of_frames", "rows", "columns", "samples_per_pixel", "bits_allocated", "encapsulated_data", "pixel_data_bytes"]
@@ -66,16 +67,10 @@ def presence_error(wrapped: Column, data: Column) -> Column:
     return first_error((wrapped.isNull() & data.isNull(), absent), (F.size(wrapped["fragments"]) == 0, empty), (wrapped.isNull() & (F.octet_length(data) == 0), absent))
 
 
-def extract(instances: DataFrame, index: Column | None = None) -> DataFrame:
-    """A row for each frame: instances' columns (without the pixel bytes), frame_index, payload and error.
-
-    With `index` (a column or literal) only that frame, whether it exists or not; the choice comes before
-    any bytes are cut. An instance's own error stays.
-    """
-    frames, wrapped, data, uid = (F.col(c) for c in ("number_of_frames", "encapsulated_data", "pixel_data_bytes", "transfer_syntax_uid"))
-    every = F.sequence(F.lit(0).cast("bigint"), F.greatest(frames, F.lit(1)) - 1)
-    rows = instances.withColumn("frame_index", F.explode(every) if index is None else index.cast("bigint"))
-    at = F.col("frame_index")
+@once
+def _checks_and_payload() -> tuple[Column, Column]:
+    """The error of frame `frame_index` (its instance's own error first), and its bytes; over the columns in NEEDS."""
+    frames, wrapped, data, uid, at = (F.col(c) for c in ("number_of_frames", "encapsulated_data", "pixel_data_bytes", "transfer_syntax_uid", "frame_index"))
     rle = uid == RLE
     fragments = wrapped["fragments"]
     size = frame_bytes(*(F.col(c) for c in ("rows", "columns", "samples_per_pixel", "bits_allocated")))
@@ -99,6 +94,17 @@ def extract(instances: DataFrame, index: Column | None = None) -> DataFrame:
         (~rle & late.isNotNull(), late),
     )
     one = F.when(frames == 1, F.when(F.size(fragments) == 1, F.get(fragments, F.lit(0))["payload"]).otherwise(flat_bytes(fragments))).otherwise(F.get(fragments, at.cast("int"))["payload"])
-    rows = rows.withColumn("_error", found)
-    payload = F.when(F.col("_error").isNull(), F.when(rle, one).otherwise(plain))
-    return rows.withColumn("payload", payload).withColumn("error", F.col("_error")).drop("_error", "encapsulated_data", "pixel_data_bytes")
+    return found, F.when(F.col("_error").isNull(), F.when(rle, one).otherwise(plain))
+
+
+def extract(instances: DataFrame, index: Column | None = None) -> DataFrame:
+    """A row for each frame: instances' columns (without the pixel bytes), frame_index, payload and error.
+
+    With `index` (a column or literal) only that frame, whether it exists or not; the choice comes before
+    any bytes are cut. An instance's own error stays.
+    """
+    every = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("number_of_frames"), F.lit(1)) - 1)
+    found, payload = _checks_and_payload()
+    rows = instances.select("*", (F.explode(every) if index is None else index.cast("bigint")).alias("frame_index")).select("*", found.alias("_error"))
+    kept = [c for c in instances.columns if c not in ("encapsulated_data", "pixel_data_bytes", "error")]
+    return rows.select(*kept, "frame_index", payload.alias("payload"), F.col("_error").alias("error"))

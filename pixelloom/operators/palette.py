@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pixelloom.errors import FORMAT, UNSUPPORTED, error, first_error
 from pixelloom.functions import values as V
 from pixelloom.functions.dictionaries import tag_text
-from pixelloom.operators.dataset import element
+from pixelloom.operators.dataset import element, getters
+from pixelloom.session import once
 
 CHANNELS = ("Red", "Green", "Blue")
 
@@ -33,8 +34,11 @@ def entries(e: Column, d: Column) -> Column:
     return F.when(d["bits"] == 8, F.substring(e["value_bytes"], F.lit(1), d["n"])).otherwise(F.unhex(F.array_join(words, "")))
 
 
-def palette(dataset: Column, signed_pixels: Column) -> tuple[Column, Column]:
-    """struct<n, first, bits, r, g, b> and the error of the first check that fails."""
+@once
+def palette(column: str = "dataset") -> tuple[Column, Column]:
+    """struct<n, first, bits, r, g, b> of the data set map in `column`, and the error of the first check that fails."""
+    dataset = F.col(column)
+    signed_pixels = getters(column)["is_signed"]
     tables = {c: element(dataset, _name(c, "Data")) for c in CHANNELS}
     described = {c: element(dataset, _name(c, "Descriptor")) for c in CHANNELS}
     parsed = {c: descriptor(described[c], signed_pixels) for c in CHANNELS}

@@ -112,8 +112,8 @@ def rgba(stored: np.ndarray, f: dict, center: float | None = None, width: float
 def frames_of(parsed: DataFrame, index: Column | None = None) -> DataFrame:
     """Frames of parsed files with all that rendering needs; pass `index` to cut no other frame."""
     rows = with_dataset(parsed)
-    found = getters(F.col("dataset"))
-    table, failed = palette(F.col("dataset"), found["is_signed"])
+    found = getters()
+    table, failed = palette("dataset")
     coloured = D.photometric(found["photometric_interpretation"]) == "paletteColor"
     rows = rows.select("file_id", *(found[n].alias(n) for n in dict.fromkeys([*NEEDS, *INFO])), F.when(coloured, table).alias("palette"), F.when(coloured, failed).alias("palette_error"), "error")
     return extract(rows, index)

@@ -39,10 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id and stored (64 samples)."""
+def stored(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """vec_id, stored (64 samples) and more of the table's columns."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint")).alias("stored"))
+    return e.select("vec_id", *more, F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint")).alias("stored"))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,9 +371,14 @@ def _write(row: dict) -> bytes:
     return writer.part10(values_, syntax, writer.packed_int16(row["stored"], syntax != D.EXPLICIT_BE))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores: a small table is one split, and what is made of each row is costly. Larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
-    return writer.write_instances(rows, _write, "vec_id")
+    return writer.write_instances(spread(stored(spark, sf_dir, "label")), _write, "vec_id")
 
 
 @query(
@@ -459,7 +464,7 @@ def color_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = bytes(v % 256 for v in row["stored"][:63])
         return writer.part10({"Rows": 3, "Columns": 7, "SamplesPerPixel": 3, "PlanarConfiguration": row["vec_id"] % 2, "PhotometricInterpretation": "RGB", "BitsAllocated": 8}, pixel_data=data)
 
-    shown = render.render(render.frames_of(dicom.parse_files(writer.write_instances(stored(spark, sf_dir), build, "vec_id"))))
+    shown = render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id"))))
     channels = F.arrays_zip(*(_bytes(F.substring("rgba", k + 1, 1 << 20), 4).alias(c) for k, c in enumerate("rgb")))
     return shown.select("file_id", F.posexplode(F.slice(channels, 1, 21)).alias("i", "c")).select("file_id", "i", "c.r", "c.g", "c.b")
 
@@ -478,7 +483,7 @@ def palette_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         described = {f"{c}PaletteColorLookupTableDescriptor": [100, 50, 16 if wide else 8] for c in ("Red", "Green", "Blue")}
         return writer.part10({"Rows": 8, "Columns": 8, "PhotometricInterpretation": "PALETTE COLOR", "BitsAllocated": 8, **tables, **described}, pixel_data=bytes(v % 256 for v in row["stored"]))
 
-    shown = render.render(render.frames_of(dicom.parse_files(writer.write_instances(stored(spark, sf_dir), build, "vec_id"))))
+    shown = render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id"))))
     channels = F.arrays_zip(*(_bytes(F.substring("rgba", k + 1, 1 << 20), 4).alias(c) for k, c in enumerate("rgb")))
     return shown.select("file_id", F.posexplode(F.slice(channels, 1, 64)).alias("i", "c")).select("file_id", "i", "c.r", "c.g", "c.b")
 
@@ -498,5 +503,5 @@ def multi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         offsets = [sum(len(p) + len(p) % 2 + 8 for p in parts[:i]) for i in range(4)]
         return writer.part10(head, D.RLE, wrapped=writer.encapsulated(parts, offsets))
 
-    rows = render.pixels_of(render.decode(render.frames_of(dicom.parse_files(writer.write_instances(stored(spark, sf_dir), build, "vec_id")))))
+    rows = render.pixels_of(render.decode(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id")))))
     return rows.select("file_id", "frame_index", F.col("i").alias("k"), "stored")

@@ -5,10 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
+from functools import wraps
 from pathlib import Path
+from typing import TypeVar
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
 _shipped: set[str] = set()
 
 
@@ -35,3 +41,21 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
     spark = builder.getOrCreate()
     ship(spark)
     return spark
+
+
+def once(build: Callable[..., T]) -> Callable[..., T]:
+    """Keep what `build` makes of its arguments for as long as the session's JVM lives.
+
+    For expressions over fixed column names: making one takes hundreds of calls into the JVM, and it never changes.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        gateway = SparkContext._gateway
+        key = (id(gateway), args)
+        if key not in kept:
+            kept[key] = (gateway, build(*args))
+        return kept[key][1]
+
+    return get

@@ -13,11 +13,11 @@ from pixelloom.sources import part10
 
 FRAGMENT = "struct<index: int, relative_tag_start: bigint, payload: binary>"
 ENCAPSULATED = f"struct<bot_offsets: array<bigint>, fragments: array<{FRAGMENT}>>"
-ELEMENT = f"struct<ordinal: int, tag: bigint, vr: string, value_length: bigint, value_bytes: binary, is_little_endian: boolean, is_last: boolean, encapsulated: {ENCAPSULATED}>"
+ELEMENT = f"struct<ordinal: int, tag: bigint, vr: string, value_length: bigint, value_bytes: binary, is_little_endian: boolean, is_last: boolean, text: string, whole: bigint, decimal: double, decimals: array<double>, encapsulated: {ENCAPSULATED}>"
 PARSED = f"file_id string, elements array<{ELEMENT}>, error struct<kind: string, message: string>"
 _FRAGMENT = pa.struct([("index", pa.int32()), ("relative_tag_start", pa.int64()), ("payload", pa.binary())])
 _ENCAPSULATED = pa.struct([("bot_offsets", pa.list_(pa.int64())), ("fragments", pa.list_(_FRAGMENT))])
-_ELEMENT = pa.struct([("ordinal", pa.int32()), ("tag", pa.int64()), ("vr", pa.string()), ("value_length", pa.int64()), ("value_bytes", pa.binary()), ("is_little_endian", pa.bool_()), ("is_last", pa.bool_()), ("encapsulated", _ENCAPSULATED)])
+_ELEMENT = pa.struct([("ordinal", pa.int32()), ("tag", pa.int64()), ("vr", pa.string()), ("value_length", pa.int64()), ("value_bytes", pa.binary()), ("is_little_endian", pa.bool_()), ("is_last", pa.bool_()), ("text", pa.string()), ("whole", pa.int64()), ("decimal", pa.float64()), ("decimals", pa.list_(pa.float64())), ("encapsulated", _ENCAPSULATED)])
 _ERROR = pa.struct([("kind", pa.string()), ("message", pa.string())])
 
 
@@ -50,7 +50,7 @@ def parse_files(files: DataFrame, tags: Sequence[int] | None = None, pixels: boo
                 except ImageError as e:
                     found, failed = [], e.row()
                 last = {e.tag: i for i, e in enumerate(found)}
-                elements.append([{**vars(e), "ordinal": i, "is_last": last[e.tag] == i} for i, e in enumerate(found) if wanted is None or e.tag in wanted])
+                elements.append([{**vars(e), **part10.decoded(e), "ordinal": i, "is_last": last[e.tag] == i} for i, e in enumerate(found) if wanted is None or e.tag in wanted])
                 errors.append(failed)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(elements, pa.list_(_ELEMENT)), pa.array(errors, _ERROR)], names=["file_id", "elements", "error"])
 
@@ -59,6 +59,6 @@ def parse_files(files: DataFrame, tags: Sequence[int] | None = None, pixels: boo
 
 
 def element_rows(parsed: DataFrame) -> DataFrame:
-    """The long form: a row for each file and element, with group and element number."""
+    """The long form: a row for each file and element, with group and element number, and its decoded values."""
     rows = parsed.select("file_id", F.inline("elements"))
     return rows.withColumn("group", F.shiftright("tag", 16).cast("int")).withColumn("element", F.col("tag").bitwiseAND(F.lit(0xFFFF)).cast("int"))

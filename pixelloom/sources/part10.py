@@ -7,6 +7,7 @@ little endian, whatever the data set's transfer syntax.
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass, field
 
@@ -20,6 +21,17 @@ _KNOWN, _LONG, _LONGER = set(VRS), set(LONG_VRS), set(LONGER_VRS)
 _SYNTAX = {uid: (explicit, little) for uid, _, explicit, little, _ in SYNTAXES}
 
 
+#: What counts as white space at a value's ends (Unicode white space and U+FEFF).
+BLANKS = "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Value representations of bytes that are no text; their text is only made where it is asked for.
+BYTES = frozenset(("OB", "OD", "OF", "OL", "OW", "SQ", "UN"))
+NUMBERS = {"US": ("H", 2), "UL": ("I", 4), "SS": ("h", 2), "SL": ("i", 4), "FL": ("f", 4), "FD": ("d", 8)}
+DECIMAL = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
+INTEGER = re.compile(r"[+-]?[0-9]+")
+HEXADECIMAL = re.compile(r"[+-]?0[xX][0-9a-fA-F]{1,15}")
+WORDS = {"NaN": float("nan"), "Infinity": float("inf"), "+Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
 @dataclass
 class Element:
     tag: int
@@ -30,6 +42,50 @@ class Element:
     encapsulated: dict | None = None
 
 
+def text_of(value: bytes) -> str:
+    """Bytes as text: malformed UTF-8 replaced, ends trimmed, NULs dropped, ends trimmed again."""
+    return value.decode("utf-8", "replace").strip(BLANKS).replace("\0", "").strip(BLANKS)
+
+
+def decimal_of(s: str) -> float | None:
+    s = s.strip(BLANKS)
+    return float(s) if DECIMAL.fullmatch(s) else WORDS.get(s)
+
+
+def whole_of(s: str) -> int | None:
+    s = s.strip(BLANKS)
+    n = int(s) if INTEGER.fullmatch(s) else int(s, 16) if HEXADECIMAL.fullmatch(s) else None
+    return n if n is not None and -(1 << 63) <= n < 1 << 63 else None
+
+
+def decoded(e: Element) -> dict:
+    """The element's value as text, whole number, decimal number and list of decimal numbers; all null for byte VRs.
+
+    The same as the column functions as_string, as_int, as_double and as_double_list give.
+    """
+    if e.vr in BYTES:
+        return {"text": None, "whole": None, "decimal": None, "decimals": None}
+    value, text = e.value_bytes, text_of(e.value_bytes)
+    decimals = [x for x in map(decimal_of, text.split("\\")) if x is not None] if text else []
+    whole = decimal = None
+    if e.vr in NUMBERS:
+        code, size = NUMBERS[e.vr]
+        if len(value) >= size:
+            (n,) = struct.unpack_from(("<" if e.is_little_endian else ">") + code, value)
+            whole, decimal = (None, n) if code in "fd" else (n, None)
+    first = text.split("\\", 1)[0]
+    if value and whole is None and e.vr not in ("US", "UL", "SS", "SL"):
+        if e.vr in ("IS", "DS", "CS", "SH", "LO"):
+            whole = whole_of(first)
+            if whole is None and (d := decimal_of(first)) is not None and abs(d) < 9.2e18:
+                whole = int(d)
+        else:
+            whole = whole_of(text)
+    if value and decimal is None and e.vr not in ("FL", "FD"):
+        decimal = decimal_of(first if e.vr in ("DS", "IS") else text)
+    return {"text": text, "whole": whole, "decimal": decimal, "decimals": decimals}
+
+
 @dataclass
 class _Reader:
     data: memoryview
@@ -138,10 +194,6 @@ def implicit_vr(tag: int) -> str:
     return DICTIONARY[tag][0] if tag in DICTIONARY else "UL" if not tag & 0xFFFF else "UN"
 
 
-def uid_text(value: bytes) -> str:
-    return value.decode("utf-8", "replace").strip().replace("\0", "").strip()
-
-
 def parse(content: bytes, pixels: bool = True) -> list[Element]:
     """The file's elements. Without `pixels` parsing stops at the pixel data, which is left out."""
     n = len(content)
@@ -177,7 +229,7 @@ def parse(content: bytes, pixels: bool = True) -> list[Element]:
         r.at += len(value)
         r.elements.append(Element(tag, vr, length, value, little))
         if tag == SYNTAX_UID:
-            r.explicit, r.little = _SYNTAX.get(uid_text(value), (True, True))
+            r.explicit, r.little = _SYNTAX.get(text_of(value), (True, True))
     return r.elements
 
 

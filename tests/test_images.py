@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from pixelloom.functions import dictionaries as D
-from pixelloom.functions import pixels
+from pixelloom.functions import pixels, values
 from pixelloom.operators import dataset, render, rle, windowing
 from pixelloom.sources import dicom
 from pixelloom.sources.writer import encapsulated, packed_int16, part10
@@ -211,3 +211,16 @@ def test_files_from_a_folder(spark, tmp_path):
     run = dataset.instances(stream, ["rows"]).writeStream.format("memory").queryName("files").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("files").count() == 1
+
+
+def test_values_decoded_at_parsing_equal_the_column_functions(spark):
+    texts = ["", " 12 ", "0045", "12.7", "-3.9\\4", "0x1F", "ABC", "NaN", "Infinity", "1e3", "1.5f", "40\\x\\800", "9" * 25, "\0 A \0", "é﻿", "5.", " \\2"]
+    rows = [(0x00091000 + i, vr, t.encode()) for i, (vr, t) in enumerate((vr, t) for vr in ("DS", "IS", "LO", "CS", "AE", "UT", "PN") for t in texts)]
+    rows += [(0x000B1000 + i, vr, bytes(range(200, 200 + n))) for i, (vr, n) in enumerate((vr, n) for vr in ("US", "UL", "SS", "SL", "FL", "FD") for n in (0, 2, 4, 8))]
+    for syntax in (D.EXPLICIT_LE, D.EXPLICIT_BE):
+        got = dicom.element_rows(parsed(spark, part10(rows, syntax)))
+        e = F.struct("tag", "vr", "value_length", "value_bytes", "is_little_endian")
+        both = got.select("vr", "text", "whole", "decimal", "decimals", values.as_string(e).alias("a"), values.as_int(e).alias("b"), values.as_double(e).alias("c"), values.as_double_list(e).alias("d")).collect()
+        assert len(both) == len(rows) + 1
+        for r in both:
+            assert str(r[1:5]) == str(r[5:9]), r
