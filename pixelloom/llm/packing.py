@@ -331,10 +331,9 @@ def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 100, group_rows: in
     spark = cut.sparkSession
     counts = {r["length"]: r["count"] for r in cut.where(F.col("length") < capacity).groupBy("length").count().collect()}  # at most capacity - 1 rows
     where = spark.sparkContext.broadcast(places(plan(counts, capacity, rounds)))
-    groups = F.lit(1)
-    busy = {s: -(-n // group_rows) for s, n in counts.items() if n > group_rows}
-    if busy:
-        groups = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in busy.items() for x in kv]), F.col("length")), F.lit(1))
+    # An array by length, so that a row's lookup costs the same for any number of busy lengths.
+    share = ",".join(str(max(1, -(-counts.get(s, 0) // group_rows))) for s in range(capacity + 1))
+    groups = F.get(F.expr(f"array({share})"), F.col("length").cast("int"))
     salted = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), groups).cast("int"))
     # Full pieces: each is a sequence; its number only has to differ from all others.
     full = cut.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
