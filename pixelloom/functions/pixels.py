@@ -91,3 +91,14 @@ def is_padding(stored: Column, value: Column, limit: Column) -> Column:
     """Whether a stored value lies in the padding range; false without a padding value."""
     end = F.coalesce(limit, value)
     return F.coalesce((stored >= F.least(value, end)) & (stored <= F.greatest(value, end)), F.lit(False))
+
+
+def gray_at(values: Column, i: Column, center: Column, width: Column, invert: Column) -> Column:
+    """Gray of pixel i of a frame's rescaled values; a pixel without a value counts as 0.0, which is not rescaled."""
+    gray = voi_window(F.coalesce(F.get(values, i.cast("int")), F.lit(0.0)), center, width)
+    return F.when(invert, inverted(gray)).otherwise(gray)
+
+
+def pixel_info(rows: Column, columns: Column, samples: Column, bits_allocated: Column, bits_stored: Column, high_bit: Column) -> Column:
+    """struct of a frame's layout with total_pixels and frame_bytes."""
+    return F.struct(rows.alias("rows"), columns.alias("columns"), samples.alias("samples_per_pixel"), bits_allocated.alias("bits_allocated"), bits_stored.alias("bits_stored"), high_bit.alias("high_bit"), (rows * columns).alias("total_pixels"), (rows * columns * samples * F.floor((bits_allocated + 7) / 8)).alias("frame_bytes"))

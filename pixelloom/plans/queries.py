@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import dictionaries as D
 from pixelloom.functions import display, pixels, values
-from pixelloom.operators import dataset, frames, render, rle, windowing
+from pixelloom.operators import dataset, frames, palette, render, rle, windowing
 from pixelloom.sources import dicom, writer
 from pixelloom.streaming import interaction
 
@@ -505,3 +505,108 @@ def multi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = render.pixels_of(render.decode(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id")))))
     return rows.select("file_id", "frame_index", F.col("i").alias("k"), "stored")
+
+
+@query(
+    f"""WITH {SAMPLES}, u AS (SELECT vec_id, i, ((stored % 65536) + 65536) % 65536 AS u FROM p WHERE i < 60)
+    SELECT vec_id, i, u % 256 AS bits8, CASE WHEN i < 59 THEN u ELSE 0 END AS little16, u AS big16, CASE WHEN i < 30 THEN u * 65536 + u ELSE 0 END AS little32 FROM u"""
+)
+def pixel_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of 8, 16 and 32 bits from binary columns, both byte orders; short data is filled with zeros."""
+    rows = stored(spark, sf_dir).select("vec_id", F.slice(F.transform("stored", lambda x: F.pmod(x, F.lit(65536))), 1, 60).alias("u"))
+    words = lambda f: F.unhex(F.array_join(F.transform("u", f), ""))
+    high, low = (lambda x: F.lpad(F.hex(F.shiftright(x, 8)), 2, "0")), (lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0"))
+    rows = rows.select("vec_id", words(low).alias("b8"), words(lambda x: F.concat(low(x), high(x))).alias("l16"), words(lambda x: F.concat(high(x), low(x))).alias("b16"))
+    read = lambda c, bits, little: pixels.stored_values(c, F.lit(60), bits, F.lit(little))
+    # 32-bit samples: each 16-bit word doubled, for the first 30 samples' worth of bytes.
+    doubled = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.repeat(F.substring(F.hex("l16"), i * 4 + 1, F.lit(4)), 2)), ""))
+    wide = rows.select("vec_id", read(F.col("b8"), 8, True).alias("bits8"), read(F.substring("l16", 1, 119), 16, True).alias("little16"), read(F.col("b16"), 16, False).alias("big16"), read(doubled, 32, True).alias("little32"))
+    out = wide.select("vec_id", F.posexplode(F.arrays_zip("bits8", "little16", "big16", "little32")).alias("i", "x"))
+    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), "x.bits8", "x.little16", "x.big16", "x.little32")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 65536 ELSE p_size % 5 END AS n, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey % 32768 AS BIGINT) - 32768 ELSE CAST(p_partkey % 32768 AS BIGINT) + 32768 END AS "first",
+    CASE WHEN p_size % 2 = 0 THEN 8 ELSE 16 END AS bits FROM part"""
+)
+def palette_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptors of US and SS elements, both byte orders."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    word = lambda x: F.lpad(F.hex(x), 4, "0")
+    turned = lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))
+    numbers = (size % 5, key % 32768 + 32768, F.when(size % 2 == 0, F.lit(8)).otherwise(F.lit(16)))
+    little = key % 3 == 0
+    value = F.unhex(F.concat(*[F.when(little, turned(word(x))).otherwise(word(x)) for x in numbers]))
+    e = F.struct(F.when(key % 2 == 0, F.lit("SS")).otherwise(F.lit("US")).alias("vr"), value.alias("value_bytes"), little.alias("is_little_endian"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(F.array(palette.descriptor(e, F.lit(False)))))
+
+
+@query("SELECT p_partkey, p_partkey % 5 <> 4 AS compressed FROM part")
+def compression_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By first bytes, else by transfer syntax."""
+    v = F.col("p_partkey") % 5
+    head = F.unhex(F.when(v == 0, F.lit("FF4F0000")).when(v == 1, F.lit("0000000C6A50")).when(v == 2, F.lit("FFD8")).otherwise(F.lit("0102")))
+    uid = F.when(v == 3, F.lit("1.2.840.10008.1.2.1.99")).otherwise(F.lit(D.EXPLICIT_LE))
+    return table(spark, sf_dir, "part").select("p_partkey", frames.looks_compressed(head, uid).alias("compressed"))
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size - 25 < 0 OR (p_partkey % 7 > 0 AND p_size - 25 >= p_partkey % 7) THEN 'Invalid frameIndex ' || (p_size - 25) || ' (total frames: ' || (p_partkey % 7) || ').' END AS message FROM part"""
+)
+def frame_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", frames.range_error(F.col("p_size") - 25, F.col("p_partkey") % 7)["message"].alias("message"))
+
+
+@query("SELECT p_partkey, '(0028,' || printf('%04X', p_partkey % 65536) || ') LO [' || (length(p_name) + 1) || ' bytes] -> ' || p_name AS line, CASE WHEN p_partkey % 2 = 0 THEN 'Error rendering image:' || chr(10) || p_brand ELSE p_name END AS overlay FROM part")
+def element_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements as lines of text, and overlays that an error replaces."""
+    raw = F.concat("p_name", F.lit(" ")).cast("binary")
+    e = F.struct(D.tag_of(F.lit(0x0028), F.col("p_partkey") % 65536).alias("tag"), F.lit("LO").alias("vr"), F.octet_length(raw).cast("bigint").alias("value_length"), raw.alias("value_bytes"), F.lit(True).alias("is_little_endian"))
+    failed = F.when(F.col("p_partkey") % 2 == 0, F.struct(F.lit("StateError").alias("kind"), F.col("p_brand").alias("message")))
+    return table(spark, sf_dir, "part").select("p_partkey", values.described(e).alias("line"), display.overlay_or_error(F.col("p_name"), failed).alias("overlay"))
+
+
+@query(
+    f"""WITH {STORED}, x AS (SELECT vec_id, CAST(unnest(range(70)) AS BIGINT) AS i, stored FROM s), v AS (SELECT vec_id, i, coalesce(stored[i + 1] * 2.0::DOUBLE + 5.0::DOUBLE, 0.0::DOUBLE) AS v FROM x), g AS (SELECT vec_id, i, {window_sql('v', '10.0::DOUBLE', '500.0::DOUBLE')} AS gray FROM v)
+    SELECT vec_id, i, CASE WHEN vec_id % 2 = 0 THEN 255 - gray ELSE gray END AS gray FROM g"""
+)
+def monochrome_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 70 pixels with 64 values."""
+    rows = stored(spark, sf_dir).select("vec_id", F.transform("stored", lambda x: pixels.rescaled(x, F.lit(2.0), F.lit(5.0))).alias("v"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(69).cast("bigint"))).alias("i"))
+    return rows.select("vec_id", "i", pixels.gray_at(F.col("v"), F.col("i"), F.lit(10.0), F.lit(500.0), F.col("vec_id") % 2 == 0).alias("gray"))
+
+
+@query(
+    """SELECT CAST(vec_id AS VARCHAR) AS file_id, CAST(8 AS BIGINT) AS "rows", CAST(12 AS BIGINT) AS bits_stored, CAST(11 AS BIGINT) AS high_bit, CAST(64 AS BIGINT) AS total_pixels, CAST(128 AS BIGINT) AS frame_bytes FROM embeddings"""
+)
+def pixel_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["rows", "columns", "samples_per_pixel", "bits_allocated", "bits_stored", "high_bit"]
+    rows = dataset.instances(dicom.parse_files(_files(spark, sf_dir), pixels=False), names)
+    info = pixels.pixel_info(*(F.col(n) for n in names))
+    return rows.select("file_id", info.alias("x")).select("file_id", "x.rows", "x.bits_stored", "x.high_bit", "x.total_pixels", "x.frame_bytes")
+
+
+@query(
+    """SELECT p_partkey, CASE WHEN p_size < 8 THEN 'Invalid DICOM file: Data length is less than 8 bytes.' WHEN p_partkey % 2 = 0 THEN 'Invalid DICOM file: Truncated or missing DICM header (' || p_size || ' bytes).' END AS message,
+    p_size >= 8 AND p_partkey % 2 = 1 AS marked FROM part"""
+)
+def input_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and marker checks as expressions."""
+    size = F.col("p_size")
+    content = F.when((size >= 8) & (F.col("p_partkey") % 2 == 1), F.concat(F.repeat(F.lit("x"), 128), F.lit("DICM"))).otherwise(F.repeat(F.lit("x"), size)).cast("binary")
+    return table(spark, sf_dir, "part").select("p_partkey", dicom.size_error(content)["message"].alias("message"), dicom.has_marker(content).alias("marked"))
+
+
+@query(
+    f"""WITH {SAMPLES}, r AS (SELECT vec_id, greatest(max(stored) - min(stored), 1) AS w FROM p GROUP BY vec_id)
+    SELECT CAST(vec_id AS VARCHAR) AS file_id, CASE WHEN vec_id % 2 = 0 THEN 128.0::DOUBLE ELSE 7.5::DOUBLE END AS wc, CASE WHEN vec_id % 2 = 0 THEN CAST(w AS DOUBLE) ELSE 256.0::DOUBLE END AS ww FROM r"""
+)
+def render_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window a frame is shown with: automatic where the file's width is 0, else its own or the default."""
+
+    def build(row: dict) -> bytes:
+        head = {"Rows": 8, "Columns": 8, "PixelRepresentation": 1}
+        own = {"WindowWidth": "0"} if row["vec_id"] % 2 == 0 else {"WindowCenter": "7.5"}
+        return writer.part10(head | own, pixel_data=writer.packed_int16(row["stored"]))
+
+    return render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id")))).select("file_id", "wc", "ww")

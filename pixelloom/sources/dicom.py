@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.errors import ImageError, fail_fast
+from pixelloom.errors import FORMAT, ImageError, error, fail_fast, first_error
 from pixelloom.sources import part10
 
 FRAGMENT = "struct<index: int, relative_tag_start: bigint, payload: binary>"
@@ -62,3 +62,15 @@ def element_rows(parsed: DataFrame) -> DataFrame:
     """The long form: a row for each file and element, with group and element number, and its decoded values."""
     rows = parsed.select("file_id", F.inline("elements"))
     return rows.withColumn("group", F.shiftright("tag", 16).cast("int")).withColumn("element", F.col("tag").bitwiseAND(F.lit(0xFFFF)).cast("int"))
+
+
+def has_marker(content: Column) -> Column:
+    """Whether a file has the preamble and its marker."""
+    return F.coalesce(F.substring(content, 129, 4) == F.lit(b"DICM").cast("binary"), F.lit(False))
+
+
+def size_error(content: Column) -> Column:
+    """The error of files too short to be read, as the parser gives it, without parsing."""
+    n = F.octet_length(content)
+    header = F.concat(F.lit("Invalid DICOM file: Truncated or missing DICM header ("), n.cast("string"), F.lit(" bytes)."))
+    return first_error((n < 8, error(FORMAT, "Invalid DICOM file: Data length is less than 8 bytes.")), (~has_marker(content) & (n < 132), error(FORMAT, header)))
