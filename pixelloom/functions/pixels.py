@@ -41,13 +41,19 @@ def rescaled(stored: Column, slope: Column, intercept: Column) -> Column:
     return stored.cast("double") * slope + intercept
 
 
+def half_up(x: Column) -> Column:
+    """A number of 0 or more, rounded half up; plain arithmetic, where round() goes through decimals."""
+    whole = F.floor(x)
+    return (whole + F.when(x - whole >= 0.5, F.lit(1)).otherwise(F.lit(0))).cast("int")
+
+
 def voi_window(value: Column, center: Column, width: Column) -> Column:
     """Linear window to 0..255; a width under 1 counts as 1."""
     w = F.greatest(width.cast("double"), F.lit(1.0))
     c = center.cast("double") - 0.5
     half = (w - 1.0) / 2.0
     level = ((value - c) / F.nullif(w - 1.0, F.lit(0.0)) + 0.5) * 255.0
-    return F.when(value <= c - half, F.lit(0)).when(value > c + half, F.lit(255)).otherwise(F.round(F.least(F.greatest(level, F.lit(0.0)), F.lit(255.0))).cast("int"))
+    return F.when(value <= c - half, F.lit(0)).when(value > c + half, F.lit(255)).otherwise(half_up(F.least(F.greatest(level, F.lit(0.0)), F.lit(255.0))))
 
 
 def inverted(gray: Column) -> Column:
@@ -68,7 +74,7 @@ def ybr_to_rgb(y: Column, cb: Column, cr: Column) -> Column:
     """struct<r,g,b>: full-range luma and chroma, rounded, then clamped."""
     b, r = cb.cast("double") - 128.0, cr.cast("double") - 128.0
     y = y.cast("double")
-    level = lambda v: clamped(F.round(v).cast("int"))
+    level = lambda v: half_up(F.least(F.greatest(v, F.lit(0.0)), F.lit(255.0)))  # noqa: E731  rounding keeps 0..255 within itself
     return F.struct(level(y + r * 1.402).alias("r"), level(y - b * 0.344136 - r * 0.714136).alias("g"), level(y + b * 1.772).alias("b"))
 
 

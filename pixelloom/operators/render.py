@@ -63,12 +63,18 @@ def auto_window(values: np.ndarray, stored: np.ndarray, f: dict) -> tuple[float,
     return low + (high - low) / 2, max(high - low, 1.0)
 
 
+def half_up(x: np.ndarray) -> np.ndarray:
+    """Numbers of 0 or more, rounded half up."""
+    whole = np.floor(x)
+    return whole + (x - whole >= 0.5)
+
+
 def windowed(values: np.ndarray, center: float, width: float) -> np.ndarray:
     """0..255 by the linear window."""
     w, c = max(width, 1.0), center - 0.5
     half = (w - 1) / 2
     level = np.clip(((values - c) / (w - 1) + 0.5) * 255, 0, 255) if w > 1 else np.zeros_like(values)
-    return np.where(values <= c - half, 0, np.where(values > c + half, 255, np.floor(level + 0.5))).astype(np.uint8)
+    return np.where(values <= c - half, 0, np.where(values > c + half, 255, half_up(level))).astype(np.uint8)
 
 
 def _fitted(x: np.ndarray, n: int) -> np.ndarray:
@@ -93,7 +99,7 @@ def rgba(stored: np.ndarray, f: dict, center: float | None = None, width: float
     elif kind == "ybrFull":
         y, cb, cr = (_triples(stored, n, planar).astype(np.float64) - [0, 128, 128]).T
         level = np.stack([y + cr * 1.402, y - cb * 0.344136 - cr * 0.714136, y + cb * 1.772], axis=1)
-        out[:, :3] = np.clip(np.sign(level) * np.floor(np.abs(level) + 0.5), 0, 255)
+        out[:, :3] = half_up(np.clip(level, 0, 255))  # rounding keeps 0..255 within itself
     elif kind == "paletteColor":
         p = f["palette"]
         if p is None:
