@@ -236,6 +236,7 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
         small = stars.join(least, "b").select("low", "a", "b")
         new = small.select(F.col("low").alias("a"), "b").union(small.where("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))).distinct()
         new = C.stored(new, name)
+        C.discard(edges)
         # Done when every larger end has one link, and no larger end is a smaller end elsewhere.
         deep = new.select(F.col("b").alias("x")).join(new.select(F.col("a").alias("x")).distinct(), "x", "left_semi").limit(1).count()
         if not deep and not new.groupBy("b").count().where("count > 1").limit(1).count():
