@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions import values as V
-from pixelloom.functions.dictionaries import EXPLICIT_LE, TAG, clean_uid
+from pixelloom.functions.dictionaries import EXPLICIT_LE, RLE, TAG, clean_uid
+from pixelloom.operators.frames import flat_bytes
 from pixelloom.session import once
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key: one partial aggregation, no sort."""
+    """The last row of each key. Tasks pass on one row for each key, so a hot key costs no more than others in the shuffle."""
     rest = [c for c in rows.columns if c not in keys]
     picked = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return picked.select(*keys, *(F.col("_row")[c].alias(c) for c in rest)).select(*rows.columns)
@@ -80,7 +81,8 @@ def getters(column: str = "dataset") -> dict[str, Column]:
     uid = get_string(d, "TransferSyntaxUID", EXPLICIT_LE)
     representation = get_int(d, "PixelRepresentation", 0)
     none = F.array().cast("array<double>")
-    flat = F.aggregate(pixels["encapsulated"]["fragments"], F.lit(b"").cast("binary"), lambda a, f: F.concat(a, f["payload"]))
+    wrapped = pixels["encapsulated"]
+    flat = flat_bytes(wrapped["fragments"])
     text = {"patient_name": ("PatientName", "Anonymous"), "patient_id": ("PatientID", ""), "study_date": ("StudyDate", ""), "modality": ("Modality", "UNKNOWN"), "study_description": ("StudyDescription", ""), "series_description": ("SeriesDescription", ""), "study_instance_uid": ("StudyInstanceUID", None), "study_time": ("StudyTime", None), "series_instance_uid": ("SeriesInstanceUID", None), "sop_class_uid": ("SOPClassUID", None), "sop_instance_uid": ("SOPInstanceUID", None), "acquisition_date": ("AcquisitionDate", None), "acquisition_time": ("AcquisitionTime", None), "institution_name": ("InstitutionName", None), "manufacturer": ("Manufacturer", None), "photometric_interpretation": ("PhotometricInterpretation", "MONOCHROME2")}
     whole = {"series_number": ("SeriesNumber", None), "instance_number": ("InstanceNumber", None), "number_of_frames": ("NumberOfFrames", 1), "rows": ("Rows", 0), "columns": ("Columns", 0), "samples_per_pixel": ("SamplesPerPixel", 1), "planar_configuration": ("PlanarConfiguration", 0), "pixel_padding_value": ("PixelPaddingValue", None), "pixel_padding_range_limit": ("PixelPaddingRangeLimit", None)}
     decimal = {"slice_thickness": ("SliceThickness", None), "rescale_slope": ("RescaleSlope", 1.0), "rescale_intercept": ("RescaleIntercept", 0.0)}
@@ -100,8 +102,10 @@ def getters(column: str = "dataset") -> dict[str, Column]:
         "window_width": get_double(d, "WindowWidth"),
         "window_center_presets": F.coalesce(get_double_list(d, "WindowCenter"), none),
         "window_width_presets": F.coalesce(get_double_list(d, "WindowWidth"), none),
-        "encapsulated_data": pixels["encapsulated"],
-        "pixel_data_bytes": F.when(pixels["encapsulated"].isNotNull(), flat).otherwise(pixels["value_bytes"]),
+        "encapsulated_data": wrapped,
+        "pixel_data_bytes": F.when(wrapped.isNotNull(), flat).otherwise(pixels["value_bytes"]),
+        # The same, but null for RLE, whose frames come from fragments and need no joined copy.
+        "native_pixel_bytes": F.when(wrapped.isNull(), pixels["value_bytes"]).when(clean_uid(uid) != RLE, flat),
     }
 
 
@@ -109,4 +113,4 @@ def instances(parsed: DataFrame, names: list[str] | None = None) -> DataFrame:
     """file_id, the getters (all, or those named) and error: one narrow projection."""
     rows = with_dataset(parsed)
     found = getters()
-    return rows.select("file_id", *(found[n].alias(n) for n in names or found), "error")
+    return rows.select("file_id", *(found[n].alias(n) for n in names or [n for n in found if n != "native_pixel_bytes"]), "error")

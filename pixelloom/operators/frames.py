@@ -10,7 +10,7 @@ from pixelloom.functions.dictionaries import RLE, is_encapsulated, syntax_name
 from pixelloom.session import once
 
 #: What a frame needs of its instance.
-NEEDS = ["transfer_syntax_uid", "number_of_frames", "rows", "columns", "samples_per_pixel", "bits_allocated", "encapsulated_data", "pixel_data_bytes"]
+NEEDS = ["transfer_syntax_uid", "number_of_frames", "rows", "columns", "samples_per_pixel", "bits_allocated", "encapsulated_data", "native_pixel_bytes"]
 
 
 def fragment_offsets(fragments: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
@@ -32,8 +32,10 @@ def offset_table_error(offsets: Column, starts: Column, frames: Column) -> Colum
 
 
 def flat_bytes(fragments: Column) -> Column:
-    """All fragments' bytes in order."""
-    return F.aggregate(F.array_sort(fragments, lambda a, b: a["index"] - b["index"]), F.lit(b"").cast("binary"), lambda a, f: F.concat(a, f["payload"]))
+    """All fragments' bytes in order, in one pass however many there are."""
+    ordered = F.array_sort(fragments, lambda a, b: a["index"] - b["index"])
+    joined = F.unhex(F.array_join(F.transform(ordered, lambda f: F.hex(f["payload"])), ""))
+    return F.when(F.size(fragments) == 1, F.get(fragments, F.lit(0))["payload"]).otherwise(joined)
 
 
 def looks_compressed(data: Column, uid: Column) -> Column:
@@ -67,14 +69,11 @@ def presence_error(wrapped: Column, data: Column) -> Column:
     return first_error((wrapped.isNull() & data.isNull(), absent), (F.size(wrapped["fragments"]) == 0, empty), (wrapped.isNull() & (F.octet_length(data) == 0), absent))
 
 
-@once
-def _checks_and_payload() -> tuple[Column, Column]:
-    """The error of frame `frame_index` (its instance's own error first), and its bytes; over the columns in NEEDS."""
-    frames, wrapped, data, uid, at = (F.col(c) for c in ("number_of_frames", "encapsulated_data", "pixel_data_bytes", "transfer_syntax_uid", "frame_index"))
-    rle = uid == RLE
-    fragments = wrapped["fragments"]
-    size = frame_bytes(*(F.col(c) for c in ("rows", "columns", "samples_per_pixel", "bits_allocated")))
-    plain, late = slice_of(data, at, size, frames)
+def _error_of(at: Column) -> Column:
+    """The error of frame `at`: its instance's own first, then each check in its order; over the columns in NEEDS."""
+    frames, wrapped, data, uid = (F.col(c) for c in ("number_of_frames", "encapsulated_data", "native_pixel_bytes", "transfer_syntax_uid"))
+    rle, fragments = uid == RLE, wrapped["fragments"]
+    _, late = slice_of(data, at, _size(), frames)
     message = F.concat(F.lit("Unsupported Transfer Syntax: "), syntax_name(uid), F.lit(" ("), uid, F.lit("). Uncompressed and RLE Lossless files are supported."))
     count = F.concat(F.lit("DICOM PS3.5 Annex G Violation: RLE Lossless multi-frame image has "), F.size(fragments).cast("string"), F.lit(" fragments for "), frames.cast("string"), F.lit(" frames. Per Annex G Section G.2, each RLE frame must be contained in exactly one Fragment."))
     missing = presence_error(wrapped, data)
@@ -82,7 +81,7 @@ def _checks_and_payload() -> tuple[Column, Column]:
     # An encapsulated stream has no frame but those it counts, so zero frames are out of range there.
     rle_range = F.when(rle & ((at < 0) | (at >= frames)), error(RANGE, F.concat(F.lit("Invalid frameIndex "), at.cast("string"), F.lit(" (total frames: "), frames.cast("string"), F.lit(")."))))
     table = offset_table_error(wrapped["bot_offsets"], F.transform(fragments, lambda f: f["relative_tag_start"]), frames)
-    found = first_error(
+    return first_error(
         (F.col("error").isNotNull(), F.col("error")),
         (missing.isNotNull(), missing),
         (out_of_range.isNotNull(), out_of_range),
@@ -93,18 +92,32 @@ def _checks_and_payload() -> tuple[Column, Column]:
         (~rle & looks_compressed(data, uid), error(UNSUPPORTED, message)),
         (~rle & late.isNotNull(), late),
     )
-    one = F.when(frames == 1, F.when(F.size(fragments) == 1, F.get(fragments, F.lit(0))["payload"]).otherwise(flat_bytes(fragments))).otherwise(F.get(fragments, at.cast("int"))["payload"])
-    return found, F.when(F.col("_error").isNull(), F.when(rle, one).otherwise(plain))
+
+
+def _size() -> Column:
+    return frame_bytes(*(F.col(c) for c in ("rows", "columns", "samples_per_pixel", "bits_allocated")))
+
+
+def _payload_of(at: Column) -> Column:
+    frames, data = F.col("number_of_frames"), F.col("native_pixel_bytes")
+    fragments = F.col("encapsulated_data")["fragments"]
+    one = F.when(frames == 1, flat_bytes(fragments)).otherwise(F.get(fragments, at.cast("int"))["payload"])
+    return F.when(F.col("transfer_syntax_uid") == RLE, one).otherwise(slice_of(data, at, _size(), frames)[0])
+
+
+@once
+def _cut() -> Column:
+    """array<struct<frame_index, payload, error>> of the frames listed in `_frames`."""
+    checked = F.transform("_frames", lambda i: F.struct(i.alias("i"), _error_of(i).alias("e")))
+    return F.transform(checked, lambda f: F.struct(f["i"].alias("frame_index"), F.when(f["e"].isNull(), _payload_of(f["i"])).alias("payload"), f["e"].alias("error")))
 
 
 def extract(instances: DataFrame, index: Column | None = None) -> DataFrame:
     """A row for each frame: instances' columns (without the pixel bytes), frame_index, payload and error.
 
-    With `index` (a column or literal) only that frame, whether it exists or not; the choice comes before
-    any bytes are cut. An instance's own error stays.
+    Frames are cut before rows are multiplied, so no row carries more pixels than its own. With `index` (a
+    column or literal) only that frame is cut, whether it exists or not. An instance's own error stays.
     """
-    every = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("number_of_frames"), F.lit(1)) - 1)
-    found, payload = _checks_and_payload()
-    rows = instances.select("*", (F.explode(every) if index is None else index.cast("bigint")).alias("frame_index")).select("*", found.alias("_error"))
-    kept = [c for c in instances.columns if c not in ("encapsulated_data", "pixel_data_bytes", "error")]
-    return rows.select(*kept, "frame_index", payload.alias("payload"), F.col("_error").alias("error"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("number_of_frames"), F.lit(1)) - 1) if index is None else F.array(index.cast("bigint"))
+    kept = [c for c in instances.columns if c not in ("encapsulated_data", "native_pixel_bytes", "error")]
+    return instances.select("*", every.alias("_frames")).select(*kept, F.inline(_cut()))
