@@ -17,6 +17,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +76,38 @@ def load(path: str) -> Pieces:
     return _pieces[path]
 
 
+def _dense(codes: np.ndarray) -> np.ndarray:
+    """Characters as small numbers in the same order, 0 for the separator."""
+    seen = np.zeros(int(codes.max(initial=0)) + 1, bool)
+    seen[codes] = True
+    seen[0] = True
+    return (np.cumsum(seen) - 1)[codes]
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of suffixes in the order of their first `depth` characters (0 sorts first and pads the end)."""
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    """Starts of suffixes in the order of their first `depth` characters (0 sorts first and pads the end).
+
+    As many characters as fit 64 bits are one key to begin with; each further sort doubles the prefix.
+    """
+    rank, n = _dense(codes).astype(np.uint64), len(codes)
+    width = max(1, int(rank.max(initial=0)).bit_length())
     done = 1
-    while done < depth and int(rank.max(initial=0)) + 1 < len(codes):
+    while done * 2 * width <= 64 and done < depth:
         after = np.zeros_like(rank)
-        after[:-done] = rank[done:] + 1
-        rank = np.unique(rank * (len(codes) + 1) + after, return_inverse=True)[1].astype(np.int64)
+        after[:-done] = rank[done:]
+        rank = rank << np.uint64(done * width) | after
+        done *= 2
+    while True:
+        order = np.argsort(rank)
+        if done >= depth:
+            return order
+        ahead = rank[order]
+        new = np.empty(n, np.uint64)
+        new[order] = np.concatenate([[0], np.cumsum(ahead[1:] != ahead[:-1])]).astype(np.uint64)
+        after = np.zeros_like(new)
+        after[:-done] = new[done:] + np.uint64(1)
+        rank = new * np.uint64(n + 1) + after
         done *= 2
-    return np.argsort(rank, kind="stable")
 
 
 def occurrence_ranges(codes: np.ndarray, order: np.ndarray, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +151,7 @@ def _edges(codes: np.ndarray, p: Pieces) -> np.ndarray:
     n = hi - lo
     which = np.repeat(np.arange(len(n)), n)
     start = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(which))]
-    by_place = np.argsort(start, kind="stable")
+    by_place = np.argsort(start)
     table = np.full((len(codes) + 1, longest + 1), -1, np.int32)
     table[start[by_place], p.size[which[by_place]]] = p.ids[which[by_place]]
     return table
@@ -242,16 +265,16 @@ def encode_chunks(chunks: list[str], p: Pieces) -> list[bytes]:
         length = stop[at] - at
         ids = table[at, np.minimum(length, table.shape[1] - 1)].astype(np.int64)
         ones = np.nonzero(length == 1)[0]
-        single = {int(c): _symbol(chr(c), p) for c in np.unique(codes[at[ones]])}
-        plain = np.array([single[c][0] if len(single[c]) == 1 else -1 for c in np.unique(codes[at[ones]]).tolist()], np.int64)
-        ids[ones] = plain[np.unique(codes[at[ones]], return_inverse=True)[1]] if len(ones) else ids[ones]
+        kinds, which = np.unique(codes[at[ones]], return_inverse=True)
+        single = [_symbol(chr(c), p) for c in kinds.tolist()]
+        ids[ones] = np.array([x[0] if len(x) == 1 else -1 for x in single], np.int64)[which] if len(ones) else ids[ones]
         count = np.ones(len(at), np.int64)
-        wide = np.nonzero(ids < 0)[0]
-        count[wide] = [len(single[int(codes[at[w]])]) for w in wide]
+        wide = np.nonzero(ids[ones] < 0)[0]
+        count[ones[wide]] = [len(single[w]) for w in which[wide].tolist()]
         flat = np.repeat(ids, count)
         where = np.cumsum(count) - count
-        for w in wide.tolist():
-            flat[where[w] : where[w] + count[w]] = single[int(codes[at[w]])]
+        for i, w in zip(ones[wide].tolist(), which[wide].tolist()):
+            flat[where[i] : where[i] + count[i]] = single[w]
         raw = flat.astype("<u4").tobytes()
         where = np.append(where, len(flat)) * 4
         first = where[np.searchsorted(at, begins)].tolist()
@@ -261,31 +284,40 @@ def encode_chunks(chunks: list[str], p: Pieces) -> list[bytes]:
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers."""
     p, cache = load(path), _caches.setdefault(path, {})
-    marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
     out: list[bytes] = []
     i = 0
     while i < len(texts):
-        j, new, size, cut = i, {}, 0, []
+        new: dict[str, bytes] = {}
+        held: list[tuple[list[str], list, list[int]]] = []
+        size = 0
         if len(cache) > CACHE:
+            # What came first is mostly what is common; the rest makes room.
+            kept = dict(islice(cache.items(), CACHE // 2))
             cache.clear()
-        while j < len(texts) and size < TEXT:
-            chunks = [marked[j]] if p.whole and marked[j] else CHUNK.findall(marked[j])
-            cut.append(chunks)
-            for c in chunks:
-                if c not in cache and c not in new:
-                    new[c] = b""
-                    size += len(c) + 1
-            j += 1
-        if new:
-            fresh = list(new)
-            new = dict(zip(fresh, encode_chunks(fresh, p)))
-            cache.update(new)
-        out += [b"".join(map(cache.__getitem__, chunks)) for chunks in cut]
+            cache.update(kept)
+        while i < len(texts) and size < TEXT:
+            marked = MARK + texts[i].replace(" ", MARK) if texts[i] else ""
+            chunks = [marked] if p.whole and marked else CHUNK.findall(marked)
+            got = list(map(cache.get, chunks))
+            missed = [k for k, ids in enumerate(got) if ids is None] if None in got else []
+            for k in missed:
+                if chunks[k] not in new:
+                    new[chunks[k]] = b""
+                    size += len(chunks[k]) + 1
+            held.append((chunks, got, missed))
+            i += 1
+        fresh = list(new)
+        new = dict(zip(fresh, encode_chunks(fresh, p))) if fresh else {}
+        for chunks, got, missed in held:
+            for k in missed:
+                got[k] = new[chunks[k]]
+            out.append(b"".join(got))
+        cache.update(new)
         for c in new:
             if len(c) > LONG:
                 del cache[c]
-        i = j
     return out
 
 
