@@ -34,6 +34,7 @@ OWN, HASHED, HIDDEN, SIDE = 64, 64, 32, 2
 CLASSES = OWN + HASHED
 EDGE = CLASSES  # stands beyond a text's ends
 SLICE = 1 << 20
+FINE = 4096  # word counts up to here are told apart when the commonest words are chosen
 HELD = 400_000  # distinct words a task counts before it passes them on
 
 
@@ -83,8 +84,19 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_vocabulary(counts: DataFrame, size: int = 32768) -> Vocabulary:
-    """counts is read twice: for the `size` commonest words, and for sums by hashed class (HASHED rows)."""
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()
+    """The commonest words (at most `size`; words as frequent as the first that don't all fit are left out) and sums by hashed class.
+
+    How many words have each count is asked first, so only the chosen words reach the driver, not each task's commonest.
+    """
+    n = F.col("n")
+    level = F.when(n <= FINE, n).otherwise(FINE + F.floor(F.log2(n / FINE) * 16)).cast("int")  # counts, then sixteenths of powers of two
+    room, least = size, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most FINE + 16 * 52 rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = [] if least is None else sorted(counts.where(level >= least).collect(), key=lambda r: (-r["n"], r["word"]))
     hashed = F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(HASHED)).alias("h")
     sums = {r["h"]: (r["n"], r["types"]) for r in counts.groupBy(hashed).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}
     mass, types = np.zeros(HASHED), np.zeros(HASHED)
