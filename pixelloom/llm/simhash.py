@@ -256,18 +256,151 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE, id
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 4, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group: the one of smallest id; all columns.
+#: Bands of the looser search and hashes in a band. Texts of similarity s share a band with chance 1 - (1 - s^4)^32: all but 5 in 10^8 at 0.8.
+BANDS, ROWS = 32, 4
+SPREAD = np.random.default_rng(9).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
-    Rows of one id count as one document, of which one row stays. Rows with a null id stay.
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: its number and its smallest spread hashes mixed. Texts without words share all their keys."""
+    low = np.full(len(SPREAD), 0, np.uint64)
+    for k, by in enumerate(SPREAD if len(hashes) else ()):
+        low[k] = (hashes * by).min()
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, node (the text's hash) and band keys for every row."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column(2).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
+            keys = np.concatenate([np.zeros(0, np.int64), *(bands_of(shingle_set(t, size)) for t in texts)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "bands"])
+
+    return _with_node(docs, id_col, text_col).mapInArrow(mark, "doc_id long, node long, bands array<long>")
+
+
+def _with_node(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+
+
+def similar_forest(texts: list[bytes], asks: list[bool], size: int, similarity: float) -> list[int]:
+    """Roots of a cluster's texts over pairs that share a band, hold one that asks, and whose shingle sets overlap by `similarity` at least.
+
+    A pair is compared once, and not at all when other pairs have joined it.
+    """
+    sets = [shingle_set(t, size) for t in texts]
+    keys = np.array([bands_of(s) for s in sets])
+    forest = Forest(len(texts))
+    place = np.cumsum(asks) - 1
+    apart = np.zeros((sum(asks), len(texts)), bool)
+
+    def alike(a: int, b: int) -> bool:
+        if not asks[a]:
+            a, b = b, a
+        elif asks[b] and a > b:
+            a, b = b, a
+        if not asks[a] or apart[place[a], b]:
+            return False
+        x, y = len(sets[a]), len(sets[b])
+        common = 0
+        if min(x, y) >= similarity * max(x, y) - 1e-9:
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        apart[place[a], b] = common < similarity * (x + y - common) - 1e-9
+        return not apart[place[a], b]
+
+    for band in keys.T:
+        order = np.argsort(band, kind="stable")
+        for group in np.split(order, np.nonzero(np.diff(band[order]))[0] + 1):
+            roots = forest.root[group]
+            if (roots == roots[0]).all():
+                continue
+            parts: list[list[int]] = []  # no two of them alike
+            for r in np.unique(roots):
+                part, rest = group[roots == r].tolist(), []
+                for other in parts:
+                    pair = next(((a, b) for a in part for b in other if alike(a, b)), None)
+                    if pair is None:
+                        rest.append(other)
+                    else:
+                        forest.join(np.array([pair[0]]), np.array([pair[1]]))
+                        part = other + part
+                parts = [*rest, part]
+    return forest.root.tolist()
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of whole clusters; a cluster's rows arrive together, sorted by cluster and block."""
+
+    def links(held: dict[int, tuple[bytes, bool]]) -> Iterator[pa.RecordBatch]:
+        nodes = list(held)
+        roots = similar_forest([t for t, _ in held.values()], [a for _, a in held.values()], size, similarity)
+        pairs = [sorted((nodes[r], nodes[i])) for i, r in enumerate(roots) if r != i]
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
+
+    held: dict[int, tuple[bytes, bool]] = {}
+    now = None
+    for batch in batches:
+        texts = batch.column(3).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+        for cluster, block, node, text, asks in zip(*(batch.column(i).to_pylist() for i in range(3)), texts, batch.column(4).to_pylist()):
+            if now != (cluster, block):
+                if held:
+                    yield from links(held)
+                now, held = (cluster, block), {}
+            held[node] = (text or b"", asks)
+    if held:
+        yield from links(held)
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cluster_rows: int = 4096) -> DataFrame:
+    """Links (a, b), a < b, that connect the texts whose shingle sets overlap by `similarity`. nodes: node, least (its smallest doc_id) and bands."""
+    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
+    low = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "low")
+    # All that shares a bucket comes into one cluster, so that each text travels to its cluster once.
+    loose = components(dealt.join(low, "bucket").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")), "loose")
+    members = loose.union(loose.select(F.col("root").alias("node"), "root").distinct())
+    # Clusters over `cluster_rows` are dealt into blocks: each block asks for its share of rows against all of the cluster.
+    blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / cluster_rows).alias("blocks"))
+    members = members.join(nodes.select("node", "least"), "node").join(blocks, "root").select(F.col("node").alias("_node"), "root", "blocks", "least")
+    texts = _with_node(docs, id_col, text_col)
+    texts = texts.join(members.hint("merge"), (texts["node"] == members["_node"]) & texts["doc_id"].eqNullSafe(members["least"]))
+    texts = texts.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "text", F.pmod("node", "blocks").alias("turn"))
+    texts = texts.select("root", "block", "node", "text", (F.col("turn") == F.col("block")).alias("asks"))
+    texts = texts.repartition("root", "block").sortWithinPartitions("root", "block")
+    return texts.mapInArrow(lambda batches: _confirmed(batches, size, similarity), "a long, b long")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate group: that of smallest id; all columns.
+
+    Groups are the components over pairs of texts whose sets of `size`-word shingles have a Jaccard similarity of
+    `similarity` at least. Rows of one text (one 64-bit hash) are one node. Ids may repeat on different texts: every group
+    with an id keeps exactly one row that has an id. Rows with a null id stay, and link others.
     """
-    found = C.stored(near_duplicates(docs, size, distance, id_col, text_col).select("doc_id", "component_id"), "groups")
-    # Only ids travel here; the texts of rows that stay are joined once, against the ids that go.
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    marks = C.stored(sketches(docs, size, id_col, text_col), "sketches")
+    nodes = C.stored(marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "texts")
+    roots = components(similar_links(docs, nodes, size, similarity, id_col, text_col))
+    named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = C.stored(named, "groups")
+    first = named.where("least is not null").groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"))
+    named = named.join(first, "root").select("node", "first")
+    # Only ids and hashes travel here; the texts of rows that stay are joined once, against the rows that go.
+    stays = (F.col("doc_id") == F.col("first.least")) & (F.col("node") == F.col("first.node"))
+    found = C.stored(marks.where("doc_id is not null").select("doc_id", "node").join(named, "node").select("doc_id", "node", stays.alias("stays")), "rows")
+    gone = found.where("not stays").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_text")).distinct()
+    text = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     # The list grows with the corpus, so it is never broadcast.
-    kept = docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_repeated"))
+    kept = docs.join(gone.hint("merge"), (docs[id_col].cast("long") == gone["_gone"]) & (text == gone["_text"]), "left_anti")
+    repeated = found.where("stays").groupBy("doc_id", "node").count().where("count > 1").select(F.col("doc_id").alias("_repeated"), F.col("node").alias("_text"))
     if not repeated.limit(1).count():
         return kept
-    match = kept[id_col] == repeated["_repeated"]
-    return kept.join(repeated, match, "left_anti").unionByName(kept.join(repeated, match, "left_semi").dropDuplicates([id_col]))
+    text = F.xxhash64(F.coalesce(kept[text_col].cast("string"), F.lit("")))
+    match = (kept[id_col].cast("long") == repeated["_repeated"]) & (text == repeated["_text"])
+    return kept.join(repeated, match, "left_anti").unionByName(kept.join(repeated, match, "left_semi").dropDuplicates([id_col, text_col]))

@@ -133,3 +133,49 @@ def test_null_ids_and_one_of_each(docs, awkward):
 
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).count() == 0 and simhash.one_of_each(docs([])).count() == 0
+
+
+def jaccard(x, y, size=5):
+    a, b = ({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (x.split(), y.split()))
+    return len(a & b) / len(a | b)
+
+
+def replaced(text, n, name, rng):
+    words = text.split()
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"{name}{i}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("cluster_rows", [3, 4096])
+def test_near_copies_of_four_fifths_go(docs, cluster_rows, monkeypatch):
+    """Every pair of five-word similarity 0.8 or more is one group, nothing below it is."""
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (*simhash.similar_links.__defaults__[:-1], cluster_rows))
+    rng = random.Random(3)
+    rows = []
+    for k in range(50):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400)))
+        rows += [(4 * k, base)] + [(4 * k + j, replaced(base, max(1, len(base.split()) * j // 70), f"e{j}_", rng)) for j in (1, 2, 3)]
+    rows.append((9999, " ".join(f"only{i}" for i in range(80))))
+    root = list(range(len(rows)))
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if abs(a - b) < 4 and jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    for _ in root:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows, extra=True)).collect())
+    assert kept == [rows[i][0] for i in range(len(rows)) if root[i] == i]
+    wide = [(a, b) for a, b in near if (brute_fp(rows[a][1]) ^ brute_fp(rows[b][1])).bit_count() > simhash.DISTANCE]
+    assert len(near) > 40 and len(wide) > 20  # what four bits alone leave in
+
+
+def test_every_group_keeps_one_row(docs, prose):
+    x, y = prose(60, 1), prose(60, 2)
+    kept = simhash.one_of_each(docs([(5, x), (9, x), (5, y), (3, y)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(5, x), (3, y)])
+
+
+def test_null_ids_link_others(docs):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[: 200 - k]) for k in (0, 30, 60)]  # first and last are alike only through the second
+    kept = simhash.one_of_each(docs([(1, texts[0]), (None, texts[1]), (2, texts[2])])).collect()
+    assert jaccard(texts[0], texts[2]) < 0.8 and sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
