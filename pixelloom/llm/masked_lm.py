@@ -6,8 +6,8 @@ count. The network predicts a word's class from the two words before and the two
 tables give the hidden layer, tanh, then a softmax over classes. A document's score is the sum of the log
 chances of all its words, each with its own place masked.
 
-Training runs where the data lie: a fixed share of all documents, chosen by hash, so that it grows with
-the corpus. Each task trains its own copy on its documents, and the copies' mean, weighted by words and
+Training runs where the data lie, on all documents (or on a share of them, chosen by hash, where one is
+asked for). Each task trains its own copy on its documents, and the copies' mean, weighted by words and
 formed in a tree, starts the next round.
 
 Defined cases: null text counts as empty; a text without words has n_words 0, log_prob 0 and mean 0. Words
@@ -166,19 +166,21 @@ class Network:
         for i in range(0, len(target), block):
             ctx, t = context[:, i : i + block], target[i : i + block]
             h = self.hidden(ctx)
-            logits = h @ self.out + self.out_bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1
-            p *= rate / len(t)
+            p = h @ self.out
+            p += self.out_bias
+            np.exp(p, out=p)  # as in log_chances, it can't overflow
+            step = np.float32(rate / len(t))
+            p *= (step / p.sum(axis=1))[:, None]
+            p[np.arange(len(t)), t] -= step
             back = (p @ self.out.T) * (1 - h * h)
             self.out -= h.T @ p
             self.out_bias -= p.sum(axis=0)
             self.bias -= back.sum(axis=0)
             for place in range(2 * SIDE):
-                one = np.zeros((len(t), CLASSES + 1), np.float32)
-                one[np.arange(len(t)), ctx[place]] = 1
-                self.tables[place] -= one.T @ back
+                order = np.argsort(ctx[place].astype(np.uint8), kind="stable")  # EDGE is 128; bytes are sorted by radix
+                cls = ctx[place][order]
+                first = np.concatenate([[0], np.nonzero(np.diff(cls))[0] + 1])
+                self.tables[place][cls[first]] -= np.add.reduceat(back[order], first)
             np.clip(self.out, -1.5, 1.5, out=self.out)
             np.clip(self.out_bias, -20, 20, out=self.out_bias)
 
@@ -209,7 +211,7 @@ class LanguageScorer:
     network: Network
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 1 / 16, rounds: int = 2, rate: float = 0.5, fan: int = 32) -> LanguageScorer:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 1.0, rounds: int = 2, rate: float = 0.5, fan: int = 32) -> LanguageScorer:
     """Count all words, then train on `share` of all documents for `rounds` rounds."""
     spark = docs.sparkSession
     vocabulary = build_vocabulary(C.stored(count_words(docs, text_col), "words"))

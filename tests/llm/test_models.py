@@ -80,6 +80,12 @@ def test_lm_on_awkward_rows_and_empty_table(docs, awkward):
     assert np.isfinite(masked_lm.score(docs([(1, "some words")]), none).first()["log_prob"])
 
 
+def test_every_document_trains_the_network(docs):
+    for i in (1, 2, 3, 4, None):
+        scorer = masked_lm.fit(docs([(i, grammar(1, 5)[0])]), rounds=1)
+        assert not np.array_equal(scorer.network.flat(), masked_lm.Network.start(scorer.vocabulary.class_count).flat())
+
+
 def test_block_sizes_do_not_change_scores():
     rng = np.random.default_rng(1)
     net = masked_lm.Network.start(np.ones(masked_lm.CLASSES))
