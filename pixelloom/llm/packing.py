@@ -6,152 +6,65 @@ one. Full pieces are sequences of their own. For the rest only the histogram of
 choose how often to use each way of filling a sequence so that every length is covered, with as few
 sequences as can be - is solved by multiplicative weights: each round prices lengths by how badly
 they are covered so far, and a knapsack dynamic program finds the fillings of greatest price. The
-program's fillings are rounded down and what they leave is packed best-fit, longest first. Pieces then
-take their places by rank within their length.
+fillings are rounded to whole numbers that the pieces suffice for, the program is solved again for the pieces
+left, and so on until a twentieth of the pieces is left or no filling is whole; only that residue is packed
+best-fit, longest first. Pieces then take their places by rank within their length.
 
 Defined cases: a null text counts as empty; every document has at least its end token, so each
-gives a piece. Repeated rows are packed as often as they occur. An empty table gives no pieces.
+gives a piece. Repeated rows are packed as often as they occur, pieces of one length in any order. A very
+long text is encoded whole and cut. An empty table gives no pieces. Other columns play no part. Ids must be whole
+numbers or null; a text id is cast to long, which Spark refuses if it is none.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm import _common as C
-from pixelloom.llm.tokencount import load
-
-#: Fixed value: the characters that \s means to the tokenizers library.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A chunk starts with a run of white space: pre-tokens of byte-level tokenizers never cross into one.
-CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: A space before other white space: such texts are cut by CHUNK, at runs of white space.
-RUNS = [" " + c for c in " \t\n\v\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
-CACHE = 450_000  # chunks; the cache starts anew when full
-SLICE = 1 << 19  # characters of text handled at once
-JOINED = 256  # chunks that are encoded as one string
-_caches: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}  # chunks as they are, and chunks after a space
-_widths: dict[str, np.ndarray] = {}  # bytes that each token stands for
+from pixelloom.llm.bytebpe import encoder
 
-Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
-
-
-def _encoded(chunks: list[str], path: str) -> list[bytes]:
-    """Each chunk's ids. Chunks that begin with white space and end without it are encoded in joined runs.
-
-    No pre-token crosses from one such chunk into the next, and a byte-level token stands for as many bytes
-    as its name has characters, so the joined ids fall apart again at the chunks' ends.
-    """
-    tok = load(path)
-    if path not in _widths:
-        vocab = tok.get_vocab(with_added_tokens=True)
-        width = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            width[i] = len(token)
-        _widths[path] = width
-    fits = [c[:1].isspace() and not c[-1].isspace() for c in chunks]
-    joins, alone = list(compress(count(), fits)), [i for i, fit in enumerate(fits) if not fit]
-    out: list[bytes] = [b""] * len(chunks)
-    for i, e in zip(alone, tok.encode_batch_fast([chunks[i] for i in alone], add_special_tokens=False)):
-        out[i] = np.array(e.ids, "<u4").tobytes()
-    runs = [joins[i : i + JOINED] for i in range(0, len(joins), JOINED)]
-    for run, e in zip(runs, tok.encode_batch_fast(["".join([chunks[i] for i in run]) for run in runs], add_special_tokens=False)):
-        ids = np.array(e.ids, "<u4")
-        ends = np.cumsum(_widths[path][ids])
-        sizes = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in map(chunks.__getitem__, run)])
-        cuts = np.searchsorted(ends, sizes) + 1
-        if (ends[cuts - 1] != sizes).any():
-            raise ValueError(f"{path}: tokens cross white space")
-        raw, at = ids.tobytes(), 0
-        for i, cut in zip(run, (cuts * 4).tolist()):
-            out[i] = raw[at:cut]
-            at = cut
-    return out
-
-
-def _trimmed(cache: dict[str, bytes], more: int) -> None:
-    """Make room: what came first is mostly what is common, so the later half goes."""
-    if len(cache) + more > CACHE:
-        kept = dict(islice(cache.items(), CACHE // 2))
-        cache.clear()
-        cache.update(kept)
-
-
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers; chunks go through worker caches.
+SLICE = 1 << 22  # bytes of text handled at once
+#: Settings of the program that `plan` tries: rounds, how sharply prices follow cover, and how full a filling must be to be taken.
+TRIES = ((15, 10.0, 1.0), (12, 5.0, 1.0), (100, 10.0, 0.0))
 
-    Texts in which every space stands before a word are cut at the spaces: such a space is alone or ends
-    a run of white space, and goes to the word, so no pre-token crosses the cut. Other texts are cut before
-    each run of white space. Chunks after a lone space are cached without it, all others as they are.
-    """
-    plain, spaced = _caches.setdefault(path, ({}, {}))
-    held: list[tuple[list[str], list, list[int], bool]] = []
-    new_plain: dict[str, bytes] = {}
-    new_spaced: dict[str, bytes] = {}
-    for text in texts:
-        if any(s in text for s in RUNS):
-            keys, first = CHUNK.findall(text), None
-        else:
-            keys = text.split(" ")
-            first = keys[0]
-            keys[0] = ""
-            if first not in plain:
-                new_plain[first] = b""
-        cache, new = (plain, new_plain) if first is None else (spaced, new_spaced)
-        got = list(map(cache.get, keys))
-        missed = [i for i, ids in enumerate(got) if ids is None] if None in got else []
-        if first is not None and missed and missed[0] == 0:
-            del missed[0]
-        for i in missed:
-            new[keys[i]] = b""
-        held.append((keys, got, missed, first))
-    fresh = _encoded([*new_plain, *(" " + k for k in new_spaced)], path)
-    new_plain = dict(zip(new_plain, fresh))
-    new_spaced = dict(zip(new_spaced, fresh[len(new_plain) :]))
-    out = []
-    for keys, got, missed, first in held:
-        new = new_plain if first is None else new_spaced
-        for i in missed:
-            got[i] = new[keys[i]]
-        if first is not None:
-            got[0] = new_plain[first] if first in new_plain else plain[first]
-        out.append(b"".join(got))
-    for cache, new in ((plain, new_plain), (spaced, new_spaced)):
-        _trimmed(cache, len(new))
-        cache.update(new)
-        for k in [k for k in new if len(k) > 256]:
-            del cache[k]
-    return out
+Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and salt (a hash that spreads pieces of one length)."""
-    end = np.array([end_id], "<u4").tobytes()
+    """doc_id, piece, start, length, ids_crc32 and salt (an even spread over rows, by their number in the task)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        rows = (context.partitionId() if context else 0) * 0x85EBCA6B
         for batch in batches:
-            ids, texts, rows = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], []
-            for i, j in C.slices(np.concatenate([[0], np.cumsum([len(t) for t in texts])]), SLICE):
-                for doc, raw in zip(ids[i:j], token_ids(texts[i:j], path)):
-                    raw += end
-                    n = len(raw) // 4
-                    first = (n - 1) % capacity + 1
-                    cuts = [0, *range(first, n + 1, capacity)]
-                    rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            data, offsets = C.text_bytes(batch.column(1))
+            for i, j in C.slices(offsets, SLICE):
+                ids, n = encoder(path).encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ends = np.cumsum(n)
+                ids = np.insert(ids, ends, end_id).astype("<u4")
+                n = n + 1
+                first, many = (n - 1) % capacity + 1, (n - 1) // capacity + 1
+                doc = np.repeat(np.arange(j - i), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+                length = np.where(piece > 0, capacity, first[doc])
+                at, raw = (np.cumsum(n) - n)[doc] + start, memoryview(ids).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                salt = (rows + np.arange(len(doc)) * 0x9E3779B1) & 0x7FFFFFFF
+                rows += len(doc) * 0x9E3779B1
+                cols = [batch.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(salt, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     rows = C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, salt int")
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Counter[Filling]:
@@ -257,52 +170,49 @@ def configuration_lp(counts: dict[int, int], capacity: int, rounds: int, slack:
     return dict(use), float((covered[lengths] / need[lengths]).min()), bound
 
 
-def plan(counts: dict[int, int], capacity: int, rounds: int = 100) -> Counter[Filling]:
+def rounded(counts: dict[int, int], capacity: int, rounds: int, eta: float, fill: float = 1.0, residue: float = 0.05, times: int = 12) -> tuple[Counter[Filling], Counter[int]]:
+    """Whole numbers of fillings that use a share `fill` of a sequence at least, and the pieces that none holds.
+
+    Each time the program is solved for the pieces left, and its fillings, most used first, are taken as often as
+    their use, with the fractions of those before carried over, while the pieces last.
+    """
+    left, chosen, total = Counter(counts), Counter(), sum(counts.values())
+    for _ in range(times):
+        use, _, _ = configuration_lp({s: n for s, n in left.items() if n}, capacity, rounds, eta=eta)
+        carry, taken = 0.0, 0
+        for filling in sorted(use, key=lambda f: (-use[f], f)):
+            if sum(s * n for s, n in filling) < fill * capacity:
+                continue
+            carry += use[filling]
+            whole = min(int(carry), *(left[s] // n for s, n in filling))
+            if whole > 0:
+                carry -= whole
+                taken += whole
+                chosen[filling] += whole
+                for s, n in filling:
+                    left[s] -= n * whole
+        if not taken or sum(left.values()) <= residue * total:
+            break
+    return chosen, Counter({s: n for s, n in left.items() if n})
+
+
+def plan(counts: dict[int, int], capacity: int, tries: tuple[tuple[int, float, float], ...] = TRIES) -> Counter[Filling]:
     """Fillings and how many sequences take each; together they hold exactly the histogram.
 
-    The program's fillings are rounded to whole numbers, most used first, for several least fills; what a
-    rounding leaves is packed best-fit, and the rounding with the fewest sequences is taken. Then, while
-    the volume bound is not met, sequences with room left and a share of the others are packed anew.
+    The program's rounded fillings, and the residue best-fit; of several settings of the program the one with the fewest
+    sequences, or the first within a thousandth of the volume bound.
     """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     if not counts:
         return Counter()
-    use, _, _ = configuration_lp(counts, capacity, rounds)
-    fill = {f: sum(s * n for s, n in f) for f in use}
-    order = sorted(use, key=lambda f: (-use[f], f))
-    best: Counter[Filling] | None = None
-    for least in (0.0, 0.99, 1.0):
-        for share in (0.2, 0.5, 1.0):
-            left, chosen, carry = Counter(counts), Counter(), 0.0
-            for filling in order:
-                if fill[filling] < least * capacity:
-                    continue
-                carry += share * use[filling]
-                whole = min(int(carry), *(left[s] // n for s, n in filling))
-                if whole > 0:
-                    carry -= whole
-                    chosen[filling] += whole
-                    for s, n in filling:
-                        left[s] -= n * whole
-                carry = min(carry, 1.0)
-            chosen.update(best_fit({s: n for s, n in left.items() if n > 0}, capacity))
-            if best is None or sum(chosen.values()) < sum(best.values()):
-                best = chosen
-    volume = -(-sum(s * n for s, n in counts.items()) // capacity)
-    for share in (0.1, 0.2, 0.3, 0.4, 0.5, 0.5, 0.5, 0.5):
-        if sum(best.values()) <= volume:
+    volume, best = -(-sum(s * n for s, n in counts.items()) // capacity), None
+    for rounds, eta, fill in tries:
+        chosen, left = rounded(counts, capacity, rounds, eta, fill)
+        chosen.update(best_fit(left, capacity))
+        if best is None or sum(chosen.values()) < sum(best.values()):
+            best = chosen
+        if sum(best.values()) <= 1.001 * volume:
             break
-        rng, kept, left = np.random.default_rng(int(share * 100) + len(best)), Counter(), Counter()
-        for filling, times in sorted(best.items()):
-            full = sum(s * n for s, n in filling) == capacity
-            stay = times - int(rng.binomial(times, share)) if full else 0
-            if stay:
-                kept[filling] += stay
-            for s, n in filling:
-                left[s] += n * (times - stay)
-        kept.update(best_fit({s: n for s, n in left.items() if n > 0}, capacity))
-        if sum(kept.values()) <= sum(best.values()):
-            best = kept
     return best
 
 
@@ -323,36 +233,42 @@ def places(fillings: Counter[Filling]) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64)[order] for k, v in cols.items()}
 
 
-def pack(cut: DataFrame, capacity: int = 2048, rounds: int = 100, group_rows: int = 50_000) -> DataFrame:
-    """cut with sequence_id and offset. Full pieces get negative sequence numbers, others the plan's.
+def pack(cut: DataFrame, capacity: int = 2048, groups: int = 20_000, least: int = 500) -> DataFrame:
+    """cut, but for its salt, with sequence_id and offset. Full pieces get negative sequence numbers, others the plan's.
 
-    group_rows: pieces of one length are ranked in groups of about so many.
+    Pieces of one length are ranked in groups by salt, each of about a `groups`-th of all pieces, or of `least`. So there
+    are at most `groups` + `capacity` groups at any input size, whose first ranks are summed on the driver.
     """
     spark = cut.sparkSession
     counts = {r["length"]: r["count"] for r in cut.where(F.col("length") < capacity).groupBy("length").count().collect()}  # at most capacity - 1 rows
-    where = spark.sparkContext.broadcast(places(plan(counts, capacity, rounds)))
+    rows = max(least, -(-sum(counts.values()) // groups))
     # An array by length, so that a row's lookup costs the same for any number of busy lengths.
-    share = ",".join(str(max(1, -(-counts.get(s, 0) // group_rows))) for s in range(capacity + 1))
-    groups = F.get(F.expr(f"array({share})"), F.col("length").cast("int"))
-    salted = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), groups).cast("int"))
+    share = ",".join(str(max(1, -(-counts.get(s, 0) // rows))) for s in range(capacity + 1))
+    group = F.pmod("salt", F.get(F.expr(f"array({share})"), F.col("length").cast("int"))).cast("int")
+    part = cut.where(F.col("length") < capacity).withColumn("group", group)
+    sizes = {(r["length"], r["group"]): r["count"] for r in part.groupBy("length", "group").count().collect()}  # at most groups + capacity rows
+    base, before = {}, Counter()
+    for (length, g), n in sorted(sizes.items()):
+        base[length << 32 | g] = before[length]
+        before[length] += n
+    begins = np.array(sorted(base), np.int64), np.array([base[k] for k in sorted(base)], np.int64)
+    where = spark.sparkContext.broadcast((places(plan(counts, capacity)), begins))
     # Full pieces: each is a sequence; its number only has to differ from all others.
-    full = cut.where(F.col("length") >= capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = salted.where(F.col("length") < capacity)
-    # Where each group's ranks begin: one row for each group, summed within its length.
-    sizes = part.groupBy("length", "group").count()
-    begins = sizes.select("length", "group", (F.sum("count").over(Window.partitionBy("length").orderBy("group")) - F.col("count")).alias("base"))
-    row = F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = part.withColumn("row", row).join(begins, ["length", "group"]).select(*cut.columns, (F.col("base") + F.col("row")).alias("rank"))
+    kept = [c for c in cut.columns if c != "salt"]
+    full = cut.where(F.col("length") >= capacity).select(*kept, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    row = F.row_number().over(Window.partitionBy("length", "group").orderBy("salt", "doc_id", "piece", "start", "ids_crc32")) - 1
+    ranked = part.select(*kept, "group", row.cast("long").alias("row"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = where.value
+        at, (groups_at, first) = where.value
         key = at["length"] << 44 | at["rank"]
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            length, group, row = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "group", "row"))
+            rank = first[np.searchsorted(groups_at, length << 32 | group)] + row
             i = np.searchsorted(key, length << 44 | rank, "right") - 1
             turn = rank - at["rank"][i]
             sequence, copy = at["sequence"][i] + turn // at["each"][i], turn % at["each"][i]
-            kept = batch.drop_columns(["rank"])
+            kept = batch.drop_columns(["group", "row"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(at["offset"][i] + copy * length)], names=[*kept.schema.names, "sequence_id", "offset"])
 
     return full.unionByName(ranked.mapInArrow(settle, full.schema))

@@ -6,13 +6,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from pixelloom.llm import packing, sentpiece, tokencount
+from pixelloom.llm import bytebpe, packing, sentpiece, tokencount
 from pixelloom.llm.queries import op7_sentencepiece, op8_token_counts, op9_best_fit_packing
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -64,15 +65,21 @@ def test_count_needs_a_splitting_tokenizer(docs):
 @given(st.lists(texts, min_size=1, max_size=6))
 def test_byte_ids(batch):
     tok = tokencount.load(BYTE)
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.token_ids(batch, BYTE)] == [tok.encode(t, add_special_tokens=False).ids for t in batch]
+    assert bytebpe.token_ids(batch, BYTE) == [tok.encode(t, add_special_tokens=False).ids for t in batch]
 
 
 def test_byte_ids_with_a_tiny_cache(monkeypatch, byte):
-    monkeypatch.setattr(packing, "CACHE", 20)
+    monkeypatch.setattr(bytebpe, "CACHE", 20)
+    monkeypatch.setattr(bytebpe, "_encoders", {})
     rng = random.Random(4)
-    for _ in range(60):
+    for _ in range(300):
         batch = ["".join(rng.choice(CHUNKS) for _ in range(rng.randrange(25))) for _ in range(10)] + ["z" * 700]
-        assert [np.frombuffer(x, "<u4").tolist() for x in packing.token_ids(batch, BYTE)] == [byte.encode(t, add_special_tokens=False).ids for t in batch]
+        assert bytebpe.token_ids(batch, BYTE) == [byte.encode(t, add_special_tokens=False).ids for t in batch]
+
+
+def test_byte_ids_need_a_byte_level_tokenizer():
+    with pytest.raises(ValueError, match="byte-level"):
+        bytebpe.Encoder(WORD)
 
 
 def held(fillings):
@@ -86,7 +93,7 @@ def held(fillings):
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), min_size=1, max_size=12))
 def test_plans_hold_the_histogram(counts):
-    plan = packing.plan(counts, 40, rounds=20)
+    plan = packing.plan(counts, 40, tries=((10, 10.0, 1.0), (10, 10.0, 0.0)))
     assert held(plan) == Counter(counts) and all(sum(s * n for s, n in f) <= 40 for f in plan)
     assert held(packing.best_fit(counts, 40)) == Counter(counts)
     _, _, bound = packing.configuration_lp(counts, 40, 20)
@@ -110,6 +117,16 @@ def test_program_beats_plain_best_fit():
     assert sum(plan.values()) < sum(plain.values()) and sum(plan.values()) <= 1.02 * packing.configuration_lp(counts, 2048, 100)[2]
 
 
+def test_the_program_makes_the_plan(byte):
+    """On real lengths a twentieth of the pieces at most is left to best-fit, and the plan is near the dual bound."""
+    texts = [r["text"] or "" for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).to_pylist()]
+    lengths = [(len(ids) % 2048) + 1 for ids in bytebpe.token_ids(texts, BYTE)]
+    counts = {s: n for s, n in Counter(lengths).items() if s < 2048}
+    chosen, left = packing.rounded(counts, 2048, *packing.TRIES[0])
+    assert sum(left.values()) <= 0.05 * sum(counts.values()) and held(chosen) + left == Counter(counts)
+    assert sum(packing.plan(counts, 2048).values()) <= 1.01 * packing.configuration_lp(counts, 2048, 50)[2]
+
+
 def check_packing(rows, got, byte, capacity=2048):
     by_doc, by_sequence = {}, {}
     for r in got:
@@ -145,7 +162,7 @@ def test_packing_query(spark, docs, awkward, prose, byte, tmp_path):
 def test_packing_of_hot_lengths_and_repeated_rows(spark, docs, byte):
     rows = [(1, "one two three"), (1, "one two three")] + [(i, "four five") for i in range(2, 400)]
     cut = packing.pieces(docs(rows), BYTE, 64)
-    got = packing.pack(packing.C.stored(cut, "test"), 64, group_rows=50).collect()
+    got = packing.pack(packing.C.stored(cut, "test"), 64, groups=8, least=50).collect()
     assert len(got) == 400 and len({(r["sequence_id"], r["offset"]) for r in got}) == 400
     spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
     assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:]))
