@@ -41,8 +41,7 @@ def op3_flac_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return masked_lm.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Masked language model and quality classifier."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from pixelloom.llm import masked_lm, quality
-from pixelloom.llm.queries import op10_quality
+from pixelloom.llm.queries import op4_masked_lm, op10_quality
+from tests.llm.conftest import AWKWARD
 
 
 def grammar(n, seed, order=True):
@@ -20,61 +23,190 @@ def grammar(n, seed, order=True):
     return rows
 
 
+def ascii_words(text):
+    return [w for w in re.split("[ \\t-\\r]+", text or "") if w]
+
+
+def keys(words):
+    key, _, shape = masked_lm.keys_of(pa.array([w.encode() for w in words], pa.large_binary()))
+    return dict(zip(words, zip(key.tolist(), shape.tolist())))
+
+
 def test_counts_cover_all_documents(docs, monkeypatch):
-    monkeypatch.setattr(masked_lm, "HELD", 3)
-    rows = [(i, t) for i, t in enumerate(grammar(50, 1))]
-    got = {r["word"]: r["n"] for r in masked_lm.count_words(docs([*rows, (98, None), (99, "")])).collect()}
-    assert got == Counter(w for _, t in rows for w in t.split())
+    monkeypatch.setattr(masked_lm, "SLICE", 100)
+    rows = [*((i, t) for i, t in enumerate(grammar(50, 1))), *AWKWARD]
+    want = Counter(w for _, t in rows for w in ascii_words(t))
+    of = keys(list(want))
+    got = {r["key"]: r["n"] for r in masked_lm.count_words(docs(rows)).collect()}
+    assert got == {of[w][0]: n for w, n in want.items()} and len(got) == len(want)
+
+
+def test_keys_differ():
+    rng = random.Random(3)
+    words = list({"".join(rng.choice("abé\x00Z!") for _ in range(rng.choice([1, 2, 3, 5, 9, 2000]))) for _ in range(5000)})
+    assert len({k for k, _ in keys(words).values()}) == len(words)
+    assert keys(words[:100]) == {w: k for w, k in keys(words).items() if w in words[:100]}
+
+
+def brute_scores(rows, scorer):
+    """Each document's sum, word by word, in plain Python and double precision."""
+    v, net = scorer.vocabulary, masked_lm.Network(*(x.astype(np.float64) for x in scorer.network.parts()))
+    place = {k: i for i, k in enumerate(v.keys.tolist())}
+    counts = {r["key"]: r["n"] for r in scorer.counts.collect()}
+    mass = v.count[masked_lm.OWN :]
+    got = []
+    for _, text in rows:
+        words = ascii_words(text)
+        of = keys(words) if words else {}
+        code = [int(v.codes[place[of[w][0]]]) if of[w][0] in place else masked_lm.OWN + of[w][1] for w in words]
+        total = 0.0
+        for i, w in enumerate(words):
+            around = [code[i + d] if 0 <= i + d < len(code) else masked_lm.EDGE for d in (-2, -1, 1, 2)]
+            h = np.tanh(sum(net.gates[k] * net.vectors[c] for k, c in enumerate(around)) + net.bias)
+            c = code[i]
+            out, cluster = (int(x[0]) for x in masked_lm.outputs_of(np.array([c])))
+            logits = h @ net.first + net.first_bias
+            total += logits[out] - np.log(np.exp(logits).sum())
+            if cluster >= 0:
+                logits = h @ net.second[cluster] + net.second_bias[cluster]
+                total += logits[(c - masked_lm.SINGLES) % masked_lm.EACH] - np.log(np.exp(logits).sum())
+            if c >= masked_lm.OWN:
+                total += np.log(counts.get(of[w][0], 1)) - np.log(mass[c - masked_lm.OWN] + 1)
+        got.append((len(words), total))
+    return got
+
+
+def rare(n, seed):
+    rng = random.Random(seed)
+    return [" ".join("".join(rng.choice("abcdefghé") for _ in range(rng.choice([2, 3, 3, 4, 4]))) for _ in range(300)) for _ in range(n)]
+
+
+def test_scores_equal_plain_sums(docs, monkeypatch):
+    rows = [*enumerate(grammar(60, 1) + rare(60, 2)), *((1000 + k, t) for k, (_, t) in enumerate(AWKWARD))]
+    frame = docs(rows)
+    scorer = masked_lm.fit(frame, table=4500)
+    whole = {r["doc_id"]: tuple(r) for r in masked_lm.score(frame, scorer).collect()}
+    assert len(scorer.vocabulary.keys) == 4500 and scorer.counts.where("n > 1").count() > 100
+    for (i, _), (n, total) in zip(rows, brute_scores(rows, scorer)):
+        assert whole[i][1] == n and abs(whole[i][2] - total) < 1e-4 * (n + 1)
+    assert masked_lm.score(frame, scorer).where("doc_id = 7").first()[2] == whole[7][2]
+    foreign = [(1, "words that no one counted, Zyx"), (2, grammar(1, 9)[0])]
+    for r, (n, total) in zip(sorted(masked_lm.score(docs(foreign), scorer).collect()), brute_scores(foreign, scorer)):
+        assert r["n_words"] == n and abs(r["log_prob"] - total) < 1e-4 * (n + 1)
+
+
+def test_segments_see_their_neighbours(docs, monkeypatch):
+    rows = [*enumerate(grammar(10, 1)), (50, None), (51, "")]
+    frame = docs(rows)
+    scorer = masked_lm.fit(frame)
+    whole = sorted(masked_lm.score(frame, scorer).collect())
+    v = scorer.vocabulary
+    ids, counts = masked_lm.words_of(pa.array([rows[0][1]]))
+    assert counts.tolist() == [60] and len(ids) == 60
+
+    cut = encode_in_segments(docs, rows, v, 7, monkeypatch)
+    assert sorted(masked_lm.score_encoded(cut, scorer).collect()) == whole and cut.count() > 60
+
+
+def encode_in_segments(docs, rows, v, size, monkeypatch):
+    """The rows of `encode`, made in this process so that the segment size can be changed."""
+    import types
 
+    monkeypatch.setattr(masked_lm, "SEGMENT", size)
+    made = []
 
-def test_chances_sum_to_one_over_the_vocabulary(docs):
-    counts = masked_lm.count_words(docs([(i, t) for i, t in enumerate(grammar(80, 1))] + [(500 + i, f"rare{i} odd{i % 7}") for i in range(300)]))
-    v = masked_lm.build_vocabulary(counts, size=100)
-    net = masked_lm.Network.start(v.class_count)
-    context = np.repeat(np.array([[3], [1], [70], [masked_lm.EDGE]]), masked_lm.CLASSES, axis=1)
-    assert abs(np.exp(net.log_chances(context, np.arange(masked_lm.CLASSES))).sum() - 1) < 1e-4
-    words = [r["word"] for r in counts.collect()]
-    cls, share, _ = v.ids([" ".join(words)])
-    by_class = np.bincount(cls, np.exp(share), masked_lm.CLASSES)
-    assert (by_class <= 1 + 1e-6).all() and (by_class[: masked_lm.OWN][by_class[: masked_lm.OWN] > 0] == 1).all()
+    class Frame:
+        def mapInArrow(self, run, schema):
+            texts = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["doc_id", "text"])
+            made.extend(r for b in run(iter([texts])) for r in b.to_pylist())
+            return schema
 
+    class Docs:
+        sparkSession = types.SimpleNamespace(sparkContext=types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x)))
 
-def test_contexts():
-    got = masked_lm.contexts(np.array([5, 6, 7, 8]), np.array([3, 0, 1]))
-    E = masked_lm.EDGE
-    assert got.T.tolist() == [[E, E, 6, 7], [E, 5, 7, E], [5, 6, E, E], [E, E, E, E]]
+    monkeypatch.setattr(masked_lm.C, "id_and_text", lambda *a: types.SimpleNamespace(select=lambda *a: Frame()))
+    monkeypatch.setattr(masked_lm.C, "stored", lambda df, name: df)
+    schema = masked_lm.encode(Docs(), v)
+    monkeypatch.undo()
+    return docs([]).sparkSession.createDataFrame([tuple(r.values()) for r in made], schema)
 
 
-def test_gradient_step_lowers_the_loss():
+def test_chances_sum_to_one():
     rng = np.random.default_rng(0)
-    cls = np.tile([1, 2, 3, 4, 5], 400)
-    net = masked_lm.Network.start(np.ones(masked_lm.CLASSES))
-    context = masked_lm.contexts(cls, np.array([len(cls)]))
-    before = net.log_chances(context, cls).mean()
-    for _ in range(30):
-        net.train(context, cls, 0.5)
-    assert net.log_chances(context, cls).mean() > before + 1
-    assert np.allclose(masked_lm.Network.shaped(net.flat()).log_chances(context, cls), net.log_chances(context, cls))
-    assert rng is not None
+    net = masked_lm.Network.start(rng.integers(0, 1000, masked_lm.CODES))
+    framed = np.repeat(rng.integers(0, masked_lm.CODES, 5)[None, :], masked_lm.CODES, axis=0).astype(np.uint16)
+    framed[:, 2] = np.arange(masked_lm.CODES)
+    lp = net.scores(framed.ravel(), 5 * np.arange(masked_lm.CODES) + 2) / masked_lm.UNIT
+    assert abs(np.exp(lp).sum() - 1) < 1e-2
+
+
+def test_gradient_steps_lower_the_loss():
+    framed = np.concatenate([[masked_lm.EDGE] * 2, np.tile([1, 70, 200, masked_lm.OWN + 3, 5, 4000], 400), [masked_lm.EDGE] * 2]).astype(np.uint16)
+    places = np.arange(2, len(framed) - 2)
+    net = masked_lm.Network.start(np.ones(masked_lm.CODES))
+    before = net.scores(framed, places).mean()
+    for _ in range(10):
+        net.train(framed, places, 0.2)
+    assert net.scores(framed, places).mean() > before + 2 * masked_lm.UNIT
+    assert np.array_equal(masked_lm.Network.shaped(net.flat()).scores(framed, places), net.scores(framed, places))
+
+
+def test_gradients_by_differences():
+    """One step on one block moves along the true gradient's direction, checked by small changes of single weights."""
+    rng = np.random.default_rng(2)
+    framed = rng.integers(0, masked_lm.CODES, 300).astype(np.uint16)
+    places = np.arange(2, 298)
+    loss = lambda net: -net.scores(framed, places).sum() / masked_lm.UNIT
+    base, moved = (masked_lm.Network.start(np.ones(masked_lm.CODES)) for _ in range(2))
+    moved.train(framed, places, 1e-3, block=1000)
+    for name in ("vectors", "gates", "bias", "first", "first_bias", "second", "second_bias"):
+        step = getattr(moved, name) - getattr(base, name)
+        i = np.unravel_index(np.abs(step).argmax(), step.shape)
+        up, down = (masked_lm.Network.shaped(base.flat().copy()) for _ in range(2))
+        getattr(up, name)[i] += 0.02
+        getattr(down, name)[i] -= 0.02
+        assert (loss(up) - loss(down)) * step[i] < 0, name
+
+
+def test_masked_places():
+    sizes = np.array([4, 5, 14, 20])  # 0, 1, 10 and 16 words
+    for start in range(3):
+        got = masked_lm.masked_places(sizes, 3, np.full(4, start))
+        want, at = [], 0
+        for size in sizes:
+            want += [at + 2 + w for w in range(start, size - 4, 3)]
+            at += size
+        assert got.tolist() == want
 
 
 def test_ordered_text_scores_higher_than_shuffled(docs):
     train = docs([(i, t) for i, t in enumerate(grammar(400, 2))])
-    scorer = masked_lm.fit(train, share=1.0, rounds=3)
+    scorer = masked_lm.fit(train)
     good = masked_lm.score(docs([(i, t) for i, t in enumerate(grammar(20, 3))]), scorer).collect()
     bad = masked_lm.score(docs([(i, t) for i, t in enumerate(grammar(20, 3, order=False))]), scorer).collect()
     assert min(r["mean_log_prob"] for r in good) > max(r["mean_log_prob"] for r in bad)
     assert all(abs(r["log_prob"] - r["mean_log_prob"] * r["n_words"]) < 1e-6 for r in good)
 
 
-def test_lm_on_awkward_rows_and_empty_table(docs, awkward):
-    frame = docs(awkward, extra=True)
-    scorer = masked_lm.fit(frame)
-    got = {r["doc_id"]: r for r in masked_lm.score(frame, scorer).collect()}
-    for i, t in awkward:
-        n = len((t or "").split())
-        assert got[i]["n_words"] == n and np.isfinite(got[i]["log_prob"]) and (n > 0) == (got[i]["log_prob"] < 0)
-    assert got[9][1:] == got[10][1:]
+def test_lm_query_on_awkward_rows(spark, docs, tmp_path):
+    rows = [*AWKWARD, *((100 + i, t) for i, t in enumerate(grammar(30, 4) + rare(30, 5) + grammar(30, 4)))]
+    docs(rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4_masked_lm(spark, str(tmp_path)).collect()
+    by_id = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        n = len(ascii_words(t))
+        assert by_id[i]["n_words"] == n and np.isfinite(by_id[i]["log_prob"]) and (n > 0) == (by_id[i]["log_prob"] < 0)
+    assert by_id[9][1:] == by_id[10][1:] and all(by_id[100 + i][1:] == by_id[160 + i][1:] for i in range(30))
+
+
+def test_tasks_do_not_change_scores(docs):
+    frame = docs([(i, t) for i, t in enumerate(grammar(40, 4) + rare(40, 5))])
+    one, many = (sorted(masked_lm.fit_and_score(frame.repartition(n), shard_words=4000, table=4500).collect()) for n in (1, 7))
+    assert one == many
+
+
+def test_lm_of_empty_tables(docs):
     none = masked_lm.fit(docs([]))
     assert masked_lm.score(docs([]), none).count() == 0
     assert np.isfinite(masked_lm.score(docs([(1, "some words")]), none).first()["log_prob"])
@@ -83,14 +215,13 @@ def test_lm_on_awkward_rows_and_empty_table(docs, awkward):
 def test_every_document_trains_the_network(docs):
     for i in (1, 2, 3, 4, None):
         scorer = masked_lm.fit(docs([(i, grammar(1, 5)[0])]), rounds=1)
-        assert not np.array_equal(scorer.network.flat(), masked_lm.Network.start(scorer.vocabulary.class_count).flat())
+        assert not np.array_equal(scorer.network.flat(), masked_lm.Network.start(scorer.vocabulary.count).flat())
 
 
-def test_block_sizes_do_not_change_scores():
-    rng = np.random.default_rng(1)
-    net = masked_lm.Network.start(np.ones(masked_lm.CLASSES))
-    context, target = rng.integers(0, masked_lm.CLASSES, (4, 500)), rng.integers(0, masked_lm.CLASSES, 500)
-    assert np.allclose(net.log_chances(context, target), net.log_chances(context, target, block=7), atol=1e-5)
+def test_words_as_frequent_as_the_last_enter_by_key(docs):
+    counts = masked_lm.count_words(docs([(i, f"once{i} twice{i // 2}") for i in range(4000)]))
+    v = masked_lm.build_vocabulary(counts, 3000)
+    assert 2800 <= len(v.keys) <= 3000 and (np.diff(v.keys) > 0).all()
 
 
 def junk(kind, n, rng):
