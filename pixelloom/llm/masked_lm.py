@@ -127,15 +127,13 @@ def build_vocabulary(counts: DataFrame, size: int = TABLE) -> Vocabulary:
     n = F.col("n")
     level = F.when(n <= FINE, n).otherwise(FINE + F.floor(F.log2(n / FINE) * 16)).cast("int")  # counts, then sixteenths of powers of two
     sums = {r["shape"]: r["n"] for r in counts.groupBy("shape").agg(F.sum("n").alias("n")).collect()}  # at most SHAPES rows
-    room, chosen = size, F.lit(False)
+    room, chosen = size, F.lit(True)
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # at most FINE + 16 * 52 rows
         if r["count"] > room:
             share = (room + 4 * room**0.5 + 16) / r["count"]
-            chosen |= (level == r["level"]) & (F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)))
+            chosen = (level > r["level"]) | (level == r["level"]) & (F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)))
             break
-        chosen |= level == r["level"] if r["level"] <= FINE else F.lit(False)
         room -= r["count"]
-    chosen |= level > FINE
     got = counts.where(chosen).select("key", "tail", "shape", "n").toArrow()
     key, tail, shape, n = (got.column(c).to_numpy() for c in ("key", "tail", "shape", "n"))
     order = np.lexsort((key, -n))[:size]

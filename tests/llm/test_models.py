@@ -218,6 +218,12 @@ def test_every_document_trains_the_network(docs):
         assert not np.array_equal(scorer.network.flat(), masked_lm.Network.start(scorer.vocabulary.count).flat())
 
 
+def test_vocabulary_of_many_different_counts(spark):
+    counts = spark.range(1, 9001).selectExpr("id * 7919 as key", "id as tail", "id % 32 as shape", "id as n")
+    v = masked_lm.build_vocabulary(counts, 5000)
+    assert sorted(v.keys.tolist()) == [7919 * i for i in range(4001, 9001)] and v.total == 9000 * 9001 // 2 == v.count.sum()
+
+
 def test_words_as_frequent_as_the_last_enter_by_key(docs):
     counts = masked_lm.count_words(docs([(i, f"once{i} twice{i // 2}") for i in range(4000)]))
     v = masked_lm.build_vocabulary(counts, 3000)
