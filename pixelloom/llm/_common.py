@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def words_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words (runs between ASCII white space) of a column of texts, dictionary encoded, and how many each text has."""
+    split = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
+    flat = split.flatten()
+    solid = pc.greater(pc.binary_length(flat), 0)  # the ends of a text give empty words
+    ends = np.append(0, np.cumsum(solid.to_numpy(zero_copy_only=False)))
+    cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+    return flat.filter(solid).cast(pa.large_binary()).dictionary_encode(), np.diff(ends[cuts])
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number for each word of UTF-8 texts back to back; equal words have equal numbers."""
+    texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data.tobytes())])
+    return words_of(texts)[0].indices.to_numpy()
+
+
 def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Runs of rows that hold about `limit` bytes; a longer row is a run of its own."""
     i, n = 0, len(offsets) - 1

@@ -29,7 +29,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,16 +56,6 @@ _OPEN[65:91] = True  # capitals
 _SHUT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False  # marks
 
 
-def words_of(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """All words of a column of texts, dictionary encoded, and how many each text has."""
-    split = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
-    flat = split.flatten()
-    solid = pc.greater(pc.binary_length(flat), 0)  # the ends of a text give empty words
-    ends = np.append(0, np.cumsum(solid.to_numpy(zero_copy_only=False)))
-    cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
-    return flat.filter(solid).cast(pa.large_binary()).dictionary_encode(), np.diff(ends[cuts])
-
-
 def keys_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit key, the last 7 bytes as a number, and the shape of each word; words must not be empty."""
     data, offsets = C.text_bytes(words)
@@ -95,7 +84,7 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             _, offsets = C.text_bytes(batch.column(0))
             for i, j in C.slices(offsets, SLICE):
-                words, _ = words_of(batch.column(0).slice(i, j - i))
+                words, _ = C.words_of(batch.column(0).slice(i, j - i))
                 n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys_of(words.dictionary), n)], names=["key", "tail", "shape", "n"])
 
@@ -165,7 +154,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
         for batch in batches:
             _, offsets = C.text_bytes(batch.column(1))
             for i, j in C.slices(offsets, SLICE):
-                words, n = words_of(batch.column(1).slice(i, j - i))
+                words, n = C.words_of(batch.column(1).slice(i, j - i))
                 key, _, shape = keys_of(words.dictionary)
                 at = np.minimum(np.searchsorted(v.keys, key), max(len(v.keys) - 1, 0))
                 known = v.keys[at] == key if len(v.keys) else np.zeros(len(key), bool)

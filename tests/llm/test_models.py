@@ -1,7 +1,9 @@
 """Masked language model and quality classifier."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -101,7 +103,7 @@ def test_segments_see_their_neighbours(docs, monkeypatch):
     scorer = masked_lm.fit(frame)
     whole = sorted(masked_lm.score(frame, scorer).collect())
     v = scorer.vocabulary
-    ids, counts = masked_lm.words_of(pa.array([rows[0][1]]))
+    ids, counts = masked_lm.C.words_of(pa.array([rows[0][1]]))
     assert counts.tolist() == [60] and len(ids) == 60
 
     cut = encode_in_segments(docs, rows, v, 7, monkeypatch)
@@ -247,7 +249,7 @@ def mixed(n, seed):
 def test_label_model_and_scorer(docs):
     rows = mixed(600, 1)
     model = quality.fit(docs([r[:2] for r in rows]))
-    assert 0.6 < model.labels.prior < 0.95 and all(0 <= a <= 1 for a in model.labels.accuracies().values())
+    assert 0.6 < model.labels.share[-1] < 0.95 and all(0 <= a <= 1 for a in model.labels.accuracies().values())
     fresh = mixed(300, 2)
     got = {r["doc_id"]: r for r in quality.classify(docs([r[:2] for r in fresh]), model).collect()}
     good = [got[i]["keep"] for i, _, k in fresh if k == "good"]
@@ -255,14 +257,97 @@ def test_label_model_and_scorer(docs):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.05
 
 
-def test_posterior_by_hand():
-    v = np.array([[quality.GOOD] * 8, [quality.BAD] + [quality.GOOD] * 7])
-    model = quality.estimate(v, np.array([90.0, 10.0]))
+def brute_statistics(text):
+    raw = text.encode()
+    words = raw.split()
+    solid = [b for b in raw if b not in b" \t\n\r\x0b\x0c"]
+    mark = lambda b: b in quality.MARKS
+    letter = lambda b: b > 127 or chr(b).isalpha()
+    share = lambda hits, of: sum(hits) / max(len(of), 1)
+    ascii_letters = [b for b in raw if b < 128 and chr(b).isalpha()]
+    lines = [p for p in raw.split(b"\n") if p]
+    folded = Counter(raw.lower())
+    return [
+        share((b in quality.SYMBOLS for b in solid), solid),
+        share(map(mark, solid), solid),
+        share(map(letter, solid), solid),
+        share((65 <= b <= 90 for b in ascii_letters), ascii_letters),
+        share((mark(a) and a == b for a, b in zip(raw, raw[1:])), solid),
+        share((not any(map(letter, w)) for w in words), words),
+        share((mark(w[-1]) for w in words), words),
+        share((a == b for a, b in zip(words, words[1:])), words),
+        max(Counter(words).values(), default=0) / max(len(words), 1),
+        len(zlib.compress(raw, 1)) / len(raw) if len(words) >= 30 else 1.0,
+        -sum(n / len(raw) * np.log2(n / len(raw)) for n in folded.values()),
+        len(set(lines)) / len(lines) if raw.count(b"\n") >= 4 else 1.0,
+    ]
+
+
+def test_statistics_by_plain_counting():
+    texts = [t for _, t in AWKWARD] + [t for _, t, _ in mixed(60, 5)] + ["a\n" * 9, "!!", "!", "! x !!", " lead and trail ", "one\n\none\ntwo\none\n"]
+    data, offsets = quality.C.text_bytes(pa.array(texts, pa.string()))
+    stats, words = quality.statistics(data, offsets)
+    for t, row, n in zip(texts, stats, words):
+        assert n == len((t or "").encode().split())
+        if t:
+            assert np.allclose(row, brute_statistics(t)), t
+
+
+def test_estimates_equal_plain_em_over_rows(docs):
+    """The estimate from counted patterns is that of the same rounds over every single row."""
+    rows = mixed(250, 3)
+    v, counts = quality.tally(docs([r[:2] for r in rows]))
+    model = quality.estimate(v, counts, rounds=25)
+    each = [quality.votes(*quality.C.text_bytes(pa.array([t])))[0].tolist() for _, t, _ in rows]
+    kinds = range(3)
+    chance = []
+    for row in each:
+        start = [0.25 + sum(x == quality.BAD for x, f in zip(row, quality.FAMILY) if f == k) for k in (0, 1)] + [1 + sum(x == quality.GOOD for x in row)]
+        chance.append([x / sum(start) for x in start])
+    for _ in range(25):
+        share = [max(sum(c[k] for c in chance) / len(each), 1e-3) for k in kinds]
+        rates = {}
+        for j in range(len(quality.LABELLERS)):
+            for k in kinds:
+                cast = [sum(c[k] for c, row in zip(chance, each) if row[j] == x) + 0.5 for x in (quality.BAD, quality.GOOD)]
+                for x, n in zip((quality.BAD, quality.GOOD), cast):
+                    rates[j, k, x] = n / sum(cast)
+        chance = []
+        for row in each:
+            like = [share[k] * math.prod(rates[j, k, x] for j, x in enumerate(row) if x != quality.ABSTAIN) for k in kinds]
+            chance.append([x / sum(like) for x in like])
+    assert np.allclose(model.share, share) and np.allclose(model.kinds(np.array(each)), chance, atol=1e-6)
+
+
+def test_accuracies_decide():
+    """A labeller that errs alone is overruled; votes that others bear out are not."""
+    good = [quality.GOOD] * 12
+    alone, clutter = good.copy(), good.copy()
+    alone[7] = quality.BAD
+    clutter[0] = clutter[1] = clutter[4] = clutter[6] = quality.BAD
+    v = np.array([good, alone, clutter, [quality.ABSTAIN] * 12])
+    model = quality.estimate(v, np.array([700.0, 200.0, 100.0, 1.0]))
     p = model.posterior(v)
-    assert p[0] > 0.9 and p[1] <= 0.05 + 1e-12
+    assert p[0] > 0.99 and p[2] < 0.01 and 0.5 < p[3]
+    few = quality.estimate(v, np.array([900.0, 0.0, 100.0, 1.0]))
+    assert few.posterior(v)[0] > 0.99 and model.accuracies()["marks"] > 0.99
+    own = quality.LabelModel(np.array([0.1, 0.1, 0.8]), np.array([[[0.9, 0.1], [0.1, 0.9], [0.2, 0.8]]] * 12))
+    weak = quality.LabelModel(own.share, np.array([[[0.6, 0.4], [0.4, 0.6], [0.5, 0.5]]] * 12))
+    want = 0.8 * 0.8**11 * 0.2 / (0.8 * 0.8**11 * 0.2 + 0.1 * 0.1**11 * 0.9 + 0.1 * 0.9**11 * 0.1)
+    assert abs(own.posterior(v[1:2])[0] - want) < 1e-9 and weak.posterior(v[1:2])[0] != own.posterior(v[1:2])[0]
     assert quality.unpacked(quality.packed(v)).tolist() == v.tolist()
 
 
+def test_sample_stays_bounded(docs):
+    """Rows that share id and text are all chosen or none, and yet the bound holds."""
+    bad = "!! ".join(["WORD"] * 40)
+    frame = docs([(None, bad)] * 300 + [(1, t) for t in grammar(300, 1)] + [(5, bad)] * 300)
+    for per_class in (10, 50):
+        model = quality.fit(frame, per_class=per_class)
+        got = quality.classify(frame, model).collect()
+        assert len(got) == 900 and all(r["keep"] == (r["doc_id"] == 1) for r in got)
+
+
 def test_quality_on_awkward_rows(spark, docs, awkward, tmp_path):
     docs(awkward, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r for r in op10_quality(spark, str(tmp_path)).collect()}
