@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Clinical window presets (name, centre, width).
+#: Least and greatest zoom, and clinical window presets (name, centre, width).
+ZOOM = (0.5, 5.0)
 PRESETS = [("Brain", 40.0, 80.0), ("Lung", -600.0, 1500.0), ("Bone", 400.0, 1800.0), ("Soft tissue", 40.0, 400.0)]
 
 
@@ -14,8 +15,9 @@ def presets(spark: SparkSession) -> DataFrame:
 
 
 def with_presets(frames: DataFrame) -> DataFrame:
-    """Each frame once for each of the four presets."""
-    return frames.crossJoin(F.broadcast(presets(frames.sparkSession)))
+    """Each frame once for each of the four presets, from a literal array: nothing is joined or exchanged."""
+    rows = F.array(*[F.struct(F.lit(n).alias("preset"), F.lit(c).alias("preset_center"), F.lit(w).alias("preset_width")) for n, c, w in PRESETS])
+    return frames.select("*", F.inline(rows))
 
 
 def aspect_ratio(rows: Column, columns: Column, row_spacing: Column, column_spacing: Column) -> Column:
@@ -41,6 +43,17 @@ def overlay_or_error(overlay: Column, error: Column) -> Column:
     return F.when(error.isNotNull(), F.concat(F.lit("Error rendering image:\n"), error["message"])).otherwise(overlay)
 
 
+def pinched(scale: Column, factor: Column) -> Column:
+    """The view's scale after a pinch, within the limits of zoom."""
+    return F.least(F.greatest(scale * factor, F.lit(ZOOM[0])), F.lit(ZOOM[1]))
+
+
+def view_of(matrix: Column) -> Column:
+    """struct<scale, x, y> of a view's 4 x 4 matrix, column by column: its greatest axis scale, and where it is moved to."""
+    axis = lambda k: F.sqrt(sum((F.get(matrix, F.lit(4 * k + i)) * F.get(matrix, F.lit(4 * k + i)) for i in range(1, 3)), F.get(matrix, F.lit(4 * k)) * F.get(matrix, F.lit(4 * k))))
+    return F.struct(F.greatest(*(axis(k) for k in range(3))).alias("scale"), F.get(matrix, F.lit(12)).alias("x"), F.get(matrix, F.lit(13)).alias("y"))
+
+
 def cine_frame(start: Column, tick: Column, frames: Column) -> Column:
     """The frame shown after `tick` steps; a single frame stays."""
     return F.when(frames > 1, F.pmod(start + tick, frames)).otherwise(start)

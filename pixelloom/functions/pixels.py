@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pixelloom.session import bound
+
 
 def masked(value: Column, bits_stored: Column) -> Column:
     """The low bits_stored bits."""
@@ -26,15 +28,28 @@ def _power(bits: Column) -> Column:
 def stored_values(payload: Column, count: Column, bits_allocated: int, little: Column) -> Column:
     """payload's 8-, 16- or 32-bit unsigned samples: exactly `count`, short input filled with zeros, excess ignored."""
     n = bits_allocated // 8
-    h = F.hex(payload)
 
-    def one(i: Column) -> Column:
-        word = F.substring(h, (i * (2 * n) + 1).cast("int"), F.lit(2 * n)) if n > 1 else F.substring(h, (i * 2 + 1).cast("int"), F.lit(2))
-        swapped = F.concat(*[F.substring(word, 2 * k + 1, 2) for k in reversed(range(n))])
-        return F.when((i + 1) * n <= F.octet_length(payload), F.conv(F.when(little, swapped).otherwise(word), 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    def samples(x: Column) -> Column:
+        def one(i: Column) -> Column:
+            # Bytes are cut from the binary itself, so each sample costs the same wherever it stands.
+            parts = [F.hex(F.substring(x["bytes"], (i * n + k + 1).cast("int"), F.lit(1))) for k in range(n)]
+            word = F.when(x["little"], F.concat(*reversed(parts))).otherwise(F.concat(*parts))
+            return F.when((i + 1) * n <= x["size"], F.conv(word, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), x["count"] - 1), one)
+
+    x = F.struct(payload.alias("bytes"), little.alias("little"), F.octet_length(payload).alias("size"), count.cast("bigint").alias("count"))
+    return F.when((count <= 0) | (F.octet_length(payload) == 0), F.array().cast("array<bigint>")).otherwise(bound(x, samples))
+
+
+def byte_values(data: Column, step: int = 1, first: int = 0) -> Column:
+    """Every step-th byte from the first-th on, as numbers."""
+
+    def values(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.conv(F.hex(F.substring(x["bytes"], i * step + (first + 1), F.lit(1))), 16, 10).cast("int"))
 
-    filled = F.transform(F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1), one)
-    return F.when((count <= 0) | (F.octet_length(payload) == 0), F.array().cast("array<bigint>")).otherwise(filled)
+    n = F.ceil((F.octet_length(data) - first) / step).cast("int")
+    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(bound(F.struct(data.alias("bytes"), n.alias("n")), values))
 
 
 def rescaled(stored: Column, slope: Column, intercept: Column) -> Column:

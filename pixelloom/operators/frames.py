@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.errors import FORMAT, RANGE, STATE, UNSUPPORTED, error, first_error
 from pixelloom.functions.dictionaries import RLE, is_encapsulated, syntax_name
-from pixelloom.session import once
+from pixelloom.session import bound, once
 
 #: What a frame needs of its instance.
 NEEDS = ["transfer_syntax_uid", "number_of_frames", "rows", "columns", "samples_per_pixel", "bits_allocated", "encapsulated_data", "native_pixel_bytes"]
@@ -23,7 +23,8 @@ def offset_table_error(offsets: Column, starts: Column, frames: Column) -> Colum
     """Error of a Basic Offset Table against its fragments' starts: count, order, then places. An empty table is right."""
     n = F.size(offsets)
     falls = F.exists(F.arrays_zip(F.slice(offsets, 1, F.greatest(n - 1, F.lit(0))).alias("a"), F.slice(offsets, 2, F.greatest(n - 1, F.lit(0))).alias("b")), lambda p: p["a"] > p["b"])
-    pairs = F.filter(F.transform(offsets, lambda o, i: F.struct(i.alias("i"), o.alias("o"), F.get(starts, i).alias("s"))), lambda p: p["s"].isNotNull() & (p["o"] != p["s"]))
+    both = F.transform(F.arrays_zip(offsets.alias("o"), starts.alias("s")), lambda p, i: F.struct(i.alias("i"), p["o"].alias("o"), p["s"].alias("s")))
+    pairs = F.filter(both, lambda p: p["o"].isNotNull() & p["s"].isNotNull() & (p["o"] != p["s"]))
     bad = F.get(pairs, F.lit(0))
     message = F.concat(F.lit("Basic Offset Table entry count ("), n.cast("string"), F.lit(") does not match numberOfFrames ("), frames.cast("string"), F.lit(")."))
     place = F.concat(F.lit("Basic Offset Table entry "), bad["i"].cast("string"), F.lit(" ("), bad["o"].cast("string"), F.lit(") does not match fragment relative offset ("), bad["s"].cast("string"), F.lit(")."))
@@ -69,55 +70,68 @@ def presence_error(wrapped: Column, data: Column) -> Column:
     return first_error((wrapped.isNull() & data.isNull(), absent), (F.size(wrapped["fragments"]) == 0, empty), (wrapped.isNull() & (F.octet_length(data) == 0), absent))
 
 
-def _error_of(at: Column) -> Column:
-    """The error of frame `at`: its instance's own first, then each check in its order; over the columns in NEEDS."""
+def _instance() -> Column:
+    """What all frames of an instance share, so that it is worked out once a file; over the columns in NEEDS."""
     frames, wrapped, data, uid = (F.col(c) for c in ("number_of_frames", "encapsulated_data", "native_pixel_bytes", "transfer_syntax_uid"))
-    rle, fragments = uid == RLE, wrapped["fragments"]
-    _, late = slice_of(data, at, _size(), frames)
+    fragments = wrapped["fragments"]
     message = F.concat(F.lit("Unsupported Transfer Syntax: "), syntax_name(uid), F.lit(" ("), uid, F.lit("). Uncompressed and RLE Lossless files are supported."))
     count = F.concat(F.lit("DICOM PS3.5 Annex G Violation: RLE Lossless multi-frame image has "), F.size(fragments).cast("string"), F.lit(" fragments for "), frames.cast("string"), F.lit(" frames. Per Annex G Section G.2, each RLE frame must be contained in exactly one Fragment."))
     missing = presence_error(wrapped, data)
-    out_of_range = range_error(at, frames)
-    # An encapsulated stream has no frame but those it counts, so zero frames are out of range there.
-    rle_range = F.when(rle & ((at < 0) | (at >= frames)), error(RANGE, F.concat(F.lit("Invalid frameIndex "), at.cast("string"), F.lit(" (total frames: "), frames.cast("string"), F.lit(")."))))
     table = offset_table_error(wrapped["bot_offsets"], F.transform(fragments, lambda f: f["relative_tag_start"]), frames)
-    return first_error(
-        (F.col("error").isNotNull(), F.col("error")),
-        (missing.isNotNull(), missing),
-        (out_of_range.isNotNull(), out_of_range),
-        (rle & wrapped.isNull(), error(FORMAT, "Invalid RLE DICOM data: Pixel Data (7FE0,0010) is explicit length. RLE Lossless requires encapsulated undefined length data per DICOM PS3.5.")),
-        (rle_range.isNotNull(), rle_range),
-        (rle & table.isNotNull(), table),
-        (rle & (frames != 1) & (F.size(fragments) != frames), error(FORMAT, count)),
-        (~rle & looks_compressed(data, uid), error(UNSUPPORTED, message)),
-        (~rle & late.isNotNull(), late),
+    explicit = error(FORMAT, "Invalid RLE DICOM data: Pixel Data (7FE0,0010) is explicit length. RLE Lossless requires encapsulated undefined length data per DICOM PS3.5.")
+    rle = uid == RLE
+    return F.struct(
+        rle.alias("rle"),
+        frames.alias("frames"),
+        fragments.alias("fragments"),
+        data.alias("data"),
+        frame_bytes(*(F.col(c) for c in ("rows", "columns", "samples_per_pixel", "bits_allocated"))).alias("size"),
+        first_error((F.col("error").isNotNull(), F.col("error")), (missing.isNotNull(), missing)).alias("own"),
+        F.when(rle & wrapped.isNull(), explicit).alias("explicit"),
+        F.when(rle, first_error((table.isNotNull(), table), ((frames != 1) & (F.size(fragments) != frames), error(FORMAT, count)))).alias("cut"),
+        F.when(~rle & looks_compressed(data, uid), error(UNSUPPORTED, message)).alias("unsupported"),
     )
 
 
-def _size() -> Column:
-    return frame_bytes(*(F.col(c) for c in ("rows", "columns", "samples_per_pixel", "bits_allocated")))
+def _error_of(x: Column, at: Column, image: bool) -> Column:
+    """The error of frame `at` of instance x: the instance's own first, then each check in its order.
+
+    For images compression is looked at before the frame's number, for bare RGBA after all else.
+    """
+    frames = x["frames"]
+    _, late = slice_of(x["data"], at, x["size"], frames)
+    out_of_range = range_error(at, frames)
+    # An encapsulated stream has no frame but those it counts, so zero frames are out of range there.
+    rle_range = F.when(x["rle"] & ((at < 0) | (at >= frames)), error(RANGE, F.concat(F.lit("Invalid frameIndex "), at.cast("string"), F.lit(" (total frames: "), frames.cast("string"), F.lit(")."))))
+    checks = [x["own"], out_of_range, x["explicit"], rle_range, x["cut"], x["unsupported"], F.when(~x["rle"], late)]
+    if image:
+        checks.insert(1, checks.pop(5))
+    return F.coalesce(*checks)
 
 
-def _payload_of(at: Column) -> Column:
-    frames, data = F.col("number_of_frames"), F.col("native_pixel_bytes")
-    fragments = F.col("encapsulated_data")["fragments"]
-    one = F.when(frames == 1, flat_bytes(fragments)).otherwise(F.get(fragments, at.cast("int"))["payload"])
-    return F.when(F.col("transfer_syntax_uid") == RLE, one).otherwise(slice_of(data, at, _size(), frames)[0])
+def _payload_of(x: Column, at: Column) -> Column:
+    one = F.when(x["frames"] == 1, flat_bytes(x["fragments"])).otherwise(F.get(x["fragments"], at.cast("int"))["payload"])
+    return F.when(x["rle"], one).otherwise(slice_of(x["data"], at, x["size"], x["frames"])[0])
 
 
 @once
-def _cut() -> Column:
+def _cut(image: bool) -> Column:
     """array<struct<frame_index, payload, error>> of the frames listed in `_frames`."""
-    checked = F.transform("_frames", lambda i: F.struct(i.alias("i"), _error_of(i).alias("e")))
-    return F.transform(checked, lambda f: F.struct(f["i"].alias("frame_index"), F.when(f["e"].isNull(), _payload_of(f["i"])).alias("payload"), f["e"].alias("error")))
+
+    def cut(x: Column) -> Column:
+        checked = F.transform("_frames", lambda i: F.struct(i.alias("i"), _error_of(x, i, image).alias("e")))
+        return F.transform(checked, lambda f: F.struct(f["i"].alias("frame_index"), F.when(f["e"].isNull(), _payload_of(x, f["i"])).alias("payload"), f["e"].alias("error")))
+
+    return bound(_instance(), cut)
 
 
-def extract(instances: DataFrame, index: Column | None = None) -> DataFrame:
+def extract(instances: DataFrame, index: Column | None = None, image: bool = False) -> DataFrame:
     """A row for each frame: instances' columns (without the pixel bytes), frame_index, payload and error.
 
     Frames are cut before rows are multiplied, so no row carries more pixels than its own. With `index` (a
     column or literal) only that frame is cut, whether it exists or not. An instance's own error stays.
+    With `image` the checks come in the order of images.
     """
     every = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("number_of_frames"), F.lit(1)) - 1) if index is None else F.array(index.cast("bigint"))
     kept = [c for c in instances.columns if c not in ("encapsulated_data", "native_pixel_bytes", "error")]
-    return instances.select("*", every.alias("_frames")).select(*kept, F.inline(_cut()))
+    return instances.select("*", every.alias("_frames")).select(*kept, F.inline(_cut(image)))

@@ -9,7 +9,7 @@ from pixelloom.errors import FORMAT, UNSUPPORTED, error, first_error
 from pixelloom.functions import values as V
 from pixelloom.functions.dictionaries import tag_text
 from pixelloom.operators.dataset import element, getters
-from pixelloom.session import once
+from pixelloom.session import bound, once
 
 CHANNELS = ("Red", "Green", "Blue")
 
@@ -28,10 +28,9 @@ def descriptor(e: Column, signed_pixels: Column) -> Column:
 
 def entries(e: Column, d: Column) -> Column:
     """A channel's entries as bytes: 8-bit ones as they are, 16-bit ones by their high byte."""
-    h = F.hex(e["value_bytes"])
-    high = F.when(e["is_little_endian"], F.lit(3)).otherwise(F.lit(1))
-    words = F.transform(F.sequence(F.lit(0), d["n"] - 1), lambda i: F.substring(h, i * 4 + high, F.lit(2)))
-    return F.when(d["bits"] == 8, F.substring(e["value_bytes"], F.lit(1), d["n"])).otherwise(F.unhex(F.array_join(words, "")))
+    x = F.struct(e["value_bytes"].alias("bytes"), F.when(e["is_little_endian"], F.lit(2)).otherwise(F.lit(1)).alias("high"), d["n"].alias("n"))
+    wide = bound(x, lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.hex(F.substring(x["bytes"], i * 2 + x["high"], F.lit(1)))), "")))
+    return F.when(d["bits"] == 8, F.substring(e["value_bytes"], F.lit(1), d["n"])).otherwise(wide)
 
 
 @once

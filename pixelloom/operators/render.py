@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,14 +115,19 @@ def rgba(stored: np.ndarray, f: dict, center: float | None = None, width: float
     return out, float(center), float(width)
 
 
-def frames_of(parsed: DataFrame, index: Column | None = None) -> DataFrame:
-    """Frames of parsed files with all that rendering needs; pass `index` to cut no other frame."""
+def frames_of(parsed: DataFrame, index: Column | None = None, image: bool = False) -> DataFrame:
+    """Frames of parsed files with all that rendering needs; pass `index` to cut no other frame, `image` for the checks of images."""
     rows = with_dataset(parsed)
     found = getters()
     table, failed = palette("dataset")
     coloured = D.photometric(found["photometric_interpretation"]) == "paletteColor"
     rows = rows.select("file_id", *(found[n].alias(n) for n in dict.fromkeys([*NEEDS, *INFO])), F.when(coloured, table).alias("palette"), F.when(coloured, failed).alias("palette_error"), "error")
-    return extract(rows, index)
+    return extract(rows, index, image)
+
+
+def render_images(parsed: DataFrame, index: Column | None = None, center: float | None = None, width: float | None = None) -> DataFrame:
+    """render, with the checks that images need, in their order."""
+    return render(frames_of(parsed, index, image=True), center, width, image=True, keep=["columns", "rows"])
 
 
 def render(frames: DataFrame, center: float | None = None, width: float | None = None, image: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -152,13 +157,26 @@ def render(frames: DataFrame, center: float | None = None, width: float | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [one(f) for f in batch.to_pylist()]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array([g[i] for g in got], t) for i, t in enumerate(kinds))], names=schema.names)
+            for part, got in _runs(batch, one, lambda g: len(g[0] or b"")):
+                kept = [part.column(part.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array([g[i] for g in got], t) for i, t in enumerate(kinds))], names=schema.names)
 
     return frames.select(*used).mapInArrow(run, schema)
 
 
+def _runs(batch: pa.RecordBatch, one: Callable[[dict], tuple], size: Callable[[tuple], int], most: int = 1 << 26) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Runs of a batch's rows with what `one` makes of each, about `most` bytes of it at a time; a row at a time is made a dict."""
+    begin, got, held = 0, [], 0
+    for i in range(batch.num_rows):
+        got.append(one(batch.slice(i, 1).to_pylist()[0]))
+        held += size(got[-1])
+        if held >= most:
+            yield batch.slice(begin, len(got)), got
+            begin, got, held = i + 1, [], 0
+    if got:
+        yield batch.slice(begin, len(got)), got
+
+
 def decode(frames: DataFrame) -> DataFrame:
     """file_id, frame_index, stored (array of samples) and error for every frame."""
     schema = f"file_id string, frame_index bigint, stored array<bigint>, error {SCHEMA}"
@@ -174,8 +192,8 @@ def decode(frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [one(f) for f in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.struct([("kind", pa.string()), ("message", pa.string())]))], names=["file_id", "frame_index", "stored", "error"])
+            for part, got in _runs(batch, one, lambda g: 0 if g[0] is None else g[0].nbytes):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.struct([("kind", pa.string()), ("message", pa.string())]))], names=["file_id", "frame_index", "stored", "error"])
 
     return frames.select(*used).mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import dictionaries as D
 from pixelloom.functions import display, pixels, values
 from pixelloom.operators import dataset, frames, palette, render, rle, windowing
-from pixelloom.sources import dicom, writer
+from pixelloom.sources import dicom, part10, writer
 from pixelloom.streaming import interaction
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,13 +106,13 @@ def window_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rgb(spark: SparkSession, sf_dir: str, planar: bool) -> DataFrame:
-    rows = stored(spark, sf_dir).select("vec_id", "stored", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(20).cast("bigint"))).alias("i"))
-    return rows.select("vec_id", "i", F.inline(F.array(pixels.rgb_at(F.col("stored"), F.col("i"), F.lit(21), F.lit(planar)))))
+    rows = stored(spark, sf_dir).select("vec_id", "stored", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(21).cast("bigint"))).alias("i"))
+    return rows.select("vec_id", "i", F.inline(F.array(pixels.rgb_at(F.col("stored"), F.col("i"), F.lit(22), F.lit(planar)))))
 
 
 def _rgb_sql(at: Callable[[int], str]) -> str:
-    cols = ", ".join(f"CAST(greatest(least(stored[{at(k)}], 255), 0) AS INTEGER) AS {c}" for k, c in enumerate("rgb"))
-    return f"WITH {STORED}, x AS (SELECT vec_id, stored, CAST(unnest(range(21)) AS BIGINT) AS i FROM s) SELECT vec_id, i, {cols} FROM x"
+    cols = ", ".join(f"CAST(greatest(least(coalesce(stored[{at(k)}], 0), 255), 0) AS INTEGER) AS {c}" for k, c in enumerate("rgb"))
+    return f"WITH {STORED}, x AS (SELECT vec_id, stored, CAST(unnest(range(22)) AS BIGINT) AS i FROM s) SELECT vec_id, i, {cols} FROM x"
 
 
 @query(_rgb_sql(lambda k: f"3 * i + {k + 1}"))
@@ -120,20 +120,20 @@ def rgb_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rgb(spark, sf_dir, False)
 
 
-@query(_rgb_sql(lambda k: f"21 * {k} + i + 1"))
+@query(_rgb_sql(lambda k: f"22 * {k} + i + 1"))
 def rgb_planar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rgb(spark, sf_dir, True)
 
 
 @query(
-    f"""WITH {STORED}, x AS (SELECT vec_id, CAST(unnest(range(21)) AS BIGINT) AS i, stored FROM s),
-    y AS (SELECT vec_id, i, CAST(abs(stored[3 * i + 1]) % 256 AS DOUBLE) AS y, CAST(abs(stored[3 * i + 2]) % 256 AS DOUBLE) - 128 AS b, CAST(abs(stored[3 * i + 3]) % 256 AS DOUBLE) - 128 AS r FROM x)
+    f"""WITH {STORED}, x AS (SELECT vec_id, CAST(unnest(range(22)) AS BIGINT) AS i, stored FROM s),
+    y AS (SELECT vec_id, i, CAST(coalesce(abs(stored[3 * i + 1]) % 256, 0) AS DOUBLE) AS y, CAST(coalesce(abs(stored[3 * i + 2]) % 256, 0) AS DOUBLE) - 128 AS b, CAST(coalesce(abs(stored[3 * i + 3]) % 256, 0) AS DOUBLE) - 128 AS r FROM x)
     SELECT vec_id, i, CAST(greatest(least(round(y + r * 1.402::DOUBLE), 255), 0) AS INTEGER) AS r, CAST(greatest(least(round(y - b * 0.344136::DOUBLE - r * 0.714136::DOUBLE), 255), 0) AS INTEGER) AS g,
     CAST(greatest(least(round(y + b * 1.772::DOUBLE), 255), 0) AS INTEGER) AS b FROM y"""
 )
 def ybr_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(spark, sf_dir).select("vec_id", F.transform("stored", lambda x: F.abs(x) % 256).alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(20).cast("bigint"))).alias("i"))
-    at = lambda k: F.get("s", (F.col("i") * 3 + k).cast("int"))
+    rows = stored(spark, sf_dir).select("vec_id", F.transform("stored", lambda x: F.abs(x) % 256).alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(21).cast("bigint"))).alias("i"))
+    at = lambda k: F.coalesce(F.get("s", (F.col("i") * 3 + k).cast("int")), F.lit(0))
     return rows.select("vec_id", "i", F.inline(F.array(pixels.ybr_to_rgb(at(0), at(1), at(2)))))
 
 
@@ -301,10 +301,12 @@ DRAGS = "e AS (SELECT user_id, ts, event_id, value - 50 AS dx, CAST(json_extract
 
 @query(
     f"""WITH {DRAGS}, g AS (SELECT user_id, list(dx ORDER BY ts, event_id) AS xs, list(dy ORDER BY ts, event_id) AS ys FROM e GROUP BY user_id)
-    SELECT user_id, list_reduce(ys, lambda a, y: a - y * 2.0::DOUBLE, 40.0::DOUBLE) AS wc, list_reduce(xs, lambda a, x: greatest(1.0::DOUBLE, a + x * 2.0::DOUBLE), 400.0::DOUBLE) AS ww FROM g"""
+    SELECT user_id, round(list_reduce(ys, lambda a, y: a - y * 2.0::DOUBLE, 40.0::DOUBLE), 6) AS wc, round(list_reduce(xs, lambda a, x: greatest(1.0::DOUBLE, a + x * 2.0::DOUBLE), 400.0::DOUBLE), 6) AS ww FROM g"""
 )
 def drag_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interaction.drag_fold(_drags(spark, sf_dir), ["user_id"], ["ts", "event_id"], "dx", "dy", 40.0, 400.0)
+    """Rounded, since sums by ranges and step by step differ in their last bits."""
+    got = interaction.drag_fold(_drags(spark, sf_dir), ["user_id"], ["ts", "event_id"], "dx", "dy", 40.0, 400.0)
+    return got.select("user_id", F.round("wc", 6).alias("wc"), F.round("ww", 6).alias("ww"))
 
 
 @query(f"WITH {DRAGS} SELECT user_id, event_id, 40.0::DOUBLE - sum(dy * 2.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS wc FROM e")
@@ -355,16 +357,16 @@ def initial_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH x AS (SELECT CAST(unnest(range(4096)) AS BIGINT) AS i), y AS (SELECT i, i % 64 AS x, i // 64 AS y, (i % 64 - 32) * (i % 64 - 32) + (i // 64 - 32) * (i // 64 - 32) AS q FROM x)
-    SELECT i, x, y, CAST(CASE WHEN q >= 27.5 * 27.5 THEN -1000 WHEN q > 23.75 * 23.75 THEN 1000 WHEN q < 7.5 * 7.5 THEN 15 ELSE 40 END + 1024 AS BIGINT) AS stored FROM y"""
+    """WITH x AS (SELECT CAST(unnest(range(65536)) AS BIGINT) AS i), y AS (SELECT i, i % 256 AS x, i // 256 AS y, (i % 256 - 128) * (i % 256 - 128) + (i // 256 - 128) * (i // 256 - 128) AS q FROM x)
+    SELECT i, x, y, CAST(CASE WHEN q >= 110 * 110 THEN -1000 WHEN q > 95 * 95 THEN 1000 WHEN q < 30 * 30 THEN 15 ELSE 40 END + 1024 AS BIGINT) AS stored FROM y"""
 )
 def phantom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writer.head_phantom(spark, 64)
+    return writer.head_phantom(spark)
 
 
-def _write(row: dict) -> bytes:
+def _write(row: dict, syntax: str | None = None) -> bytes:
     """An 8 x 8 signed 16-bit instance in one of four transfer syntaxes, by its id."""
-    syntax = (D.EXPLICIT_LE, D.IMPLICIT_LE, D.EXPLICIT_BE, D.RLE)[row["vec_id"] % 4]
+    syntax = syntax or (D.EXPLICIT_LE, D.IMPLICIT_LE, D.EXPLICIT_BE, D.RLE)[row["vec_id"] % 4]
     values_ = {"SOPInstanceUID": f"1.2.{row['vec_id']}", "InstanceNumber": row["vec_id"], "SeriesNumber": row["label"], "Modality": "CT", "PatientName": f"TEST^{row['label']}", "SamplesPerPixel": 1, "PhotometricInterpretation": "MONOCHROME1" if row["vec_id"] % 3 == 0 else "MONOCHROME2", "Rows": 8, "Columns": 8, "BitsAllocated": 16, "BitsStored": 12, "HighBit": 11, "PixelRepresentation": 1, "RescaleSlope": "1.5", "RescaleIntercept": "-24", "WindowCenter": "40\\50", "WindowWidth": "400\\500", "PixelSpacing": "0.5\\0.75"}
     little = writer.packed_int16(row["stored"])
     if syntax == D.RLE:
@@ -373,9 +375,8 @@ def _write(row: dict) -> bytes:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores: a small table is one split, and what is made of each row is costly. Larger tables stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """rows over all cores: a small table is one split, and what is made of each row is costly."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,21 +388,15 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT CAST(vec_id AS VARCHAR) AS file_id, CAST(i AS INTEGER) AS i, CAST(CASE WHEN vec_id % 3 = 0 THEN 255 - gray ELSE gray END AS INTEGER) AS gray FROM g"""
 )
 def dicom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames written as files of four transfer syntaxes, parsed, cut, decoded and rendered; every pixel compared."""
+    """Frames written as files of four transfer syntaxes, parsed, cut, decoded and rendered; every pixel's red compared."""
     shown = render.render(render.frames_of(dicom.parse_files(_files(spark, sf_dir))))
-    return shown.select("file_id", F.posexplode(_bytes(F.col("rgba"), 4)).alias("i", "gray"))
+    return shown.select("file_id", F.posexplode(pixels.byte_values(F.col("rgba"), 4)).alias("i", "gray"))
 
 
-def _bytes(data: Column, step: int) -> Column:
-    """Every step-th byte as a number."""
-    h = F.hex(data)
-    return F.transform(F.sequence(F.lit(0), F.ceil(F.octet_length(data) / step).cast("int") - 1), lambda i: F.conv(F.substring(h, i * (2 * step) + 1, F.lit(2)), 16, 10).cast("int"))
-
-
-@query(f"WITH {SAMPLES} SELECT CAST(vec_id AS VARCHAR) AS file_id, CAST(i AS INTEGER) AS i, stored FROM p WHERE vec_id % 4 = 3")
+@query(f"WITH {SAMPLES} SELECT CAST(vec_id AS VARCHAR) AS file_id, CAST(i AS INTEGER) AS i, stored FROM p")
 def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of the RLE files only, as stored."""
-    files = _files(spark, sf_dir).where("cast(file_id as bigint) % 4 = 3")
+    """Samples of every row, through RLE files, as stored."""
+    files = writer.write_instances(spread(stored(spark, sf_dir, "label")), lambda row: _write(row, D.RLE), "vec_id")
     return render.pixels_of(render.decode(render.frames_of(dicom.parse_files(files)))).select("file_id", "i", "stored")
 
 
@@ -414,8 +409,7 @@ def instance_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Getters of written files, without touching pixel data."""
     names = ["sop_instance_uid", "instance_number", "series_number", "modality", "patient_name", "patient_id", "rows", "columns", "number_of_frames", "bits_stored", "is_signed", "is_little_endian", "rescale_slope", "rescale_intercept", "window_center", "window_width_presets", "pixel_spacing", "transfer_syntax_uid"]
     rows = dataset.instances(dicom.parse_files(_files(spark, sf_dir), pixels=False), names)
-    little = D.clean_uid(F.col("transfer_syntax_uid")) != D.EXPLICIT_BE
-    return rows.select("file_id", *(n for n in names[:11]), little.alias("is_little_endian"), "rescale_slope", "rescale_intercept", "window_center", F.get("window_width_presets", F.lit(1)).alias("second_width"), F.get("pixel_spacing", F.lit(0)).alias("row_spacing"))
+    return rows.select("file_id", *(n for n in names[:11]), "is_little_endian", "rescale_slope", "rescale_intercept", "window_center", F.get("window_width_presets", F.lit(1)).alias("second_width"), F.get("pixel_spacing", F.lit(0)).alias("row_spacing"))
 
 
 @query(
@@ -454,20 +448,20 @@ def render_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {STORED}, x AS (SELECT vec_id, CAST(unnest(range(21)) AS BIGINT) AS i, list_transform(stored, lambda v: ((v % 256) + 256) % 256) AS b FROM s)
+    f"""WITH {STORED}, x AS (SELECT vec_id, CAST(unnest(range(22)) AS BIGINT) AS i, list_concat(list_transform(stored, lambda v: ((v % 256) + 256) % 256), [0, 0]) AS b FROM s)
     SELECT CAST(vec_id AS VARCHAR) AS file_id, CAST(i AS INTEGER) AS i, CAST(CASE WHEN vec_id % 2 = 0 THEN b[3 * i + 1] ELSE b[i + 1] END AS INTEGER) AS r,
-    CAST(CASE WHEN vec_id % 2 = 0 THEN b[3 * i + 2] ELSE b[21 + i + 1] END AS INTEGER) AS g, CAST(CASE WHEN vec_id % 2 = 0 THEN b[3 * i + 3] ELSE b[42 + i + 1] END AS INTEGER) AS b FROM x"""
+    CAST(CASE WHEN vec_id % 2 = 0 THEN b[3 * i + 2] ELSE b[22 + i + 1] END AS INTEGER) AS g, CAST(CASE WHEN vec_id % 2 = 0 THEN b[3 * i + 3] ELSE b[44 + i + 1] END AS INTEGER) AS b FROM x"""
 )
 def color_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """7 x 3 colour frames written interleaved or by plane, parsed and rendered."""
+    """11 x 2 colour frames, their last two samples missing, written interleaved or by plane, parsed and rendered."""
 
     def build(row: dict) -> bytes:
-        data = bytes(v % 256 for v in row["stored"][:63])
-        return writer.part10({"Rows": 3, "Columns": 7, "SamplesPerPixel": 3, "PlanarConfiguration": row["vec_id"] % 2, "PhotometricInterpretation": "RGB", "BitsAllocated": 8}, pixel_data=data)
+        data = bytes(v % 256 for v in row["stored"])
+        return writer.part10({"Rows": 2, "Columns": 11, "SamplesPerPixel": 3, "PlanarConfiguration": row["vec_id"] % 2, "PhotometricInterpretation": "RGB", "BitsAllocated": 8}, pixel_data=data)
 
     shown = render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id"))))
-    channels = F.arrays_zip(*(_bytes(F.substring("rgba", k + 1, 1 << 20), 4).alias(c) for k, c in enumerate("rgb")))
-    return shown.select("file_id", F.posexplode(F.slice(channels, 1, 21)).alias("i", "c")).select("file_id", "i", "c.r", "c.g", "c.b")
+    channels = F.arrays_zip(*(pixels.byte_values(F.col("rgba"), 4, k).alias(c) for k, c in enumerate("rgb")))
+    return shown.select("file_id", F.posexplode(channels).alias("i", "c")).select("file_id", "i", "c.r", "c.g", "c.b")
 
 
 @query(
@@ -485,8 +479,8 @@ def palette_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return writer.part10({"Rows": 8, "Columns": 8, "PhotometricInterpretation": "PALETTE COLOR", "BitsAllocated": 8, **tables, **described}, pixel_data=bytes(v % 256 for v in row["stored"]))
 
     shown = render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id"))))
-    channels = F.arrays_zip(*(_bytes(F.substring("rgba", k + 1, 1 << 20), 4).alias(c) for k, c in enumerate("rgb")))
-    return shown.select("file_id", F.posexplode(F.slice(channels, 1, 64)).alias("i", "c")).select("file_id", "i", "c.r", "c.g", "c.b")
+    channels = F.arrays_zip(*(pixels.byte_values(F.col("rgba"), 4, k).alias(c) for k, c in enumerate("rgb")))
+    return shown.select("file_id", F.posexplode(channels).alias("i", "c")).select("file_id", "i", "c.r", "c.g", "c.b")
 
 
 @query(
@@ -509,21 +503,21 @@ def multi_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SAMPLES}, u AS (SELECT vec_id, i, ((stored % 65536) + 65536) % 65536 AS u FROM p WHERE i < 60)
-    SELECT vec_id, i, u % 256 AS bits8, CASE WHEN i < 59 THEN u ELSE 0 END AS little16, u AS big16, CASE WHEN i < 30 THEN u * 65536 + u ELSE 0 END AS little32 FROM u"""
+    f"""WITH {SAMPLES}, u AS (SELECT vec_id, i, ((stored % 65536) + 65536) % 65536 AS u FROM p)
+    SELECT vec_id, i, u % 256 AS bits8, u AS little16, CASE WHEN i < 63 THEN u ELSE 0 END AS short16, u AS big16, u * 65536 + u AS little32, (u % 256) * 16777216 + (u // 256) * 65536 + u AS big32 FROM u"""
 )
 def pixel_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of 8, 16 and 32 bits from binary columns, both byte orders; short data is filled with zeros."""
-    rows = stored(spark, sf_dir).select("vec_id", F.slice(F.transform("stored", lambda x: F.pmod(x, F.lit(65536))), 1, 60).alias("u"))
+    """All samples of 8, 16 and 32 bits from binary columns, both byte orders, and data that is a byte short."""
+    rows = stored(spark, sf_dir).select("vec_id", F.transform("stored", lambda x: F.pmod(x, F.lit(65536))).alias("u"))
     words = lambda f: F.unhex(F.array_join(F.transform("u", f), ""))
     high, low = (lambda x: F.lpad(F.hex(F.shiftright(x, 8)), 2, "0")), (lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(255))), 2, "0"))
-    rows = rows.select("vec_id", words(low).alias("b8"), words(lambda x: F.concat(low(x), high(x))).alias("l16"), words(lambda x: F.concat(high(x), low(x))).alias("b16"))
-    read = lambda c, bits, little: pixels.stored_values(c, F.lit(60), bits, F.lit(little))
-    # 32-bit samples: each 16-bit word doubled, for the first 30 samples' worth of bytes.
-    doubled = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.repeat(F.substring(F.hex("l16"), i * 4 + 1, F.lit(4)), 2)), ""))
-    wide = rows.select("vec_id", read(F.col("b8"), 8, True).alias("bits8"), read(F.substring("l16", 1, 119), 16, True).alias("little16"), read(F.col("b16"), 16, False).alias("big16"), read(doubled, 32, True).alias("little32"))
-    out = wide.select("vec_id", F.posexplode(F.arrays_zip("bits8", "little16", "big16", "little32")).alias("i", "x"))
-    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), "x.bits8", "x.little16", "x.big16", "x.little32")
+    pair = lambda x: F.concat(low(x), high(x))
+    data = {"bits8": (low, 8, True), "little16": (pair, 16, True), "big16": (lambda x: F.concat(high(x), low(x)), 16, False), "little32": (lambda x: F.concat(pair(x), pair(x)), 32, True), "big32": (lambda x: F.concat(low(x), high(x), high(x), low(x)), 32, False)}
+    rows = rows.select("vec_id", *(words(f).alias(c) for c, (f, _, _) in data.items()))
+    read = lambda c, bits, little: pixels.stored_values(c, F.lit(64), bits, F.lit(little))
+    wide = rows.select("vec_id", *(read(F.col(c), bits, little).alias(c) for c, (_, bits, little) in data.items()), read(F.substring("little16", 1, 127), 16, True).alias("short16"))
+    out = wide.select("vec_id", F.posexplode(F.arrays_zip(*data, "short16")).alias("i", "x"))
+    return out.select("vec_id", F.col("i").cast("bigint").alias("i"), *(f"x.{c}" for c in (*data, "short16")))
 
 
 @query(
@@ -611,3 +605,206 @@ def render_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         return writer.part10(head | own, pixel_data=writer.packed_int16(row["stored"]))
 
     return render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id")))).select("file_id", "wc", "ww")
+
+
+GETTERS = {"study_date": "StudyDate", "study_description": "StudyDescription", "series_description": "SeriesDescription", "study_instance_uid": "StudyInstanceUID", "study_time": "StudyTime", "series_instance_uid": "SeriesInstanceUID", "sop_class_uid": "SOPClassUID", "acquisition_date": "AcquisitionDate", "acquisition_time": "AcquisitionTime", "institution_name": "InstitutionName", "manufacturer": "Manufacturer"}
+#: What SQL says of absent texts that have a default.
+MISSING = dict.fromkeys(("study_date", "study_description", "series_description"), "ELSE ''")
+
+
+@query(
+    "SELECT CAST(vec_id AS VARCHAR) AS file_id, "
+    + ", ".join(f"CASE WHEN (vec_id + {i}) % 3 > 0 THEN '{i}.' || vec_id {MISSING.get(k, '')} END AS {k}" for i, k in enumerate(GETTERS))
+    + """, CASE WHEN vec_id % 2 = 0 THEN CAST(label AS DOUBLE) + 0.5::DOUBLE END AS slice_thickness, CASE WHEN vec_id % 2 = 1 THEN label - 5 END AS pixel_padding_value, CASE WHEN vec_id % 4 = 1 THEN label - 9 END AS pixel_padding_range_limit,
+    vec_id % 4 <> 2 AS is_little_endian, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE CAST(label AS DOUBLE) END AS first_center, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 2 END AS centers FROM embeddings"""
+)
+def other_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Getters of files that hold a tag or leave it out, in all byte orders."""
+
+    def build(row: dict) -> bytes:
+        v, label = row["vec_id"], row["label"]
+        held = {k: f"{i}.{v}" for i, k in enumerate(GETTERS.values()) if (v + i) % 3 > 0}
+        held |= {"SliceThickness": f"{label}.5"} if v % 2 == 0 else {"PixelRepresentation": 1}
+        held |= {"WindowCenter": f"{label}\\x\\80"} if v % 3 else {}
+        syntax = (D.EXPLICIT_LE, D.IMPLICIT_LE, D.EXPLICIT_BE, D.EXPLICIT_LE)[v % 4]
+        rows = [(D.TAG[k], part10.implicit_vr(D.TAG[k]), x) for k, x in held.items()]
+        vr = "SS" if syntax != D.IMPLICIT_LE else part10.implicit_vr(D.TAG["PixelPaddingValue"])
+        pad = lambda x: x if vr == "SS" else x & 0xFFFF
+        rows += [(D.TAG["PixelPaddingValue"], "SS", pad(label - 5))] if v % 2 else []
+        rows += [(D.TAG["PixelPaddingRangeLimit"], "SS", pad(label - 9))] if v % 4 == 1 else []
+        return writer.part10(rows, D.EXPLICIT_LE if v % 2 else syntax)
+
+    names = [*GETTERS, "slice_thickness", "pixel_padding_value", "pixel_padding_range_limit", "is_little_endian", "window_center_presets"]
+    rows = dataset.instances(dicom.parse_files(writer.write_instances(table(spark, sf_dir, "embeddings").select("vec_id", "label"), build, "vec_id")), names)
+    return rows.select("file_id", *names[:-1], F.get("window_center_presets", F.lit(0)).alias("first_center"), F.size("window_center_presets").alias("centers"))
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS file_id, CAST(unnest([1, 2, 3, 4, 5, 6]) AS INTEGER) AS ordinal, unnest(['DS', 'IS', 'LO', 'US', 'SL', 'FD']) AS vr,
+    unnest([CAST(p_size AS VARCHAR) || '.5\\x\\7', CAST(p_size AS VARCHAR), p_name, NULL, NULL, NULL]) AS "text", unnest([p_size, p_size, NULL, p_partkey % 65536, -p_size, NULL]) AS whole,
+    unnest([p_size + 0.5::DOUBLE, CAST(p_size AS DOUBLE), NULL, NULL, NULL, p_retailprice]) AS "decimal", unnest([2, 1, 0, NULL, NULL, NULL]) AS n_decimals FROM part"""
+)
+def parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of written elements as the parser decodes them: text, whole number, decimal number and list."""
+
+    def build(row: dict) -> bytes:
+        n = row["p_size"]
+        return writer.part10([(0x00091000 + i, vr, x) for i, (vr, x) in enumerate((("DS", f"{n}.5\\x\\7"), ("IS", f" {n}"), ("LO", row["p_name"]), ("US", row["p_partkey"] % 65536), ("SL", -n), ("FD", row["p_retailprice"])))], (D.EXPLICIT_LE, D.EXPLICIT_BE)[n % 2])
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"), "p_name", "p_retailprice")
+    got = dicom.element_rows(dicom.parse_files(writer.write_instances(rows, build, "p_partkey"))).where("ordinal > 0")
+    text = F.when(~F.col("vr").isin("US", "SL", "FD"), F.col("text"))
+    whole, decimal = (F.when(F.col("vr").isin(*vrs), F.col(c)).alias(c) for c, vrs in (("whole", ("DS", "IS", "US", "SL")), ("decimal", ("DS", "IS", "FD"))))
+    return got.select("file_id", F.col("ordinal").cast("int").alias("ordinal"), "vr", text.alias("text"), whole, decimal, F.when(text.isNotNull(), F.size("decimals")).alias("n_decimals"))
+
+
+@query(
+    """SELECT CAST(vec_id AS VARCHAR) AS file_id, 'P' || (vec_id + 10000000) AS patient_id, CASE vec_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 4 THEN 2 ELSE 3 END AS n_elements,
+    CASE vec_id % 5 WHEN 1 THEN 100 WHEN 2 THEN 8 + 10 + 8 WHEN 3 THEN 0 END AS value_length, CASE vec_id % 5 WHEN 1 THEN 4 WHEN 2 THEN 8 + 10 + 8 WHEN 3 THEN 0 END AS n_bytes FROM embeddings"""
+)
+def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header cut short, a value cut short, a sequence of undefined length, another element of undefined length, a whole file."""
+
+    def build(row: dict) -> bytes:
+        own = writer.element(D.TAG["PatientID"], f"P{row['vec_id'] + 10000000}", "LO")
+        head = writer.part10({})
+        undefined = b"\xff\xff\xff\xff"
+        inner = writer.element(0x00080060, "CT", "CS")
+        item = b"\xfe\xff\x00\xe0" + len(inner).to_bytes(4, "little") + inner
+        sequence = b"\x08\x00\x40\x11SQ\0\0" + undefined + item + b"\xfe\xff\xdd\xe0\0\0\0\0"
+        other = b"\x08\x00\x41\x11OB\0\0" + undefined
+        tail = b"\x20\x00\x0d\x00OB\0\0\x64\0\0\0abcd"
+        return (head + own + b"\x20\x00\x0d", head + own + tail, head + sequence + own, head + other + own, head + own)[row["vec_id"] % 5]
+
+    rows = dicom.parse_files(writer.write_instances(table(spark, sf_dir, "embeddings").select("vec_id"), build, "vec_id"))
+    odd = F.get(F.filter("elements", lambda e: ~e["tag"].isin(D.TAG["PatientID"], D.TAG["TransferSyntaxUID"])), F.lit(0))
+    found = dataset.with_dataset(rows)
+    return found.select("file_id", dataset.getters()["patient_id"].alias("patient_id"), F.size("elements").alias("n_elements"), odd["value_length"].alias("value_length"), F.octet_length(odd["value_bytes"]).alias("n_bytes"))
+
+
+@query(
+    """SELECT CAST(vec_id AS VARCHAR) AS file_id, CASE vec_id % 4 WHEN 0 THEN 'UnsupportedError' WHEN 1 THEN 'RangeError' WHEN 2 THEN 'StateError' END AS image_error,
+    CASE vec_id % 4 WHEN 0 THEN 'RangeError' WHEN 1 THEN 'RangeError' END AS rgba_error, CASE vec_id % 4 WHEN 3 THEN 16 END AS n_bytes, CASE vec_id % 4 WHEN 3 THEN 255 * 4 END AS alpha FROM embeddings"""
+)
+def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of checks for images and for bare RGBA: a compressed file with too few frames, a native one, one without an area, a good one."""
+
+    def build(row: dict) -> bytes:
+        v, size = row["vec_id"] % 4, {"Rows": 2, "Columns": 2, "BitsAllocated": 8}
+        if v == 0:
+            return writer.part10(size, "1.2.840.10008.1.2.4.90", wrapped=writer.encapsulated([b"\xff\x4f\xff\x51"]))
+        if v == 2:
+            return writer.part10({"BitsAllocated": 8, "NumberOfFrames": "6"}, pixel_data=bytes(4))
+        return writer.part10(size | {"NumberOfFrames": "6" if v == 3 else "1"}, pixel_data=bytes(range(24)))
+
+    parsed = dicom.parse_files(writer.write_instances(table(spark, sf_dir, "embeddings").select("vec_id"), build, "vec_id"))
+    image = render.render_images(parsed, F.lit(5)).select("file_id", F.col("error.kind").alias("image_error"), F.octet_length("rgba").alias("n_bytes"), F.aggregate(pixels.byte_values(F.col("rgba"), 4, 3), F.lit(0), lambda a, b: a + b).alias("alpha"))
+    bare = render.render(render.frames_of(parsed, F.lit(5))).select("file_id", F.col("error.kind").alias("rgba_error"))
+    return image.join(bare, "file_id")
+
+
+@query(
+    """SELECT CAST(vec_id AS VARCHAR) AS file_id, CASE WHEN vec_id % 9 < 2 THEN 'UnsupportedError' WHEN vec_id % 9 < 8 THEN 'FormatException' END AS kind, CASE vec_id % 9
+    WHEN 0 THEN 'Segmented Palette Color Lookup Table Data (0028,1221-1223) is unsupported. Only direct Palette Color LUT Data (0028,1201-1203) is supported.'
+    WHEN 1 THEN 'Enhanced Palette Color Lookup Table Sequence (0028,140B) is unsupported. Only direct Palette Color LUT Data (0028,1201-1203) is supported.'
+    WHEN 2 THEN 'PALETTE COLOR dataset missing Green Palette Color Lookup Table Descriptor (0028,1102).' WHEN 3 THEN 'PALETTE COLOR dataset missing Blue Palette Color Lookup Table Data (0028,1203).'
+    WHEN 4 THEN 'Incomplete Palette Color LUT descriptor ((0028,1101)): expected at least 6 bytes, found 4 bytes.' WHEN 5 THEN 'Invalid Palette Color LUT bitsPerEntry: 12. Must be 8 or 16.'
+    WHEN 6 THEN 'Inconsistent Palette Color LUT descriptors across red, green and blue.' WHEN 7 THEN 'Truncated Red Palette Color LUT data: expected at least 9 bytes, found 4.' END AS message, CASE WHEN vec_id % 9 = 8 THEN 3 END AS n FROM embeddings"""
+)
+def palette_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rung of the palette ladder, and equal descriptors that pass it."""
+
+    def build(row: dict) -> bytes:
+        v, data, described = row["vec_id"] % 9, "PaletteColorLookupTableData", "PaletteColorLookupTableDescriptor"
+        shape = {5: [3, 0, 12], 7: [9, 0, 8]}.get(v, [3, 0, 8])
+        held = {f"{c}{described}": shape for c in palette.CHANNELS} | {f"{c}{data}": b"\x01\x02\x03\x04" for c in palette.CHANNELS}
+        held |= {0: {"SegmentedRed" + data: b"ab"}, 1: {"EnhancedPaletteColorLookupTableSequence": b"ab"}, 4: {"Red" + described: [3, 0]}, 6: {"Blue" + described: [2, 0, 8]}}.get(v, {})
+        gone = {0: "Red" + data, 1: "Green" + data, 2: "Green" + described, 3: "Blue" + data}.get(v)
+        return writer.part10({"Rows": 1, "Columns": 4, "BitsAllocated": 8, "PhotometricInterpretation": "PALETTE COLOR"} | {k: x for k, x in held.items() if k != gone}, pixel_data=bytes(4))
+
+    rows = dataset.with_dataset(dicom.parse_files(writer.write_instances(table(spark, sf_dir, "embeddings").select("vec_id"), build, "vec_id")))
+    found, failed = palette.palette("dataset")
+    return rows.select("file_id", failed["kind"].alias("kind"), failed["message"].alias("message"), found["n"].alias("n"))
+
+
+@query(
+    f"""WITH {STORED}, x AS (SELECT vec_id, CAST(unnest(range(22)) AS BIGINT) AS i, list_concat(list_transform(stored, lambda v: ((v % 256) + 256) % 256), [0, 0]) AS b FROM s)
+    SELECT CAST(vec_id AS VARCHAR) AS file_id, CAST(i AS INTEGER) AS i, CAST(b[3 * i + 1] AS INTEGER) AS r, CAST(b[3 * i + 2] AS INTEGER) AS g, CAST(b[3 * i + 3] AS INTEGER) AS b, 255 AS a FROM x"""
+)
+def rle_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interleaved 8-bit colour through RLE, with its alpha."""
+
+    def build(row: dict) -> bytes:
+        data = bytes(v % 256 for v in row["stored"]) + bytes(2)
+        return writer.part10({"Rows": 2, "Columns": 11, "SamplesPerPixel": 3, "PhotometricInterpretation": "RGB", "BitsAllocated": 8}, D.RLE, wrapped=writer.encapsulated([rle.encode_frame(data, 8, 3)]))
+
+    shown = render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id"))))
+    channels = F.arrays_zip(*(pixels.byte_values(F.col("rgba"), 4, k).alias(c) for k, c in enumerate("rgba")))
+    return shown.select("file_id", F.posexplode(channels).alias("i", "c")).select("file_id", "i", "c.r", "c.g", "c.b", "c.a")
+
+
+@query(
+    """SELECT CAST(vec_id AS VARCHAR) AS file_id, CASE vec_id % 8 WHEN 0 THEN 'Unsupported RLE bytesPerSample: 4' WHEN 1 THEN '16-bit RLE grayscale requires 2 segments (got 1).' WHEN 2 THEN 'Unsupported RLE multi-sample format with 2 bytes/sample and 6 segments.'
+    WHEN 3 THEN 'Unsupported RLE samplesPerPixel: 4' WHEN 4 THEN 'Invalid RLE frame: Header must be at least 64 bytes (got 6 bytes).' WHEN 5 THEN 'Unsupported BitsAllocated: 12'
+    WHEN 6 THEN 'Invalid RLE DICOM data: Pixel Data (7FE0,0010) is explicit length. RLE Lossless requires encapsulated undefined length data per DICOM PS3.5.' END AS message,
+    CASE vec_id % 8 WHEN 7 THEN vec_id % 256 END AS first_sample FROM embeddings"""
+)
+def rle_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RLE layouts that are no frame, odd bit depths, RLE of defined length, and one frame in two fragments."""
+
+    def build(row: dict) -> bytes:
+        v, size = row["vec_id"] % 8, {"Rows": 1, "Columns": 2}
+        if v == 5:
+            return writer.part10(size | {"BitsAllocated": 12}, pixel_data=bytes(4))
+        if v == 6:
+            return writer.part10(size | {"BitsAllocated": 8}, D.RLE, pixel_data=bytes(2))
+        bits, samples = {0: (32, 1), 1: (16, 1), 2: (16, 3), 3: (8, 4)}.get(v, (8, 1))
+        whole = rle.encode_frame(bytes(2), 8) if v == 1 else rle.encode_frame(bytes([row["vec_id"] % 256]) * (2 * samples * bits // 8), bits, samples)
+        parts = [b"short!"] if v == 4 else [whole[:64], whole[64:]] if v == 7 else [whole]
+        return writer.part10(size | {"BitsAllocated": bits, "SamplesPerPixel": samples}, D.RLE, wrapped=writer.encapsulated(parts))
+
+    got = render.decode(render.frames_of(dicom.parse_files(writer.write_instances(table(spark, sf_dir, "embeddings").select("vec_id"), build, "vec_id"))))
+    return got.select("file_id", F.col("error.message").alias("message"), F.get("stored", F.lit(0)).alias("first_sample"))
+
+
+@query(
+    f"""WITH {SAMPLES}, r AS (SELECT vec_id, coalesce(max(stored) FILTER (stored NOT BETWEEN CASE WHEN vec_id % 2 = 0 THEN -600 ELSE -50 END AND -50), max(stored)) AS hi, coalesce(min(stored) FILTER (stored NOT BETWEEN CASE WHEN vec_id % 2 = 0 THEN -600 ELSE -50 END AND -50), min(stored)) AS lo FROM p GROUP BY vec_id)
+    SELECT CAST(vec_id AS VARCHAR) AS file_id, 128.0::DOUBLE AS wc, CAST(greatest(CASE WHEN hi = lo THEN 1 ELSE hi - lo END, 1) AS DOUBLE) AS ww FROM r"""
+)
+def padded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Automatic windows of files that name a padding value, or a range of them."""
+
+    def build(row: dict) -> bytes:
+        rows = [(D.TAG["Rows"], "US", 8), (D.TAG["Columns"], "US", 8), (D.TAG["PixelRepresentation"], "US", 1), (D.TAG["WindowWidth"], "DS", "0"), (D.TAG["PixelPaddingValue"], "SS", -50)]
+        rows += [(D.TAG["PixelPaddingRangeLimit"], "SS", -600)] if row["vec_id"] % 2 == 0 else []
+        return writer.part10(rows, pixel_data=writer.packed_int16(row["stored"]))
+
+    return render.render(render.frames_of(dicom.parse_files(writer.write_instances(spread(stored(spark, sf_dir)), build, "vec_id")))).select("file_id", "wc", "ww")
+
+
+@query(
+    f"""WITH {DRAGS}, k AS (SELECT e.*, v.event_type FROM e JOIN events v USING (event_id)), t AS (SELECT user_id, max((ts, event_id)) FILTER (event_type = (SELECT min(event_type) FROM events)) AS t FROM k GROUP BY user_id),
+    d AS (SELECT k.user_id, ts, event_id, CASE WHEN (ts, event_id) = t THEN 0 ELSE dx END AS dx, CASE WHEN (ts, event_id) = t THEN 0 ELSE dy END AS dy FROM k JOIN t USING (user_id) WHERE t IS NULL OR (ts, event_id) >= t),
+    g AS (SELECT user_id, list(dx ORDER BY ts, event_id) AS xs, list(dy ORDER BY ts, event_id) AS ys FROM d GROUP BY user_id)
+    SELECT user_id, round(list_reduce(ys, lambda a, y: a - y * 2.0::DOUBLE, 40.0::DOUBLE), 6) AS wc, round(list_reduce(xs, lambda a, x: greatest(1.0::DOUBLE, a + x * 2.0::DOUBLE), 400.0::DOUBLE), 6) AS ww FROM g"""
+)
+def window_after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each viewer's window by the drags since its last reset; the alphabetically first kind of event stands for resets."""
+    rows = _drags(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    first = table(spark, sf_dir, "events").agg(F.min("event_type")).first()[0]
+    since = interaction.drags_since_reset(rows, ["user_id"], ["ts", "event_id"], "event_type", [first])
+    reset = F.col("event_type") == first
+    since = since.select("user_id", "ts", "event_id", F.when(reset, F.lit(0.0)).otherwise(F.col("dx")).alias("dx"), F.when(reset, F.lit(0.0)).otherwise(F.col("dy")).alias("dy"))
+    got = interaction.drag_fold(since, ["user_id"], ["ts", "event_id"], "dx", "dy", 40.0, 400.0)
+    return got.select("user_id", F.round("wc", 6).alias("wc"), F.round("ww", 6).alias("ww"))
+
+
+@query(
+    """SELECT p_partkey, greatest(0.5::DOUBLE, least(5.0::DOUBLE, p_size / 20.0::DOUBLE * 1.5::DOUBLE)) AS pinched, CAST(greatest(p_size, 2) AS DOUBLE) AS scale, CAST(p_partkey AS DOUBLE) AS x, CAST(-p_size AS DOUBLE) AS y FROM part"""
+)
+def view_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zoom within its limits, and scale and place of a view's matrix."""
+    size, key = F.col("p_size").cast("double"), F.col("p_partkey").cast("double")
+    d = lambda *x: F.array(*[F.lit(float(v)) if isinstance(v, int) else v for v in x])
+    view = display.view_of(d(size, 0, 0, 0, 0, 2, 0, 0, 0, 0, 1, 0, key, -size, 0, 1))
+    return table(spark, sf_dir, "part").select("p_partkey", display.pinched(size / 20.0, F.lit(1.5)).alias("pinched"), F.inline(F.array(view)))

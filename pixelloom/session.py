@@ -11,7 +11,8 @@ from pathlib import Path
 from typing import TypeVar
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -43,6 +44,11 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8,
     return spark
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for each row, however often `use` and lambdas in it refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def once(build: Callable[..., T]) -> Callable[..., T]:
     """Keep what `build` makes of its arguments for as long as the session's JVM lives.
 

@@ -24,7 +24,7 @@ _SYNTAX = {uid: (explicit, little) for uid, _, explicit, little, _ in SYNTAXES}
 #: What counts as white space at a value's ends (Unicode white space and U+FEFF).
 BLANKS = "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Value representations of bytes that are no text; their text is only made where it is asked for.
-BYTES = frozenset(("OB", "OD", "OF", "OL", "OW", "SQ", "UN"))
+BYTES = frozenset(("OB", "OD", "OF", "OL", "OW", "SQ"))
 NUMBERS = {"US": ("H", 2), "UL": ("I", 4), "SS": ("h", 2), "SL": ("i", 4), "FL": ("f", 4), "FD": ("d", 8)}
 DECIMAL = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?")
 INTEGER = re.compile(r"[+-]?[0-9]+")

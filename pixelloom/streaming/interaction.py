@@ -1,9 +1,9 @@
 """The viewer's interaction log: window drags, resets, double taps, data set changes, coalesced renders.
 
 Events are rows keyed by viewer and ordered by time (then by id). The drag fold clamps the width at every
-step, so it is not a sum: in batch it is an ordered fold over a viewer's events, in a stream it is keyed
-state. Both forms give the same state after each event. In a stream, events of one viewer must come in
-order within the watermark; later ones are dropped.
+step, so it is no plain sum: in batch it is put together from ranges of a viewer's events, in a stream it is keyed
+state. Both forms give the same state after each event. In a stream, events beyond the watermark, or behind what their viewer
+has already seen, are dropped.
 """
 
 from __future__ import annotations
@@ -26,12 +26,25 @@ def initial_window(explicit_center: Column, explicit_width: Column, own_center:
 
 
 def drag_fold(events: DataFrame, keys: list[str], order: list[str], dx: str, dy: str, center: float, width: float, sensitivity: float = SENSITIVITY) -> DataFrame:
-    """Each viewer's window after all its drags: width follows dx, at least 1 after every step; centre goes against dy."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(dx).cast("double").alias("_dx"), F.col(dy).cast("double").alias("_dy")))), lambda e: F.struct(e["_dx"].alias("dx"), e["_dy"].alias("dy")))
-    grouped = events.groupBy(*keys).agg(steps.alias("_steps"))
-    ww = F.aggregate("_steps", F.lit(float(width)), lambda w, e: F.greatest(F.lit(1.0), w + e["dx"] * sensitivity))
-    wc = F.aggregate("_steps", F.lit(float(center)), lambda c, e: c - e["dy"] * sensitivity)
-    return grouped.select(*keys, wc.alias("wc"), ww.alias("ww"))
+    """Each viewer's window after all its drags: width follows dx, at least 1 after every step; centre goes against dy.
+
+    Steps w -> max(1, w + d) compose: after sums S1, S2, .. Sn of the steps the width is Sn + max(w, 1 - the least sum).
+    So events are dealt by ranges of their order, each range of a viewer gives its sum and its least running sum, and
+    these few rows are put together: a hot viewer is spread over all ranges, and no list of its events is ever held.
+    """
+    x, y = F.col(dx).cast("double") * sensitivity, F.col(dy).cast("double") * sensitivity
+    rows = events.select(*keys, *order, x.alias("_x"), y.alias("_y")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    running = rows.withColumn("_sum", F.sum("_x").over(Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = running.groupBy(*keys, "_range").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"), F.min("_sum").alias("_low"))
+    before = F.coalesce(F.sum("_x").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = ranges.withColumn("_low", F.col("_low") + before).groupBy(*keys).agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"), F.min("_low").alias("_low"))
+    return whole.select(*keys, (F.lit(float(center)) - F.col("_y")).alias("wc"), (F.col("_x") + F.greatest(F.lit(float(width)), F.lit(1.0) - F.col("_low"))).alias("ww"))
+
+
+def drags_since_reset(events: DataFrame, keys: list[str], order: list[str], kind: str, resets: list[str]) -> DataFrame:
+    """The events after each viewer's last one of a kind in `resets`, and that event itself: the fold over them begins anew there."""
+    last = events.where(F.col(kind).isin(*resets)).groupBy(*keys).agg(F.max(F.struct(*order)).alias("_reset"))
+    return events.join(last, keys, "left").where(F.col("_reset").isNull() | (F.struct(*order) >= F.col("_reset"))).drop("_reset")
 
 
 def running_center(events: DataFrame, keys: list[str], order: list[str], dy: str, center: float, sensitivity: float = SENSITIVITY) -> DataFrame:
@@ -41,15 +54,16 @@ def running_center(events: DataFrame, keys: list[str], order: list[str], dy: str
 
 
 def double_taps(taps: DataFrame, keys: list[str], order: list[str], ms: str, gap: int = DOUBLE_TAP_MS) -> DataFrame:
-    """keys and resets: how many double taps; a tap within `gap` of the last resets, and the next one starts afresh."""
-    times = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(ms).cast("bigint").alias("_ms")))), lambda e: e["_ms"])
-    state = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("n"))
+    """keys and resets: how many double taps; a tap within `gap` of the last resets, and the next one starts afresh.
 
-    def step(s: Column, t: Column) -> Column:
-        hit = s["last"].isNotNull() & (t - s["last"] < gap)
-        return F.struct(F.when(~F.coalesce(hit, F.lit(False)), t).alias("last"), (s["n"] + F.coalesce(hit, F.lit(False)).cast("bigint")).alias("n"))
-
-    return taps.groupBy(*keys).agg(times.alias("_times")).select(*keys, F.aggregate("_times", state, step)["n"].alias("resets"))
+    In a run of taps each within `gap` of the one before, every second one resets.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    since = F.col(ms).cast("bigint") - F.lag(F.col(ms).cast("bigint")).over(w)
+    runs = taps.select(*keys, *(c for c in order if c not in keys), F.when(since < gap, F.lit(0)).otherwise(F.lit(1)).alias("_begins"))
+    runs = runs.select(*keys, F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"))
+    lengths = runs.groupBy(*keys, "_run").agg(F.floor(F.count(F.lit(1)) / 2).cast("bigint").alias("_n"))
+    return lengths.groupBy(*keys).agg(F.sum("_n").alias("resets"))
 
 
 def changes(events: DataFrame, keys: list[str], order: list[str], dataset: str, frame: str) -> DataFrame:
@@ -70,26 +84,37 @@ def coalesced(events: DataFrame, keys: list[str], batch: Column, order: list[str
 STATE = "viewer bigint, event_id bigint, wc double, ww double, generation bigint"
 
 
-def window_states(events: DataFrame, center: float, width: float, monochrome: bool = True, sensitivity: float = SENSITIVITY, gap: int = DOUBLE_TAP_MS) -> DataFrame:
+def window_states(events: DataFrame, center: float, width: float, monochrome: bool = True, sensitivity: float = SENSITIVITY, gap: int = DOUBLE_TAP_MS, late: str = "10 seconds", idle: str = "1 hour") -> DataFrame:
     """A stream of viewer, event_id, wc, ww and generation after each event, from keyed state.
 
     events: viewer, event_id, ms, kind (drag, tap, reset or dataset), dx, dy. Drags move the window of
     monochrome images; resets, double taps and data set changes put it back. Each state change is a new generation.
+    Events older than the watermark, which is `late` behind the newest, are dropped, and so are events before one that their
+    viewer has already seen. A viewer's state ends when the watermark is `idle` beyond its last event; it then begins anew.
     """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        wc, ww, generation, last = state.get if state.exists else (center, width, 0, -1)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        wc, ww, generation, last, seen, seen_id = state.get if state.exists else (center, width, 0, -1, -(1 << 62), -1)
+        e = pd.concat(list(batches)).sort_values(["ms", "event_id"])
+        e = e[(e["ms"] > seen) | (e["ms"] == seen) & (e["event_id"] > seen_id)]
         rows = []
-        for e in pd.concat(list(batches)).sort_values(["ms", "event_id"]).itertuples():
-            again = e.kind == "tap" and last >= 0 and e.ms - last < gap
-            if e.kind == "drag" and monochrome:
-                ww, wc, generation = max(1.0, ww + e.dx * sensitivity), wc - e.dy * sensitivity, generation + 1
-            elif again or e.kind in ("reset", "dataset"):
+        for event_id, ms, kind, dx, dy in zip(e["event_id"].tolist(), e["ms"].tolist(), e["kind"].tolist(), e["dx"].tolist(), e["dy"].tolist()):
+            again = kind == "tap" and last >= 0 and ms - last < gap
+            if kind == "drag" and monochrome:
+                ww, wc, generation = max(1.0, ww + dx * sensitivity), wc - dy * sensitivity, generation + 1
+            elif again or kind in ("reset", "dataset"):
                 wc, ww, generation = center, width, generation + 1
-            if e.kind == "tap":
-                last = -1 if again else int(e.ms)
-            rows.append((key[0], e.event_id, wc, ww, generation))
-        state.update((wc, ww, generation, last))
+            if kind == "tap":
+                last = -1 if again else ms
+            seen, seen_id = ms, event_id
+            rows.append((key[0], event_id, wc, ww, generation))
+        state.update((wc, ww, generation, last, seen, seen_id))
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + pause)
         yield pd.DataFrame(rows, columns=["viewer", "event_id", "wc", "ww", "generation"])
 
-    return events.groupBy("viewer").applyInPandasWithState(step, STATE, "wc double, ww double, generation bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", late)
+    return timed.groupBy("viewer").applyInPandasWithState(step, STATE, "wc double, ww double, generation bigint, last bigint, seen bigint, seen_id bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,5 +1,7 @@
 """Files to pixels: getters and defaults, frames and their errors, palettes, rendering against column expressions."""
 
+import time
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -129,6 +131,40 @@ def test_frame_errors_in_order(spark):
     assert "Annex G" in got[4]["error"]["message"] and "count (2)" in got[5]["error"]["message"] and "JPEG Baseline" in got[7]["error"]["message"]
 
 
+def test_images_look_at_compression_before_the_frame_number(spark):
+    content = part10({"Rows": 2, "Columns": 2, "BitsAllocated": 8}, "1.2.840.10008.1.2.4.90", wrapped=encapsulated([b"\xff\x4f\xff\x51"]))
+    rows = parsed(spark, content)
+    assert kinds(render.render_images(rows, F.lit(5)).collect()) == ["UnsupportedError"]
+    assert kinds(render.render(render.frames_of(rows, F.lit(5))).collect()) == ["RangeError"]
+
+
+def test_many_frames_and_wide_palettes_take_linear_time(spark):
+    n, part = 2000, rle.encode_frame(bytes(range(16)))
+    offsets = [i * (len(part) + 8) for i in range(n)]
+    head = {"Rows": 4, "Columns": 4, "NumberOfFrames": str(n), "BitsAllocated": 8, "WindowCenter": "128", "WindowWidth": "256"}
+    began = time.monotonic()
+    got = shown(spark, part10(head, D.RLE, wrapped=encapsulated([part] * n, offsets)))
+    assert len(got) == n and all(r["rgba"] == got[0]["rgba"] for r in got) and time.monotonic() - began < 20
+    wide = {f"{c}PaletteColorLookupTableDescriptor": [0, 0, 16] for c in CHANNELS}
+    table = b"".join(bytes([0, k >> 8]) for k in range(65536))
+    began = time.monotonic()
+    (a,) = shown(spark, palette(data=(table,) * 3, stored=packed_int16([0, 255, 256, -1]), BitsAllocated=16, **wide))
+    assert [p[0] for p in rgba(a)] == [0, 0, 1, 255] and time.monotonic() - began < 20
+
+
+def test_samples_of_a_large_binary_take_linear_time(spark):
+    n = 512 * 512
+    row = spark.createDataFrame([(bytearray(range(256)) * (2 * n // 256),)], "b binary")
+    began = time.monotonic()
+    got = row.select(pixels.stored_values(F.col("b"), F.lit(n), 16, F.lit(True)).alias("x")).select(F.size("x"), F.get("x", F.lit(1)), F.element_at("x", -1)).first()
+    assert tuple(got) == (n, 0x0302, 0xFFFE) and time.monotonic() - began < 20
+
+
+def test_text_of_unknown_elements(spark):
+    content = part10([(D.TAG["AcquisitionDate"], "UN", b"20200102")], D.IMPLICIT_LE)
+    assert dataset.instances(parsed(spark, content)).first()["acquisition_date"] == "20200102"
+
+
 def test_late_frame_and_image_without_area(spark):
     (late,) = shown(spark, part10({"Rows": 2, "Columns": 2, "BitsAllocated": 8, "NumberOfFrames": "5"}, pixel_data=bytes(4)), index=3)
     assert late["error"]["message"] == "Frame 3 start offset 12 exceeds pixel data length (4 bytes)."
