@@ -5,10 +5,16 @@ that the worker's cache lacks are laid end to end. A suffix array of that text,
 characters as the longest piece has, is built by prefix doubling; every piece is binary-searched in it for
 the range of its occurrences; the occurrences become edges, sorted by position into a table by start and
 length. Relaxation then joins neighbouring symbols along edges, best score first and leftmost among equals,
-in all chunks at once, until no edge joins two neighbours: the same ids as the library's.
+until no edge joins two neighbours: the same ids as the library's. Short chunks are relaxed all at once, a join in
+each at a time; in a long one the joins wait in a heap, over the same edges. Text is indexed in windows that overlap by
+the longest piece, so one long chunk needs no larger suffix array.
+
+Models must be BPE with byte fallback, no normalization, kept white space and a space before each text; others are refused.
 
 Defined cases: null text counts as empty, and an empty text has no ids. The space mark in a text is a space
-to the tokenizer, so decoding gives a space for it. Characters without a piece become their bytes.
+to the tokenizer, so decoding gives a space for it. Characters without a piece become their bytes. Repeated rows are
+encoded alike, and equal scores joined from the left. An empty table gives no rows. Other columns play no part. Ids must be
+whole numbers or null; a text id is cast to long, which Spark refuses if it is none.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 ROWS = 500  # texts handled at once
 CACHE = 200_000  # chunks; the cache starts anew when full
 TEXT = 1 << 18  # characters that are indexed at once
-LONG = 256  # longer chunks are relaxed one by one with a heap
+LONG = 256  # characters; longer chunks are relaxed with a heap each, and not kept in the cache
 NONE = np.iinfo(np.int64).max
 
 
@@ -53,12 +59,52 @@ _pieces: dict[str, Pieces] = {}
 _caches: dict[str, dict[str, bytes]] = {}
 
 
+def _fields(data: bytes) -> dict[int, list]:
+    """A protocol buffer message's fields by number: whole numbers, or bytes."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value
+
+    while at < len(data):
+        tag = number()
+        kind = tag & 7
+        if kind == 0:
+            value: int | bytes = number()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or number()
+            value, at = data[at : at + size], at + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def check(path: str, model: bytes) -> None:
+    """Refuse models whose ids these rules would not give."""
+    top = _fields(model)
+    trainer, normal = (_fields(top.get(k, [b""])[-1]) for k in (2, 3))
+    last = lambda fields, k, default: fields.get(k, [default])[-1]
+    # Fixed values, from the model format: 3 is the model's type (2 for BPE), 35 byte fallback; 2 a map of characters,
+    # 3 a space before the text, 4 white space removed, 5 spaces as marks.
+    asked = {"BPE": last(trainer, 3, 1) == 2, "byte fallback": last(trainer, 35, 0) == 1, "no character map": not last(normal, 2, b""), "a space before the text": last(normal, 3, 1) == 1, "white space kept": last(normal, 4, 1) == 0, "spaces as marks": last(normal, 5, 1) == 1}
+    lacks = [what for what, held in asked.items() if not held]
+    if lacks:
+        raise ValueError(f"{path}: this model lacks {', '.join(lacks)}")
+
+
 def load(path: str) -> Pieces:
     """The model's pieces, once for each worker process."""
     if path not in _pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        check(path, sp.serialized_model_proto())
         n = sp.get_piece_size()
         text = [sp.id_to_piece(i) for i in range(n)]
         kind = [1 if sp.is_byte(i) else 2 if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else 0 for i in range(n)]
@@ -143,17 +189,19 @@ def occurrence_ranges(codes: np.ndarray, order: np.ndarray, chars: np.ndarray, s
     return lo, np.maximum(hi, lo)
 
 
-def _edges(codes: np.ndarray, p: Pieces) -> np.ndarray:
+def _edges(codes: np.ndarray, p: Pieces, window: int = 2 * TEXT) -> np.ndarray:
     """Position x length: the id of the piece that stands there, or -1."""
     longest = int(p.size.max(initial=1))
-    order = suffix_array(codes, longest)
-    lo, hi = occurrence_ranges(codes, order, p.chars, p.size)
-    n = hi - lo
-    which = np.repeat(np.arange(len(n)), n)
-    start = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(which))]
-    by_place = np.argsort(start)
     table = np.full((len(codes) + 1, longest + 1), -1, np.int32)
-    table[start[by_place], p.size[which[by_place]]] = p.ids[which[by_place]]
+    for w in range(0, len(codes), window):
+        part = codes[w : w + window + longest]
+        order = suffix_array(part, longest)
+        lo, hi = occurrence_ranges(part, order, p.chars, p.size)
+        n = hi - lo
+        which = np.repeat(np.arange(len(n)), n)
+        start = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(which))]
+        by_place = np.argsort(start)
+        table[w + start[by_place], p.size[which[by_place]]] = p.ids[which[by_place]]  # where windows overlap both say the same, or the next one more
     return table
 
 
@@ -208,40 +256,31 @@ def _relax(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, table: np.nd
     return out[:n]
 
 
-def _one(chunk: str, p: Pieces) -> list[int]:
-    """A long chunk's ids, with a heap of joins."""
-    n = len(chunk)
+def _relax_long(begin: int, end: int, table: np.ndarray, rank: list[int]) -> list[int]:
+    """The same for one chunk whose joins wait in a heap; a list for the places from `begin` to `end`."""
+    n, longest = end - begin, table.shape[1] - 1
+    edges = memoryview(np.ascontiguousarray(table[begin:end])).cast("B").cast("i")
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    end = list(range(1, n + 1))
     heap: list[tuple[int, int, int]] = []
-    rank = p.rank.tolist()
 
-    def push(a: int, b: int) -> None:
-        if a >= 0 and b < n:
-            i = p.id_of.get(chunk[a : end[b]])
-            if i is not None:
-                heapq.heappush(heap, (rank[i], a, end[b]))
+    def push(a: int, stop: int) -> None:
+        if stop - a <= longest and (piece := edges[a * (longest + 1) + stop - a]) >= 0:
+            heapq.heappush(heap, (rank[piece], a, stop))
 
-    for i in range(n - 1):
-        push(i, i + 1)
-    alive = [True] * n
+    for a in range(n - 1):
+        push(a, a + 2)
     while heap:
-        _, a, e = heapq.heappop(heap)
-        if not alive[a] or end[a] >= e or after[a] >= n or end[after[a]] != e:
-            continue
+        _, a, stop = heapq.heappop(heap)
         b = after[a]
-        alive[b] = False
-        end[a] = e
-        after[a] = after[b]
-        if after[a] < n:
-            before[after[a]] = a
-        push(before[a], a)
-        push(a, after[a])
-    out: list[int] = []
-    for i in range(n):
-        if alive[i]:
-            out += _symbol(chunk[i : end[i]], p)
-    return out
+        if b >= n or b < 0 or after[b] != stop:  # one of the two has been joined otherwise
+            continue
+        after[a], after[b] = stop, -1
+        if stop < n:
+            before[stop] = a
+            push(a, after[stop])
+        if before[a] >= 0:
+            push(before[a], stop)
+    return [begin + x if x > 0 else 0 for x in after]
 
 
 def _symbol(text: str, p: Pieces) -> list[int]:
@@ -251,16 +290,20 @@ def _symbol(text: str, p: Pieces) -> list[int]:
 
 def encode_chunks(chunks: list[str], p: Pieces) -> list[bytes]:
     """Each chunk's ids as little-endian unsigned 32-bit numbers."""
-    short = [c for c in chunks if len(c) <= LONG]
-    codes = np.frombuffer("\0".join(short).encode("utf-32-le") + b"\0\0\0\0", "<u4")
+    codes = np.frombuffer("\0".join(chunks).encode("utf-32-le") + b"\0\0\0\0", "<u4")
     # A zero in a text would look like a separator; it has no piece and joins nothing, so that does no harm.
-    sizes = np.fromiter(map(len, short), np.int64, len(short))
+    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
     begins = np.cumsum(sizes + 1) - sizes - 1
     ends = begins + sizes
-    got: dict[str, bytes] = {}
-    if len(short):
+    short = sizes <= LONG
+    got: list[bytes] = []
+    if len(chunks):
         table = _edges(codes, p)
-        stop = _relax(codes, begins, ends, table, p)
+        stop = _relax(codes, begins[short], ends[short], table, p)
+        if not short.all():
+            rank = p.rank.tolist()
+            for a, b in zip(begins[~short].tolist(), ends[~short].tolist()):
+                stop[a:b] = _relax_long(a, b, table, rank)
         at = np.nonzero(stop)[0]
         length = stop[at] - at
         ids = table[at, np.minimum(length, table.shape[1] - 1)].astype(np.int64)
@@ -279,8 +322,8 @@ def encode_chunks(chunks: list[str], p: Pieces) -> list[bytes]:
         where = np.append(where, len(flat)) * 4
         first = where[np.searchsorted(at, begins)].tolist()
         last = where[np.searchsorted(at, ends)].tolist()
-        got = {c: raw[a:b] for c, a, b in zip(short, first, last)}
-    return [got[c] if c in got else np.array(_one(c, p), "<u4").tobytes() for c in chunks]
+        got = [raw[a:b] for a, b in zip(first, last)]
+    return got
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:

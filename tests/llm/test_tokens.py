@@ -191,6 +191,25 @@ def test_long_chunks_and_tiny_cache(monkeypatch, sp):
     assert [np.frombuffer(x, "<u4").tolist() for x in sentpiece.encode_texts(batch, PIECE)] == sp.encode(batch)
 
 
+def test_long_chunks_over_many_windows(sp):
+    p, rng = sentpiece.load(PIECE), random.Random(11)
+    chunks = ["▁" + "".join(rng.choice("theinganorstéaaa1") for _ in range(n)) for n in (3, 300, 1500, 256, 257, 2)]
+    codes = np.frombuffer("\0".join(chunks).encode("utf-32-le") + b"\0\0\0\0", "<u4")
+    assert np.array_equal(sentpiece._edges(codes, p, 50), sentpiece._edges(codes, p))
+    got = sentpiece.encode_chunks(chunks, p)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [sp.encode(c[1:]) for c in chunks]
+
+
+def test_other_models_are_refused():
+    spec = sentencepiece.SentencePieceProcessor(model_file=PIECE).serialized_model_proto()
+    sentpiece.check("x", spec)
+    fields = sentpiece._fields(spec)
+    assert len(fields[1]) == 32000 or len(fields[1]) > 1000
+    for changed in (b"", b"\x12\x02\x18\x01", spec + b"\x12\x05\x18\x01\x98\x02\x01", spec + b"\x1a\x02\x18\x00"):
+        with pytest.raises(ValueError, match="lacks"):
+            sentpiece.check("x", changed)
+
+
 def test_suffix_array_finds_every_occurrence():
     rng = random.Random(9)
     text = "".join(rng.choice("ab\0") for _ in range(300))
