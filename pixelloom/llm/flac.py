@@ -9,7 +9,9 @@ Frames of any other kind the format allows (several channels, constant or verbat
 partitioned or escaped residuals, wasted bits) go through a plain bit reader.
 
 Defined cases: null payloads count as empty, and an empty or short text is padded to one frame by
-the query. Equal payloads give equal streams. Broken streams raise FlacError when read.
+the query. Equal payloads give equal streams, so repeated rows too. Very long payloads are coded whole, frame by frame. A
+broken stream is its row's error: `pcm_blocks` and `media_features` give what is wrong and null for the rest, and go on. An
+empty table gives no rows. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -229,6 +231,8 @@ def stream_info(media: bytes) -> StreamInfo:
         body = media[at + 4 : at + 4 + n]
         if len(body) < n:
             raise FlacError("metadata cut short")
+        if kind & 0x7F == 0 and n < 34 or kind & 0x7F == 3 and n % 18:
+            raise FlacError("metadata of a wrong size")
         if kind & 0x7F == 0:
             packed = int.from_bytes(body[10:18], "big")
             info = (int.from_bytes(body[2:4], "big"), packed >> 44, (packed >> 41 & 7) + 1, (packed >> 36 & 31) + 1, packed & (1 << 36) - 1, body[18:34])
@@ -508,6 +512,20 @@ def _batches(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, list[b
         i = j
 
 
+def _read(streams: list[bytes]) -> list[tuple[list[tuple[int, np.ndarray]] | None, str | None]]:
+    """Each stream's blocks, or null and what is wrong with it."""
+    try:
+        return [(blocks, None) for blocks in decode(streams)]
+    except FlacError:
+        out: list[tuple[list[tuple[int, np.ndarray]] | None, str | None]] = []
+        for stream in streams:
+            try:
+                out.append((decode([stream])[0], None))
+            except FlacError as e:
+                out.append((None, str(e)))
+        return out
+
+
 def write_media(rows: DataFrame, payload_col: str = "payload", media_col: str = "media") -> DataFrame:
     """rows with the binary payload column replaced, in place, by its FLAC stream under the name media_col."""
     at = rows.columns.index(payload_col)
@@ -523,44 +541,54 @@ def write_media(rows: DataFrame, payload_col: str = "payload", media_col: str =
 
 
 def pcm_blocks(media: DataFrame, block_frames: int = SEEK_EVERY) -> DataFrame:
-    """doc_id, sample_offset, n_samples, channels and pcm (little-endian samples): blocks that can be sought by offset."""
+    """doc_id, sample_offset, n_samples, channels, pcm (little-endian samples) and error: blocks that can be sought by offset.
+
+    A stream that can't be read gives one row, with its error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for i, streams in _batches(batch.column(1).cast(pa.large_binary())):
                 rows: list[tuple] = []
-                for doc, stream, blocks in zip(ids[i:], streams, decode(streams)):
+                for doc, stream, (blocks, wrong) in zip(ids[i:], streams, _read(streams)):
+                    if blocks is None:
+                        rows.append((doc, None, None, None, None, wrong))
+                        continue
                     width = (stream_info(stream).depth + 7) // 8
                     for b in range(0, len(blocks), block_frames):
                         x = np.concatenate([s for _, s in blocks[b : b + block_frames]], axis=1)
                         raw = np.ascontiguousarray(x.T.astype("<i8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-                        rows.append((doc, blocks[b][0], x.shape[1], x.shape[0], raw))
+                        rows.append((doc, blocks[b][0], x.shape[1], x.shape[0], raw, None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "sample_offset", "n_samples", "channels", "pcm"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.string()))], names=["doc_id", "sample_offset", "n_samples", "channels", "pcm", "error"])
 
-    return media.select("doc_id", "media").mapInArrow(read, "doc_id long, sample_offset long, n_samples long, channels int, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(read, "doc_id long, sample_offset long, n_samples long, channels int, pcm binary, error string")
 
 
 def media_features(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """media with each stored stream, read back, replaced by what it shows: sizes, digests and a feature string.
+    """media with each stored stream, read back, replaced by what it shows: sizes, digests, a feature string, and the error of one that can't be read.
 
     The feature string has the count of frames, and the samples' sum, absolute peak and sign changes.
     """
     at = media.columns.index(media_col)
-    new = [("payload_bytes", LongType(), pa.int64()), ("payload_sha256", StringType(), pa.string()), ("tail_crc32", LongType(), pa.int64()), ("media_bytes", LongType(), pa.int64()), ("media_sha256", StringType(), pa.string()), ("feature", StringType(), pa.string())]
+    new = [("payload_bytes", LongType(), pa.int64()), ("payload_sha256", StringType(), pa.string()), ("tail_crc32", LongType(), pa.int64()), ("media_bytes", LongType(), pa.int64()), ("media_sha256", StringType(), pa.string()), ("feature", StringType(), pa.string()), ("error", StringType(), pa.string())]
     schema = StructType([f for i, f in enumerate(media.schema.fields) if i != at] + [StructField(n, t) for n, t, _ in new])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, streams in _batches(batch.column(at).cast(pa.large_binary())):
                 cols: list[list] = [[] for _ in new]
-                for stream, blocks in zip(streams, decode(streams)):
+                for stream, (blocks, wrong) in zip(streams, _read(streams)):
+                    if blocks is None:
+                        for c, v in zip(cols, (None, None, None, len(stream), hashlib.sha256(stream).hexdigest(), None, wrong)):
+                            c.append(v)
+                        continue
                     x = np.concatenate([s[0] for _, s in blocks]) if blocks else np.zeros(0, np.int64)
                     payload = (x + 128).astype(np.uint8).tobytes()
                     signs = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
                     feature = f"frames={len(blocks)};sum={int(x.sum())};peak={int(np.abs(x).max(initial=0))};turns={signs}"
-                    for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature)):
+                    for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, None)):
                         c.append(v)
                 part = batch.slice(i, len(streams))
                 kept = [k for k in range(batch.num_columns) if k != at]

@@ -7,12 +7,15 @@ over the text, centred and scaled so that training languages lie near +-2. A tex
 codeword of least loss, log(1 + exp(-bit * output)) weighted by how well each bit separates its two
 sides in training. Texts whose two best codewords are nearly as far are flagged as ambiguous.
 
-Training counts come from at most `per_lang` texts of each language in expectation (a documented
-sample bound, chosen by hash); prediction reads every whole text.
+Training counts come from a bounded sample: `per_lang` texts of each language in expectation, chosen by a hash of id and
+text, twice that for all languages together at most, and the `MOST_LANGS` commonest languages (as common ones: those that
+sort first), so that what the driver sums has a bound. Languages beyond are not learned. Prediction reads every whole text.
 
 Defined cases: null text or no letter gives `und`, score 0, not ambiguous. With one known language
 every text with a letter gets it with score 1; with none all texts get `und`. Rows with a null id
-count as id '' in the held-out rule. Equal codeword losses go to the language that sorts first.
+count as id '' in the held-out rule. Equal codeword losses go to the language that sorts first. Repeated rows are
+learned as often as they are chosen, and predicted alike. Very long texts are read whole. An empty table gives no rows.
+Other columns play no part. Ids must be whole numbers or null; a text id is cast to long, which Spark refuses if it is none.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 from pixelloom.llm import _common as C
 
 BITS = 15
+MOST_LANGS = 200
 SLICE = 1 << 20
 SCHEMA = "doc_id long, lang_pred string, score double, ambiguous boolean"
 
@@ -41,11 +45,12 @@ def codewords(k: int) -> np.ndarray:
         return np.array(splits, np.float32).T.copy()
     width = int(np.ceil(5 * np.log2(k))) + 3
     rng, best, far = np.random.default_rng(7), None, -1
-    for _ in range(200):
+    for _ in range(200 if k <= 40 else 40):
         code = np.where(rng.random((k, width)) < 0.5, 1, -1)
         if (np.abs(code.sum(axis=0)) == k).any():
             continue
-        least = min(int((code[i] != code[j]).sum()) for i in range(k) for j in range(i))
+        apart = (width - code @ code.T) // 2
+        least = int(apart[np.triu_indices(k, 1)].min())
         if least > far:
             best, far = code, least
     return best.astype(np.float32)
@@ -104,11 +109,11 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     docs holds only rows one may learn from. per_lang bounds the sampled texts of a language.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in docs.select(docs[lang_col].alias("lang")).where("lang is not null").groupBy("lang").count().collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_lang / n))).otherwise(share)
-    picked = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+    named = docs.select(docs[lang_col].alias("lang")).where("lang is not null").groupBy("lang").count()
+    sizes = named.orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    entries = [F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["count"]))]
+    share = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("lang")), F.lit(0.0)) if entries else F.lit(0.0)
+    picked = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, np.ndarray] = {}
@@ -125,7 +130,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_pydict({"lang": list(got), "counts": [c.tobytes() for c in got.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
     # The sample has a bound, so a fixed number of tasks and of count vectors is enough at any size.
-    sample = rows.where(picked).select("text", "lang").repartition(12)
+    sample = rows.where(picked).select("text", "lang").limit(2 * per_lang * max(len(sizes), 1)).repartition(12)
     total: dict[str, np.ndarray] = {}
     for lang, counts in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
         c = np.frombuffer(counts, np.int64).astype(np.float64)

@@ -8,7 +8,9 @@ Runs on the allow-list, and stretches that look like plain words, are suppressed
 
 Defined cases: null text counts as empty. Offsets are in code points, ends exclusive. A base span
 always stays; an entropy span that a base span covers is not repeated. Spans sort by start, then kind
-in the order assign, access, hex, entropy, then end.
+in the order assign, access, hex, entropy, then end. Very long texts are read whole. Repeated rows are scanned alike. An
+empty table gives no rows. Other columns play no part, and stay where texts are redacted. Ids must be whole numbers or null; a
+text id is cast to long, which Spark refuses if it is none.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,7 +114,9 @@ def entropy_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> list[Sp
 def all_spans(text: str, allowed: Sequence[re.Pattern] = ALLOWED) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and entropy spans together."""
     base = base_spans(text)
-    extra = [s for s in entropy_spans(text, allowed) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+    starts, reach = [b[0] for b in base], list(accumulate((b[1] for b in base), max))  # base spans come by start
+    covered = lambda s: (n := bisect_right(starts, s[0])) > 0 and reach[n - 1] >= s[1]
+    extra = [s for s in entropy_spans(text, allowed) if not covered(s)]
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -12,12 +12,14 @@ prefixes prune the candidates, and only what is left gets the full Hamming check
 
 Copies fall together before the search (one row for each distinct fingerprint), and a bucket gives
 back a spanning forest of its links rather than all pairs. Buckets with over `bucket_rows`
-fingerprints are dealt into blocks: each block asks for its share of rows against all of the bucket.
-Components come from rounds of large-star and small-star over the links, cut by written tables.
+fingerprints are dealt into tiles of two shares, one that asks and one that is looked up, so a task holds two shares of
+`bucket_rows` at most. Components come from rounds of large-star and small-star over the links, cut by written tables.
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero, which links
-like any other. Rows with a null id take no part in the smallest id; a group of only such rows has
-a null component. Repeated rows give repeated result rows.
+like any other. Rows with a null id link others as any row does, but take no part in the smallest id; a group of only such
+rows has a null component. Repeated rows give repeated result rows; equal fingerprints are one in the search. Very long
+texts are read whole. An empty table gives no rows. Other columns play no part. Ids must be whole numbers or null; a text
+id is cast to long, which Spark refuses if it is none.
 """
 
 from __future__ import annotations
@@ -107,6 +109,7 @@ def ring_links(start: int, fp: np.ndarray, group: np.ndarray, asks: np.ndarray,
 
     At most PAIR_BLOCK candidates are held at once. Only rows with `asks` look others up.
     """
+    others = (np.bincount(group, ~asks) > 0)[group] if len(group) else asks  # rows whose group holds some that don't ask
     second = _segment(fp, start + 1)
     width = CUTS[(start + 1) % SEGMENTS + 1] - CUTS[(start + 1) % SEGMENTS]
     place = group.astype(np.uint64) << np.uint64(13) | second
@@ -141,6 +144,7 @@ def ring_links(start: int, fp: np.ndarray, group: np.ndarray, asks: np.ndarray,
                     near = np.bitwise_count(x & mask) <= budget
                     a, b, x = a[near], b[near], x[near]
                 near = np.bitwise_count(x) <= distance
+                near &= ~(asks & others)[order[b]]  # pairs within the asking share have a tile of their own
                 if near.any():
                     yield order[a[near]], order[b[near]]
             i = j
@@ -216,17 +220,20 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, bucket_rows: int = 1
     # At most 5 * 8,192 buckets exist, so the list of large ones has a bound at any size.
     large = F.broadcast(dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("blocks")))
     dealt = dealt.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "fp", "node", F.pmod(F.xxhash64("fp"), F.col("blocks")).alias("turn"))
-    dealt = dealt.select("bucket", "block", "fp", "node", (F.col("turn") == F.col("block")).alias("asks"))
+    dealt = dealt.withColumn("turn", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    # Tile (i, j) asks with share i among the rows of share j: a row asks in the tiles of its row, and is looked up in those of its column.
+    shares = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    asking = F.transform(shares, lambda j: F.struct((F.col("turn") * F.col("blocks") + j).alias("block"), F.lit(True).alias("asks")))
+    asked = F.transform(F.filter(shares, lambda i: i != F.col("turn")), lambda i: F.struct((i * F.col("blocks") + F.col("turn")).alias("block"), F.lit(False).alias("asks")))
+    dealt = dealt.select("bucket", "fp", "node", F.inline(F.concat(asking, asked))).select("bucket", "block", "fp", "node", "asks")
     dealt = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     return dealt.mapInArrow(lambda batches: _forest(batches, distance), "a long, b long")
 
 
-def components(links: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
-    """node and root (the smallest node it is connected to) for every node in a link; rounds of large-star and small-star."""
-    spark = links.sparkSession
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """node and root (the smallest node it is connected to) for every node in a link; rounds of large-star and small-star until both are settled."""
     edges = C.stored(links.distinct(), name)
-    for _ in range(most_rounds):
+    while True:
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour (or itself).
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
@@ -242,18 +249,17 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 60
         if not deep and not new.groupBy("b").count().where("count > 1").limit(1).count():
             return new.select(F.col("b").alias("node"), F.col("a").alias("root"))
         edges = new
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds on {spark.sparkContext.applicationId}")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links of at most `distance` bits) for every row."""
     marks = C.stored(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    # One node for each distinct fingerprint; the smallest id of its copies names it. Nodes of null ids get a name of their own.
-    nodes = marks.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    named = C.stored(nodes, "nodes")
-    roots = components(near_links(named.where("node is not null"), distance))
-    named = named.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    # One node for each distinct fingerprint, named by itself, so that rows without an id link others too.
+    nodes = C.stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), distance))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marks.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Bands of the looser search and hashes in a band. Texts of similarity s share a band with chance 1 - (1 - s^4)^32: all but 5 in 10^8 at 0.8.

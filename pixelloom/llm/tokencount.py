@@ -7,11 +7,12 @@ compact table of the lengths of frequent pre-tokens, broadcast to all tasks (at
 entries); tier two is a bounded cache in each worker, filled by encoding misses with the library, a
 batch's misses at a time. Pre-tokens are never shuffled.
 
-The table comes from at most `sample_docs` documents in expectation (chosen by hash). It changes speed only:
-a pre-token that it lacks is encoded, so counts never depend on the sample.
+The table comes from about `sample_docs` documents (chosen by a hash of id and text; four times as many at most). It
+changes speed only: a pre-token that it lacks is encoded, so counts never depend on the sample.
 
 Defined cases: null and empty texts have no tokens. A special token's string inside a text is what the
-library makes of it by default.
+library makes of it by default. Very long texts are counted whole. Repeated rows are counted alike. An empty table gives
+no rows. Other columns play no part. Ids must be whole numbers or null; a text id is cast to long, which Spark refuses if it is none.
 """
 
 from __future__ import annotations
@@ -50,6 +51,16 @@ def splits_at_space(path: str) -> bool:
     """Whether the tokenizer drops white space between pre-tokens, so that runs between it count alone."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if any(c.isspace() for t in spec.get("added_tokens", []) for c in t["content"]) or any(t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", [])):
+        return False  # an added token could reach across white space
+    steps = [spec.get("normalizer") or {}]
+    while steps:
+        step = steps.pop()
+        steps += step.get("normalizers", [])
+        # Normalizers that act on characters, or turn white space into one space, leave words apart.
+        plain = step.get("type") in (None, "Sequence", "NFC", "NFD", "NFKC", "NFKD", "Lowercase") or step.get("type") == "Replace" and step.get("pattern") == {"Regex": "\\s+"} and step.get("content") == " "
+        if not plain:
+            return False
     pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
     return any(p.get("type") == "Whitespace" or p.get("type") == "WhitespaceSplit" or p.get("type") == "Split" and p.get("behavior") == "Removed" for p in pre)
 
@@ -62,13 +73,14 @@ def encode_lengths(path: str, parts: list[bytes]) -> list[int]:
 def frequent_lengths(docs: DataFrame, path: str, text_col: str, id_col: str, table_size: int, sample_docs: int) -> dict[bytes, int]:
     """Lengths of the commonest pre-tokens of a bounded sample of documents."""
     n = docs.count()
-    picked = docs.where(C.keep_share(docs[id_col], min(1.0, sample_docs / max(n, 1)), 8)).select(docs[text_col].cast("string").alias("text"))
+    text = docs[text_col].cast("string")
+    picked = docs.where(C.keep_share(F.xxhash64(docs[id_col], text), min(1.0, sample_docs / max(n, 1)), 8)).select(text.alias("text")).limit(4 * sample_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update((text or "").encode().split())
+                seen.update(p for p in (text or "").encode().split() if len(p) <= 64)
         top = seen.most_common(table_size)
         yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in top], pa.binary()), "n": pa.array([c for _, c in top], pa.int64())})
 
@@ -76,7 +88,7 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, id_col: str, tab
     # The sample has a bound, so a few tasks are enough at any size.
     for part, c in picked.repartition(8).mapInArrow(count, "part binary, n long").collect():
         total[bytes(part)] += c
-    parts = [p for p, c in total.most_common(table_size) if c > 1 and len(p) <= 64]
+    parts = [p for p, c in total.most_common(table_size) if c > 1]
     return dict(zip(parts, encode_lengths(path, parts)))
 
 

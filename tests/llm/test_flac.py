@@ -139,3 +139,18 @@ def test_blocks_and_query_on_awkward_rows(spark, docs, awkward, tmp_path):
 def test_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert op3_flac_columns(spark, str(tmp_path)).count() == 0
+
+
+def test_broken_streams_are_their_rows_errors(spark):
+    good = flac.encode([b"payload of this row" * 40, b""])
+    flipped = bytearray(good[0])
+    flipped[-5] ^= 1
+    seek = b"fLaC\x03\x00\x00\x05abcde" + good[0][4:]
+    rows = [(1, bytearray(good[0])), (2, flipped), (3, bytearray(b"nothing")), (4, None), (5, bytearray(good[1])), (6, bytearray(good[0][:-3])), (7, bytearray(seek)), (8, bytearray(good[0]))]
+    media = spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)
+    got = {r["doc_id"]: r for r in flac.media_features(media).collect()}
+    bad = {2, 3, 4, 6, 7}
+    assert {i for i, r in got.items() if r["error"]} == bad and all((got[i]["payload_sha256"] is None) == (i in bad) for i in got)
+    assert got[1][1:] == got[8][1:] and got[1]["payload_bytes"] == 760
+    blocks = flac.pcm_blocks(media).collect()
+    assert {r["doc_id"] for r in blocks if r["error"]} == bad and {r["doc_id"] for r in blocks if not r["error"]} == {1, 8}

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -73,3 +75,55 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(got) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.97
+
+
+def test_many_languages(docs):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(230):
+        words = ["".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(6)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words, 30)), f"l{k:03}") for i in range(4 if k < 200 else 3)]
+    model = langid.fit(docs(rows))
+    assert model.langs == [f"l{k:03}" for k in range(200)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(rows), model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows if lang < "l200"]) > 0.9
+
+
+def test_sample_of_rows_without_ids_stays_bounded(docs):
+    rows = [(None, t, lang) for _, t, lang in corpus(["en", "de"], 400)] + [(7, "immer der gleiche satz hier", "de")] * 400
+    model = langid.fit(docs(rows), per_lang=50)
+    got = langid.identify(docs(corpus(["en", "de"])), model).collect()
+    assert np.mean([r["lang_pred"] == ("en" if r["doc_id"] < 30 else "de") for r in got]) > 0.95
+
+
+def brute_predictions(texts, model):
+    """Each text's n-grams one by one, every bit's mean weight, and the nearest codeword."""
+    out = []
+    for t in texts:
+        seen = bytes(langid.LETTERS[b] for b in t.encode())
+        buf = b"  " + seen + b"  "
+        total, n = np.zeros(model.code.shape[1]), 0
+        for i in range(len(buf) - 2):
+            if buf[i] == 32 and buf[i + 1] == 32:
+                continue
+            two = buf[i] << 8 | buf[i + 1]
+            three = two << 8 | buf[i + 2]
+            slot = lambda x: (x * 2654435761 & 0xFFFFFFFF) >> (32 - langid.BITS)
+            total += model.weights[slot(two + 0x9E3779)] + model.weights[slot(three) + (1 << langid.BITS)]
+            n += 1
+        margin = (total / max(n, 1) - model.centre) * model.scale
+        loss = [sum(w * np.log1p(np.exp(-m * c)) for w, m, c in zip(model.bit_weight, margin, code)) for code in model.code]
+        out.append(model.langs[int(np.argmin(loss))] if any(c.isalpha() for c in t) else "und")
+    return out
+
+
+def test_query_equals_brute_force(spark, docs, awkward, tmp_path):
+    rows = [*[(i, t, None) for i, t in awkward], *[(1000 + i, t, lang) for i, t, lang in corpus(["en", "de", "fr", "es"], 25)]]
+    docs(rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op2_language_id(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i, _, _ in rows}
+    model = langid.fit(docs([r for r in rows if not held[r[0]]]))
+    want = brute_predictions([t or "" for _, t, _ in rows], model)
+    assert {i: (r["held_out"], r["lang_pred"]) for i, r in got.items()} == {i: (held[i], lang) for (i, _, _), lang in zip(rows, want)}
+    docs([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert op2_language_id(spark, str(tmp_path / "none")).count() == 0

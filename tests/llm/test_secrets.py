@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -82,3 +83,38 @@ def test_awkward_rows_and_redaction(spark, docs, awkward, tmp_path):
 def test_empty_table(spark, docs, tmp_path):
     docs([]).write.parquet(str(tmp_path / "documents.parquet"))
     assert op5_secret_scan(spark, str(tmp_path)).count() == 0
+
+
+def brute_entropy_of_text(text):
+    """Every window of every stretch by its own count, then joined where they meet."""
+    found = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if any(a.fullmatch(m[0]) for a in secrets.ALLOWED):
+            continue
+        for chars, window, least in (("[0-9a-fA-F]+", 20, 3.0), ("[A-Za-z0-9+/_=-]+", 20, 3.9)):
+            for part in re.finditer(chars, m[0]):
+                if len(part[0]) < window or any(a.fullmatch(part[0]) for a in secrets.ALLOWED):
+                    continue
+                for i in range(len(part[0]) - window + 1):
+                    counts = Counter(part[0][i : i + window]).values()
+                    if -sum(c / window * math.log2(c / window) for c in counts) >= least - 1e-9:
+                        found |= set(range(m.start() + part.start() + i, m.start() + part.start() + i + window))
+    return found
+
+
+def test_entropy_of_every_class_by_brute_force():
+    rng = random.Random(7)
+    kinds = ["0123456789abcdef", "ABCDEFabcdef0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ab01", "0123456789", "abcdefgh-"]
+    for _ in range(300):
+        text = " ".join("".join(rng.choice(rng.choice(kinds)) if rng.random() < 0.05 else rng.choice(k) for _ in range(rng.randrange(15, 60))) for k in rng.choices(kinds, k=4))
+        got = {i for a, b, _ in secrets.entropy_spans(text) for i in range(a, b)}
+        assert got == brute_entropy_of_text(text), text
+
+
+def test_covered_spans_are_not_repeated():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = " ".join(rng.choice(["token=", "secret: ", "", "api_key='"]) + "".join(rng.choice("0123456789abcdefXYZ+/") for _ in range(rng.randrange(10, 50))) for _ in range(6))
+        base, every = secrets.all_spans(text)
+        extra = [s for s in secrets.entropy_spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
+        assert sorted(every) == sorted(base + extra)

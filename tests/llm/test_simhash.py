@@ -179,3 +179,35 @@ def test_null_ids_link_others(docs):
     texts = [" ".join(words[: 200 - k]) for k in (0, 30, 60)]  # first and last are alike only through the second
     kept = simhash.one_of_each(docs([(1, texts[0]), (None, texts[1]), (2, texts[2])])).collect()
     assert jaccard(texts[0], texts[2]) < 0.8 and sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
+
+
+def test_rows_without_an_id_link_others(spark, docs, monkeypatch):
+    rows = [(1, 0x0), (None, 0xF), (9, 0xFF), (None, 0xFF), (20, 0x7FFF000000000000), (None, -1)]
+    frame = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: frame)
+    got = simhash.near_duplicates(docs([])).collect()
+    assert sorted((r["fp"], r["component_id"]) for r in got) == sorted([(0x0, 1), (0xF, 1), (0xFF, 1), (0xFF, 1), (0x7FFF000000000000, 20), (-1, None)])
+
+
+def test_tiles_of_large_buckets_find_every_link(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = list({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(25)})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = spark.createDataFrame([(f, f) for f in signed], "node long, fp long")
+
+    def groups(bucket_rows):
+        parent = {f: f for f in signed}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in simhash.near_links(nodes, bucket_rows=bucket_rows).collect():
+            a, b = root(r["a"]), root(r["b"])
+            parent[max(a, b)] = min(a, b)
+        return {f: root(f) for f in signed}
+
+    whole = groups(1 << 20)
+    assert groups(3) == whole and groups(10) == whole and 12 <= len(set(whole.values())) < len(fps)
