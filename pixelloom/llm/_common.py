@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_tables: list[tuple[SparkSession, str]] = []  # what `stored` has written and nothing has deleted
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,14 +42,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.stored_at = path
+    _tables.append((spark, path))
     return back
 
 
+def mark() -> int:
+    """A place in the list of stored tables, for `sweep`."""
+    return len(_tables)
+
+
+def sweep(begin: int, keep: DataFrame | None = None) -> None:
+    """Delete the tables stored since `begin`, but for `keep`: for when nothing that reads them is still to run."""
+    kept = getattr(keep, "stored_at", None)
+    for spark, path in _tables[begin:]:
+        if path != kept:
+            _delete(spark, path)
+    _tables[begin:] = [x for x in _tables[begin:] if x[1] == kept]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table of a frame that `stored` gave, when nothing will read it again."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _tables[:] = [x for x in _tables if x[1] != df.stored_at]
+    _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

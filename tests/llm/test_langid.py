@@ -96,8 +96,8 @@ def test_sample_of_rows_without_ids_stays_bounded(docs):
     assert np.mean([r["lang_pred"] == ("en" if r["doc_id"] < 30 else "de") for r in got]) > 0.95
 
 
-def brute_predictions(texts, model):
-    """Each text's n-grams one by one, every bit's mean weight, and the nearest codeword."""
+def brute_predictions(texts, model, near=False):
+    """Each text's n-grams one by one, every bit's mean weight, and the nearest codeword; with `near` whether the next is as near."""
     out = []
     for t in texts:
         seen = bytes(langid.LETTERS[b] for b in t.encode())
@@ -113,7 +113,8 @@ def brute_predictions(texts, model):
             n += 1
         margin = (total / max(n, 1) - model.centre) * model.scale
         loss = [sum(w * np.log1p(np.exp(-m * c)) for w, m, c in zip(model.bit_weight, margin, code)) for code in model.code]
-        out.append(model.langs[int(np.argmin(loss))] if any(c.isalpha() for c in t) else "und")
+        lang = model.langs[int(np.argmin(loss))] if any(c.isalpha() for c in t) else "und"
+        out.append((lang, sorted(loss)[1] - min(loss) < model.min_gap) if near else lang)
     return out
 
 

@@ -1,11 +1,16 @@
 """The pipeline, stage by stage, against plain Python on the same rows, and as a whole."""
 
+import math
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from pixelloom.llm import langid, quality, secrets
+from pixelloom.llm._common import mark
+from tests.llm.test_langid import brute_predictions
+from tests.llm.test_models import brute_statistics, mixed
 from tests.llm.test_simhash import brute_fp, brute_roots
 from tests.llm.test_tokens import check_packing
 
@@ -27,12 +32,13 @@ def test_stages(spark, corpus, tmp_path):
     assert list(stages) == ["language_id", "quality_classifier", "near_duplicates", "secret_scan", "best_fit_packing"]
 
     named = stages["language_id"](spark, frame, "")
-    model = langid.fit(frame)
-    want = {r["doc_id"] for r in langid.identify(frame, model).collect() if r["lang_pred"] != "und" and not r["ambiguous"]}
+    found = brute_predictions([t or "" for _, t, _ in rows], langid.fit(frame), near=True)
+    want = {i for (i, _, _), (lang, near) in zip(rows, found) if lang != "und" and not near}
     assert named.columns == columns and {r["doc_id"] for r in named.collect()} == want and not want & {102, 103, 104} and len(want) > 90
 
     good = stages["quality_classifier"](spark, named, "")
-    kept = {r["doc_id"] for r in quality.classify(named, quality.fit(named)).collect() if r["keep"]}
+    model = quality.fit(named)
+    kept = {i for i in want if brute_score(texts[i], model) >= model.threshold}
     assert good.columns == columns and {r["doc_id"] for r in good.collect()} == kept and 101 not in kept and len(kept) > 85
 
     one = stages["near_duplicates"](spark, good, "")
@@ -52,6 +58,52 @@ def test_stages(spark, corpus, tmp_path):
     check_packing([(i, r["text"]) for i, r in got.items()], packed, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def brute_score(text, model):
+    """The scorer's sum over a text's n-grams and bins, one by one."""
+    raw = b"\n\n" + text.encode() + b"\n\n"
+    slot = lambda x: (x * 2654435761 & 0xFFFFFFFF) >> (32 - quality.BITS)
+    total, n = 0.0, len(raw) - 2
+    for i in range(n):
+        two = raw[i] << 8 | raw[i + 1]
+        total += model.weights[slot(two + 0x9E3779)] + model.weights[slot(two << 8 | raw[i + 2]) + (1 << quality.BITS)]
+    total = total / (n + quality.DAMP) + model.bias
+    words = len(text.split())
+    for k, (x, (_, _, bad, good, least)) in enumerate(zip(brute_statistics(text), quality.LABELLERS)):
+        sign = 1 if bad > good else -1
+        if words >= least and (sign * x >= sign * bad or sign * x <= sign * good):
+            edges = [2 * max(bad, good) * e / quality.BINS for e in range(1, quality.BINS)]
+            total += model.weights[(2 << quality.BITS) + k * quality.BINS + sum(x >= e for e in edges)]
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_equal_plain_sums(docs, prose):
+    rows = [(i, t) for i, t, _ in mixed(300, 1)] + [(1000 + i, prose(30 + i, i)) for i in range(50)]
+    model = quality.fit(docs(rows))
+    assert model.weights is not None
+    for r in quality.classify(docs(rows), model).collect():
+        assert abs(r["score"] - brute_score(dict(rows)[r["doc_id"]], model)) < 1e-5
+
+
+def test_stages_keep_rows_without_ids_and_other_columns(spark, docs, awkward, prose):
+    rows = [*awkward, *[(100 + i, prose(30 + i, i)) for i in range(40)], *[(None, prose(60 + i, 70 + i)) for i in range(3)]]
+    frame = docs(rows, extra=True).drop("n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, "")
+        assert out.columns == frame.columns, name
+        frame = spark.createDataFrame(out.collect(), out.schema)
+        left = {r["text"] for r in frame.collect() if r["doc_id"] is None}
+        assert {t for i, t in rows[-3:]} <= left, name
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, "").where("doc_id is null").count() >= 3
+
+
+def test_run_leaves_only_its_result(spark, corpus, tmp_path):
+    _, frame = corpus
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    before = mark()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert mark() == before + 1 and got.count() > 80
+
+
 def test_run(spark, corpus, tmp_path):
     _, frame = corpus
     frame.write.parquet(str(tmp_path / "documents.parquet"))
