@@ -155,11 +155,13 @@ def segment_sums(hashes: list[np.ndarray], starts: np.ndarray, weights: np.ndarr
     return out
 
 
-def keep_share(id_col: Column, share: float, salt: int) -> Column:
-    """True for about `share` of the ids, chosen by hash: the same rows on every run."""
-    if share >= 1:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(F.lit(salt), id_col), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+def pick(salt: int, *columns: Column) -> Column:
+    """A number from 0 to 1 for each row, by a hash of `columns` and of the row's place in its files.
+
+    The same on every run over the same files, and evenly spread even where ids and texts repeat without end, so that a
+    share of the rows is a share in each case.
+    """
+    return F.pmod(F.xxhash64(F.lit(salt), *columns, F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def filtered(docs: DataFrame, text_col: str, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int = 1 << 20) -> DataFrame:

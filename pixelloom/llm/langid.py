@@ -7,8 +7,8 @@ over the text, centred and scaled so that training languages lie near +-2. A tex
 codeword of least loss, log(1 + exp(-bit * output)) weighted by how well each bit separates its two
 sides in training. Texts whose two best codewords are nearly as far are flagged as ambiguous.
 
-Training counts come from a bounded sample: `per_lang` texts of each language in expectation, chosen by a hash of id and
-text, twice that for all languages together at most, and the `MOST_LANGS` commonest languages (as common ones: those that
+Training counts come from a bounded sample: `per_lang` texts of each language in expectation, chosen by a hash of each row,
+and the `MOST_LANGS` commonest languages (as common ones: those that
 sort first), so that what the driver sums has a bound. Languages beyond are not learned. Prediction reads every whole text.
 
 Defined cases: null text or no letter gives `und`, score 0, not ambiguous. With one known language
@@ -113,7 +113,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     sizes = named.orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
     entries = [F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["count"]))]
     share = F.coalesce(F.try_element_at(F.create_map(*entries), F.col("lang")), F.lit(0.0)) if entries else F.lit(0.0)
-    picked = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+    picked = C.pick(11, F.col("doc_id"), F.col("text")) < share
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, np.ndarray] = {}
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_pydict({"lang": list(got), "counts": [c.tobytes() for c in got.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
     # The sample has a bound, so a fixed number of tasks and of count vectors is enough at any size.
-    sample = rows.where(picked).select("text", "lang").limit(2 * per_lang * max(len(sizes), 1)).repartition(12)
+    sample = rows.where(picked).select("text", "lang").repartition(12)
     total: dict[str, np.ndarray] = {}
     for lang, counts in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
         c = np.frombuffer(counts, np.int64).astype(np.float64)

@@ -286,8 +286,8 @@ def tally(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarr
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = 1000, threshold: float = 0.5) -> QualityModel:
     """The label model from all texts' votes, and the scorer from a bounded sample labelled by it.
 
-    The sample is chosen by a hash of id and text. A task passes on at most `per_class` texts of each side, and one
-    task keeps the first of them by hash, so that rows repeated without end can't outgrow the bound either.
+    The sample is chosen by a hash of each row. A task passes on at most `per_class` texts of each side, and one task keeps
+    the first `per_class` of them by hash.
     """
     spark = docs.sparkSession
     v, counts = tally(docs, text_col)
@@ -296,8 +296,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cla
     share = {side: min(1.0, per_class / max(counts[(post > 0.5) == side].sum(), 1)) for side in (True, False)}
     at = spark.sparkContext.broadcast((labels, share))
     text = docs[text_col].cast("string")
-    pick = F.pmod(F.xxhash64(F.lit(21), docs[id_col], text), F.lit(1 << 30)) / F.lit(1 << 30)
-    texts = docs.select(text.alias("text"), pick.alias("pick")).where("text is not null and text <> ''")
+    texts = docs.select(text.alias("text"), C.pick(21, docs[id_col], text).alias("pick")).where("text is not null and text <> ''")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, shares = at.value

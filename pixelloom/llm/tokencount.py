@@ -7,7 +7,7 @@ compact table of the lengths of frequent pre-tokens, broadcast to all tasks (at
 entries); tier two is a bounded cache in each worker, filled by encoding misses with the library, a
 batch's misses at a time. Pre-tokens are never shuffled.
 
-The table comes from about `sample_docs` documents (chosen by a hash of id and text; four times as many at most). It
+The table comes from about `sample_docs` documents, chosen by a hash of each row. It
 changes speed only: a pre-token that it lacks is encoded, so counts never depend on the sample.
 
 Defined cases: null and empty texts have no tokens. A special token's string inside a text is what the
@@ -74,7 +74,7 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, id_col: str, tab
     """Lengths of the commonest pre-tokens of a bounded sample of documents."""
     n = docs.count()
     text = docs[text_col].cast("string")
-    picked = docs.where(C.keep_share(F.xxhash64(docs[id_col], text), min(1.0, sample_docs / max(n, 1)), 8)).select(text.alias("text")).limit(4 * sample_docs)
+    picked = docs.where(C.pick(8, docs[id_col], text) < sample_docs / max(n, 1)).select(text.alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()

@@ -339,7 +339,7 @@ def test_accuracies_decide():
 
 
 def test_sample_stays_bounded(docs):
-    """Rows that share id and text are all chosen or none, and yet the bound holds."""
+    """Rows that share id and text are chosen by their place."""
     bad = "!! ".join(["WORD"] * 40)
     frame = docs([(None, bad)] * 300 + [(1, t) for t in grammar(300, 1)] + [(5, bad)] * 300)
     for per_class in (10, 50):
