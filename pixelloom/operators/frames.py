@@ -13,10 +13,24 @@ from pixelloom.session import bound, once
 NEEDS = ["transfer_syntax_uid", "number_of_frames", "rows", "columns", "samples_per_pixel", "bits_allocated", "encapsulated_data", "native_pixel_bytes"]
 
 
-def fragment_offsets(fragments: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
-    """fragments with relative_tag_start: the bytes of all fragments before, headers of 8 bytes included; empty ones don't count."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return fragments.withColumn("relative_tag_start", F.coalesce(F.sum(F.when(F.col(length) > 0, F.col(length) + 8).otherwise(0)).over(w), F.lit(0)).cast("bigint"))
+def fragment_offsets(fragments: DataFrame, keys: list[str], order: str, length: str, ranges: int = 64) -> DataFrame:
+    """fragments with relative_tag_start: the bytes of all fragments before, headers of 8 bytes included; empty ones don't count.
+
+    Sums run within ranges of the order (a number), whose bounds are asked for first, and each range begins at the sum of
+    those before it. So a key with very many fragments is spread over all ranges.
+    """
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = fragments.agg(F.percentile_approx(order, shares)).first()[0] or []
+    size = F.when(F.col(length) > 0, F.col(length) + 8).otherwise(0).cast("bigint")
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    dealt = fragments.withColumn("_size", size).withColumn("_range", F.coalesce(at, F.lit(0)))
+    before = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "_range").agg(F.sum("_size").alias("_sum"))
+    begins = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_begin"))
+    within = dealt.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    match = [within["_range"] == begins["_range"], *(within[k].eqNullSafe(begins[k]) for k in keys)]
+    return within.join(begins, match).select(*(within[c] for c in fragments.columns), (F.col("_before") + F.col("_begin")).alias("relative_tag_start"))
 
 
 def offset_table_error(offsets: Column, starts: Column, frames: Column) -> Column:

@@ -375,8 +375,9 @@ def _write(row: dict, syntax: str | None = None) -> bytes:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows over all cores: a small table is one split, and what is made of each row is costly."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    """rows over all cores, and as many tasks as a shuffle has: a small table is one split, and what is made of each row is costly."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import dictionaries as D
 from pixelloom.functions import pixels, values
-from pixelloom.operators import dataset, render, rle, windowing
+from pixelloom.operators import dataset, frames, render, rle, windowing
 from pixelloom.sources import dicom
 from pixelloom.sources.writer import encapsulated, packed_int16, part10
 
@@ -19,8 +19,8 @@ def parsed(spark, *contents, **kw):
 
 
 def shown(spark, *contents, index=None, **kw):
-    frames = render.frames_of(parsed(spark, *contents), None if index is None else F.lit(index))
-    return sorted(render.render(frames, **kw).collect(), key=lambda r: (int(r["file_id"]), r["frame_index"]))
+    cut = render.frames_of(parsed(spark, *contents), None if index is None else F.lit(index))
+    return sorted(render.render(cut, **kw).collect(), key=lambda r: (int(r["file_id"]), r["frame_index"]))
 
 
 def rgba(row):
@@ -160,6 +160,17 @@ def test_samples_of_a_large_binary_take_linear_time(spark):
     assert tuple(got) == (n, 0x0302, 0xFFFE) and time.monotonic() - began < 20
 
 
+def test_offsets_of_a_hot_key_over_many_ranges(spark):
+    rows = [("hot" if i % 3 else None, i, (i * 37) % 50 - 5) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "file string, i int, n int").repartition(7)
+    got = {(r["file"], r["i"]): r["relative_tag_start"] for r in frames.fragment_offsets(frame, ["file"], "i", "n").collect()}
+    at = {}
+    for key, i, n in rows:
+        assert got.pop((key, i)) == at.get(key, 0)
+        at[key] = at.get(key, 0) + (n + 8 if n > 0 else 0)
+    assert not got
+
+
 def test_text_of_unknown_elements(spark):
     content = part10([(D.TAG["AcquisitionDate"], "UN", b"20200102")], D.IMPLICIT_LE)
     assert dataset.instances(parsed(spark, content)).first()["acquisition_date"] == "20200102"
