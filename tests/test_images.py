@@ -2,6 +2,7 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -171,6 +172,15 @@ def test_offsets_of_a_hot_key_over_many_ranges(spark):
     assert not got
 
 
+def test_batches_are_answered_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"payload": pa.array([b"x" * n for n in (5, 0, 900, 40, 2, 2, 300)] + [None], pa.binary()), "i": list(range(8))})
+    for most in (1, 100, 10**6):
+        runs = list(render._runs(batch, lambda f: (f["i"], len(f["payload"] or b"")), lambda g: g[1], most=max(most, 4)))
+        assert [g[0] for _, got in runs for g in got] == list(range(8)) and [x for part, _ in runs for x in part.column(1).to_pylist()] == list(range(8))
+        assert all(sum(g[1] for g in got[:-1]) < max(most, 4) for _, got in runs)
+    assert not list(render._runs(batch.slice(0, 0), None, None))
+
+
 def test_text_of_unknown_elements(spark):
     content = part10([(D.TAG["AcquisitionDate"], "UN", b"20200102")], D.IMPLICIT_LE)
     assert dataset.instances(parsed(spark, content)).first()["acquisition_date"] == "20200102"
