@@ -5,7 +5,7 @@ space. That is exact for tokenizers whose pre-tokenization never joins text acro
 drops the white space itself, which `TokenCounter` checks from the tokenizer's file. Tier one is a
 compact table of the lengths of frequent pre-tokens, broadcast to all tasks (at most `table_size`
 entries); tier two is a bounded cache in each worker, filled by encoding misses with the library, a
-batch's misses at a time. Pre-tokens are never shuffled.
+batch's misses at a time. Each distinct pre-token of a batch is looked up once. Pre-tokens are never shuffled.
 
 The table comes from about `sample_docs` documents, chosen by a hash of each row. It
 changes speed only: a pre-token that it lacks is encoded, so counts never depend on the sample.
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pixelloom.llm import _common as C
 
 CACHE = 400_000  # entries of a worker's cache; it starts anew when full
+SLICE = 1 << 22  # bytes of text handled at once
+JOINED = 256  # pre-tokens that are encoded as one string
 _encoders: dict[str, object] = {}
 _caches: dict[str, dict[bytes, int]] = {}
 
@@ -66,8 +68,22 @@ def splits_at_space(path: str) -> bool:
 
 
 def encode_lengths(path: str, parts: list[bytes]) -> list[int]:
-    texts = [p.decode("utf-8") for p in parts]
-    return [len(e) for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
+    """Token counts of pre-tokens. Those without a tilde are encoded in joined runs, a lone tilde, which is one token, between them."""
+    tok = load(path)
+    count = lambda texts: tok.encode_batch_fast(texts, add_special_tokens=False)
+    tilde = count(["~"])[0].ids
+    joins = [i for i, p in enumerate(parts) if len(p) <= 256 and b"~" not in p] if len(tilde) == 1 else []
+    out = [-1] * len(parts)
+    runs = [joins[i : i + JOINED] for i in range(0, len(joins), JOINED)]
+    for run, e in zip(runs, count([b" ~ ".join([parts[i] for i in run] + [b""]).decode() for run in runs])):
+        ends = np.flatnonzero(np.array(e.ids) == tilde[0])
+        if len(ends) == len(run):  # an added token may take a tilde's place; then each is encoded alone
+            for i, n in zip(run, np.diff(ends, prepend=-1).tolist()):
+                out[i] = n - 1
+    alone = [i for i, n in enumerate(out) if n < 0]
+    for i, e in zip(alone, count([parts[i].decode() for i in alone])):
+        out[i] = len(e)
+    return out
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str, id_col: str, table_size: int, sample_docs: int) -> dict[bytes, int]:
@@ -92,6 +108,22 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, id_col: str, tab
     return dict(zip(parts, encode_lengths(path, parts)))
 
 
+def _lengths(parts: list[bytes], first: dict[bytes, int], second: dict[bytes, int], path: str) -> np.ndarray:
+    """Token counts of distinct pre-tokens: from the broadcast table, else the worker's cache, else by encoding them, all at once."""
+    got = list(map(first.get, parts))
+    missed = [i for i, n in enumerate(got) if n is None]
+    for i in missed:
+        got[i] = second.get(parts[i])
+    new = [i for i in missed if got[i] is None]
+    for i, n in zip(new, encode_lengths(path, [parts[i] for i in new])):
+        got[i] = n
+    if len(second) + len(new) > CACHE:
+        second.clear()
+    # Very long pre-tokens are counted but not kept.
+    second.update((parts[i], got[i]) for i in new if len(parts[i]) <= 256)
+    return np.array(got, np.int64)
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", table_size: int = 32768, sample_docs: int = 1000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) for every row."""
     if not splits_at_space(path):
@@ -101,27 +133,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = table.value, _caches.setdefault(path, {})
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
-            out = np.zeros(len(texts), np.int64)
-            for i, text in enumerate(texts):
-                lengths = list(map(first.get, text.split()))
-                if None in lengths:
-                    parts = text.split()
-                    missed = [p for p, n in zip(parts, lengths) if n is None]
-                    new = [p for p in dict.fromkeys(missed) if p not in second]
-                    if new:
-                        if len(second) + len(new) > CACHE:
-                            second.clear()
-                            new = list(dict.fromkeys(missed))
-                        # Very long pre-tokens are counted but not kept.
-                        fresh = dict(zip(new, encode_lengths(path, new)))
-                        second.update((p, n) for p, n in fresh.items() if len(p) <= 256)
-                        out[i] = sum(fresh[p] if p in fresh else second[p] for p in missed)
-                    else:
-                        out[i] = sum(map(second.__getitem__, missed))
-                    lengths = [n for n in lengths if n is not None]
-                out[i] += sum(lengths)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(out), pa.array(out > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            _, offsets = C.text_bytes(batch.column(1))
+            for i, j in C.slices(offsets, SLICE):
+                words, n = C.words_of(batch.column(1).slice(i, j - i))
+                lengths = _lengths(words.dictionary.to_pylist(), first, second, path)[words.indices.to_numpy()]
+                ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(n))]
+                out = np.diff(ends)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(out), pa.array(out > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

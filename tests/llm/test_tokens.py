@@ -45,6 +45,23 @@ def test_pre_tokens_count_alone(word):
         assert sum(tokencount.encode_lengths(WORD, parts)) == len(word.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def test_joined_lengths(word):
+    rng = random.Random(2)
+    parts = ["".join(rng.choice([*CHUNKS, "~", "x~", "|", "'", "ll", "\u0301"]) for _ in range(rng.randrange(1, 8))) for _ in range(4000)]
+    parts = [q for p in parts for q in p.encode().split()] + [b"~", b"~~", b"z" * 5000]
+    assert tokencount.encode_lengths(WORD, parts) == [len(word.encode(p.decode(), add_special_tokens=False).ids) for p in parts]
+
+
+def test_counts_with_a_tiny_cache(spark, docs, prose, word, monkeypatch):
+    rows = [(i, prose(200, i)) for i in range(5)]
+    second = {b"kept": 1}
+    monkeypatch.setattr(tokencount, "CACHE", 3)
+    got = tokencount._lengths([b"kept", b"other", b"alpha", b"more"], {b"more": 1}, second, WORD)
+    assert got.tolist() == [1, *(len(word.encode(w, add_special_tokens=False).ids) for w in ("other", "alpha")), 1] and len(second) <= 3
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(docs(rows), WORD, table_size=2).collect()}
+    assert got == {i: len(word.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_count_query(spark, docs, awkward, prose, word, tmp_path, monkeypatch):
     rows = [*awkward, *[(100 + i, prose(300, i)) for i in range(20)]]
     docs(rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
