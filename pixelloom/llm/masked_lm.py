@@ -264,7 +264,7 @@ class Network:
             out[i : i + n] = np.rint(lp[:n].astype(np.float64) * UNIT)
         return out
 
-    def train(self, framed: np.ndarray, at: np.ndarray, rate: float, block: int = 1024) -> None:
+    def train(self, framed: np.ndarray, at: np.ndarray, rate: float, block: int = 2048) -> None:
         """One pass of gradient steps over the places `at`; each weight's steps shrink with its gradients so far."""
         sums = [np.full(s[:1] if k in (0, 5) else s, 1e-4, np.float32) for k, s in enumerate(Network.SHAPES)]  # by row for vectors and clusters
         steps = (-SIDE, -1, 1, SIDE)
@@ -350,7 +350,7 @@ class LanguageScorer:
     counts: DataFrame  # of words, stored
 
 
-def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = 2, mask: int = 8, rate: float = 0.2, shard_words: int = 1 << 22) -> Network:
+def train(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = 2, mask: int = 4, rate: float = 0.25, shard_words: int = 1 << 22) -> Network:
     """`rounds` rounds over every document; a round masks a `mask`-th of the words, other words than the rounds before."""
     spark = encoded.sparkSession
     shards = max(1, -(-vocabulary.total // shard_words))
