@@ -231,19 +231,24 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, bucket_rows: int = 1
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node and root (the smallest node it is connected to) for every node in a link; rounds of large-star and small-star until both are settled."""
+    """node and root (the smallest node it is connected to) for every node in a link; rounds of large-star and small-star until both are settled.
+
+    A node of many links is a hot key of the joins. What they join are written tables, so that both sides are plain
+    shuffles, whose large partitions adaptive execution splits.
+    """
     edges = C.stored(links.distinct(), name)
     while True:
         # Large star: every larger neighbour of a node goes to the node's smallest neighbour (or itself).
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
-        stars = both.where("v > u").join(low, "u").select(F.col("low").alias("a"), F.col("v").alias("b")).distinct()
+        low = C.stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low")), f"{name}-low")
+        stars = C.stored(both.where("v > u").join(low, "u").select(F.col("low").alias("a"), F.col("v").alias("b")).distinct(), f"{name}-stars")
         # Small star: a node and its smaller neighbours all go to the smallest of them.
-        least = stars.groupBy("b").agg(F.min("a").alias("low"))
+        least = C.stored(stars.groupBy("b").agg(F.min("a").alias("low")), f"{name}-least")
         small = stars.join(least, "b").select("low", "a", "b")
         new = small.select(F.col("low").alias("a"), "b").union(small.where("a > low").select(F.col("low").alias("a"), F.col("a").alias("b"))).distinct()
         new = C.stored(new, name)
-        C.discard(edges)
+        for done in (edges, low, stars, least):
+            C.discard(done)
         # Done when every larger end has one link, and no larger end is a smaller end elsewhere.
         deep = new.select(F.col("b").alias("x")).join(new.select(F.col("a").alias("x")).distinct(), "x", "left_semi").limit(1).count()
         if not deep and not new.groupBy("b").count().where("count > 1").limit(1).count():
