@@ -370,20 +370,27 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, similarity: float)
         yield from links(held)
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cluster_rows: int = 4096) -> DataFrame:
-    """Links (a, b), a < b, that connect the texts whose shingle sets overlap by `similarity`. nodes: node, least (its smallest doc_id) and bands."""
+def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cluster_rows: int = 1024) -> DataFrame:
+    """Links (a, b), a < b, that connect the texts whose shingle sets overlap by `similarity`. nodes: node, least (its smallest doc_id) and bands.
+
+    A cluster of over `cluster_rows` texts is dealt into shares of about so many, and a task compares one share with another:
+    two shares of texts at most are in one task, however large the cluster is.
+    """
     dealt = nodes.select("node", F.explode("bands").alias("bucket"))
     low = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "low")
     # All that shares a bucket comes into one cluster, so that each text travels to its cluster once.
     loose = components(dealt.join(low, "bucket").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")), "loose")
     members = loose.union(loose.select(F.col("root").alias("node"), "root").distinct())
-    # Clusters over `cluster_rows` are dealt into blocks: each block asks for its share of rows against all of the cluster.
+    # Tile (i, j), i <= j, asks with share i among the texts of share j.
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / cluster_rows).alias("blocks"))
     members = members.join(nodes.select("node", "least"), "node").join(blocks, "root").select(F.col("node").alias("_node"), "root", "blocks", "least")
     texts = _with_node(docs, id_col, text_col)
     texts = texts.join(members.hint("merge"), (texts["node"] == members["_node"]) & texts["doc_id"].eqNullSafe(members["least"]))
-    texts = texts.select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "node", "text", F.pmod("node", "blocks").alias("turn"))
-    texts = texts.select("root", "block", "node", "text", (F.col("turn") == F.col("block")).alias("asks"))
+    texts = texts.withColumn("turn", F.pmod("node", "blocks"))
+    shares = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    asking = F.transform(F.filter(shares, lambda j: j >= F.col("turn")), lambda j: F.struct((F.col("turn") * F.col("blocks") + j).alias("block"), F.lit(True).alias("asks")))
+    asked = F.transform(F.filter(shares, lambda i: i < F.col("turn")), lambda i: F.struct((i * F.col("blocks") + F.col("turn")).alias("block"), F.lit(False).alias("asks")))
+    texts = texts.select("root", "node", "text", F.inline(F.concat(asking, asked))).select("root", "block", "node", "text", "asks")
     texts = texts.repartition("root", "block").sortWithinPartitions("root", "block")
     return texts.mapInArrow(lambda batches: _confirmed(batches, size, similarity), "a long, b long")
 
