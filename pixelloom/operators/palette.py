@@ -26,46 +26,54 @@ def descriptor(e: Column, signed_pixels: Column) -> Column:
     return F.struct(F.when(n == 0, F.lit(65536)).otherwise(n).cast("int").alias("n"), first.cast("int").alias("first"), V.unsigned(b, 4, 2, little).cast("int").alias("bits"))
 
 
-def entries(e: Column, d: Column) -> Column:
-    """A channel's entries as bytes: 8-bit ones as they are, 16-bit ones by their high byte."""
-    x = F.struct(e["value_bytes"].alias("bytes"), F.when(e["is_little_endian"], F.lit(2)).otherwise(F.lit(1)).alias("high"), d["n"].alias("n"))
-    wide = bound(x, lambda x: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.hex(F.substring(x["bytes"], i * 2 + x["high"], F.lit(1)))), "")))
-    return F.when(d["bits"] == 8, F.substring(e["value_bytes"], F.lit(1), d["n"])).otherwise(wide)
+def entries(x: Column) -> Column:
+    """A channel's entries as bytes, of struct<bytes, little, n, bits>: 8-bit ones as they are, 16-bit ones by their high byte."""
+    high = F.when(x["little"], F.lit(2)).otherwise(F.lit(1))
+    wide = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.hex(F.substring(x["bytes"], i * 2 + high, F.lit(1)))), ""))
+    return F.when(x["bits"] == 8, F.substring(x["bytes"], F.lit(1), x["n"])).otherwise(wide)
 
 
 @once
-def palette(column: str = "dataset") -> tuple[Column, Column]:
-    """struct<n, first, bits, r, g, b> of the data set map in `column`, and the error of the first check that fails."""
+def palette(column: str = "dataset") -> Column:
+    """struct<table, error> of the data set map in `column`: struct<n, first, bits, r, g, b>, or the error of the first check that fails.
+
+    Each element is looked up and each descriptor read once; all checks refer to what was found.
+    """
     dataset = F.col(column)
     signed_pixels = getters(column)["is_signed"]
-    tables = {c: element(dataset, _name(c, "Data")) for c in CHANNELS}
-    described = {c: element(dataset, _name(c, "Descriptor")) for c in CHANNELS}
-    parsed = {c: descriptor(described[c], signed_pixels) for c in CHANNELS}
+    absent = F.lit(None).cast("struct<n: int, first: int, bits: int>")
+    found = []
+    for c in CHANNELS:
+        described, data = element(dataset, _name(c, "Descriptor")), element(dataset, _name(c, "Data"))
+        d = F.when(F.octet_length(described["value_bytes"]) >= 6, descriptor(described, signed_pixels)).otherwise(absent)
+        found.append(F.struct(described.isNotNull().alias("described"), described["tag"].alias("tag"), F.octet_length(described["value_bytes"]).alias("size"), d.alias("d"), data["value_bytes"].alias("bytes"), data["is_little_endian"].alias("little")).alias(c))
     segmented = F.lit(False)
-    undirect = F.lit(False)
     for c in CHANNELS:
         segmented = segmented | element(dataset, f"Segmented{_name(c, 'Data')}").isNotNull()
-        undirect = undirect | tables[c].isNull()
     enhanced = element(dataset, "EnhancedPaletteColorLookupTableSequence").isNotNull()
+    return bound(F.struct(*found, segmented.alias("segmented"), enhanced.alias("enhanced")), _checked)
+
+
+def _checked(x: Column) -> Column:
+    undirect = x["Red"]["bytes"].isNull() | x["Green"]["bytes"].isNull() | x["Blue"]["bytes"].isNull()
     direct = "Only direct Palette Color LUT Data (0028,1201-1203) is supported."
     checks = [
-        (segmented & undirect, error(UNSUPPORTED, f"Segmented Palette Color Lookup Table Data (0028,1221-1223) is unsupported. {direct}")),
-        (enhanced & undirect, error(UNSUPPORTED, f"Enhanced Palette Color Lookup Table Sequence (0028,140B) is unsupported. {direct}")),
+        (x["segmented"] & undirect, error(UNSUPPORTED, f"Segmented Palette Color Lookup Table Data (0028,1221-1223) is unsupported. {direct}")),
+        (x["enhanced"] & undirect, error(UNSUPPORTED, f"Enhanced Palette Color Lookup Table Sequence (0028,140B) is unsupported. {direct}")),
     ]
-    for what, found in (("Descriptor", described), ("Data", tables)):
+    for what, number, missing in (("Descriptor", 0x1101, lambda c: ~x[c]["described"]), ("Data", 0x1201, lambda c: x[c]["bytes"].isNull())):
         for i, c in enumerate(CHANNELS):
-            number = (0x1101 if what == "Descriptor" else 0x1201) + i
-            checks.append((found[c].isNull(), error(FORMAT, f"PALETTE COLOR dataset missing {c} Palette Color Lookup Table {what} (0028,{number:04X}).")))
+            checks.append((missing(c), error(FORMAT, f"PALETTE COLOR dataset missing {c} Palette Color Lookup Table {what} (0028,{number + i:04X}).")))
     for c in CHANNELS:
-        b = described[c]["value_bytes"]
-        checks.append((F.octet_length(b) < 6, error(FORMAT, F.concat(F.lit("Incomplete Palette Color LUT descriptor ("), tag_text(described[c]["tag"]), F.lit("): expected at least 6 bytes, found "), F.octet_length(b).cast("string"), F.lit(" bytes.")))))
-        checks.append((~parsed[c]["bits"].isin(8, 16), error(FORMAT, F.concat(F.lit("Invalid Palette Color LUT bitsPerEntry: "), parsed[c]["bits"].cast("string"), F.lit(". Must be 8 or 16.")))))
-    d = parsed["Red"]
-    checks.append(((d != parsed["Green"]) | (d != parsed["Blue"]), error(FORMAT, "Inconsistent Palette Color LUT descriptors across red, green and blue.")))
+        short = F.concat(F.lit("Incomplete Palette Color LUT descriptor ("), tag_text(x[c]["tag"]), F.lit("): expected at least 6 bytes, found "), x[c]["size"].cast("string"), F.lit(" bytes."))
+        checks.append((x[c]["size"] < 6, error(FORMAT, short)))
+        checks.append((~x[c]["d"]["bits"].isin(8, 16), error(FORMAT, F.concat(F.lit("Invalid Palette Color LUT bitsPerEntry: "), x[c]["d"]["bits"].cast("string"), F.lit(". Must be 8 or 16.")))))
+    d = x["Red"]["d"]
+    checks.append(((d != x["Green"]["d"]) | (d != x["Blue"]["d"]), error(FORMAT, "Inconsistent Palette Color LUT descriptors across red, green and blue.")))
     need = d["n"] * F.floor(d["bits"] / 8)
     for c in CHANNELS:
-        have = F.octet_length(tables[c]["value_bytes"])
+        have = F.octet_length(x[c]["bytes"])
         checks.append((have < need, error(FORMAT, F.concat(F.lit(f"Truncated {c} Palette Color LUT data: expected at least "), need.cast("string"), F.lit(" bytes, found "), have.cast("string"), F.lit(".")))))
     failed = first_error(*[(F.coalesce(cond, F.lit(False)), e) for cond, e in checks])
-    table = F.struct(d["n"].alias("n"), d["first"].alias("first"), d["bits"].alias("bits"), *(entries(tables[c], d).alias(c[0].lower()) for c in CHANNELS))
-    return F.when(failed.isNull(), table), failed
+    channel = lambda c: entries(F.struct(x[c]["bytes"].alias("bytes"), x[c]["little"].alias("little"), d["n"].alias("n"), d["bits"].alias("bits")))
+    return bound(failed, lambda e: F.struct(F.when(e.isNull(), F.struct(d["n"].alias("n"), d["first"].alias("first"), d["bits"].alias("bits"), *(channel(c).alias(c[0].lower()) for c in CHANNELS))).alias("table"), e.alias("error")))

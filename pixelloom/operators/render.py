@@ -120,9 +120,9 @@ def frames_of(parsed: DataFrame, index: Column | None = None, image: bool = Fals
     """Frames of parsed files with all that rendering needs; pass `index` to cut no other frame, `image` for the checks of images."""
     rows = with_dataset(parsed)
     found = getters()
-    table, failed = palette("dataset")
     coloured = D.photometric(found["photometric_interpretation"]) == "paletteColor"
-    rows = rows.select("file_id", *(found[n].alias(n) for n in dict.fromkeys([*NEEDS, *INFO])), F.when(coloured, table).alias("palette"), F.when(coloured, failed).alias("palette_error"), "error")
+    rows = rows.select("file_id", *(found[n].alias(n) for n in dict.fromkeys([*NEEDS, *INFO])), F.when(coloured, palette("dataset")).alias("_palette"), "error")
+    rows = rows.select("*", F.col("_palette.table").alias("palette"), F.col("_palette.error").alias("palette_error")).drop("_palette")
     return extract(rows, index, image)
 
 

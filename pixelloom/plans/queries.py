@@ -724,8 +724,8 @@ def palette_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         return writer.part10({"Rows": 1, "Columns": 4, "BitsAllocated": 8, "PhotometricInterpretation": "PALETTE COLOR"} | {k: x for k, x in held.items() if k != gone}, pixel_data=bytes(4))
 
     rows = dataset.with_dataset(dicom.parse_files(writer.write_instances(table(spark, sf_dir, "embeddings").select("vec_id"), build, "vec_id")))
-    found, failed = palette.palette("dataset")
-    return rows.select("file_id", failed["kind"].alias("kind"), failed["message"].alias("message"), found["n"].alias("n"))
+    found = rows.select("file_id", palette.palette("dataset").alias("p"))
+    return found.select("file_id", "p.error.kind", "p.error.message", "p.table.n")
 
 
 @query(
