@@ -44,6 +44,7 @@ HIDDEN, SIDE = 32, 2
 TABLE = 1 << 18  # words in the broadcast table
 FINE = 4096  # word counts up to here are told apart when the commonest words are chosen
 SLICE = 1 << 22  # bytes of text handled at once
+HELD = 1 << 20  # distinct words of slices that a task holds before it adds them up
 SEGMENT = 1 << 15  # words
 BLOCK, ROWS = 4096, 32  # words in a product of the first level, and of the second
 UNIT = 1 << 16  # steps of a log chance
@@ -78,18 +79,43 @@ def keys_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """key, tail, shape and n of every word over all documents."""
+    """key, tail, shape and n of every word over all documents; tasks add up what they have seen before they pass it on."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            key, look, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key, kind="stable")
+            begin = np.flatnonzero(np.diff(key[order], prepend=~key[order[0]]))
+            return key[order[begin]], look[order[begin]], np.add.reduceat(n[order], begin)
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["key", "look", "n"])
+
+        size = 0
         for batch in batches:
             _, offsets = C.text_bytes(batch.column(0))
             for i, j in C.slices(offsets, SLICE):
                 words, _ = C.words_of(batch.column(0).slice(i, j - i))
-                n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*keys_of(words.dictionary), n)], names=["key", "tail", "shape", "n"])
-
-    rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, "key long, tail long, shape long, n long")
-    return rows.groupBy("key").agg(F.max("tail").alias("tail"), F.max("shape").alias("shape"), F.sum("n").alias("n"))
+                if not len(words):
+                    continue
+                key, tail, shape = keys_of(words.dictionary)
+                held.append((key, shape << 56 | tail, np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))))
+                size += len(key)
+                if size > HELD:
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield passed()
+                        size = 0
+        if held:
+            held[:] = [merged()]
+            yield passed()
+
+    rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(count, "key long, look long, n long")
+    counts = rows.groupBy("key").agg(F.max("look").alias("look"), F.sum("n").alias("n"))
+    return counts.select("key", F.col("look").bitwiseAND(F.lit((1 << 56) - 1)).alias("tail"), F.shiftright("look", 56).alias("shape"), "n")
 
 
 @dataclass

@@ -36,11 +36,15 @@ def keys(words):
 
 def test_counts_cover_all_documents(docs, monkeypatch):
     monkeypatch.setattr(masked_lm, "SLICE", 100)
-    rows = [*((i, t) for i, t in enumerate(grammar(50, 1))), *AWKWARD]
+    monkeypatch.setattr(masked_lm, "HELD", 7)
+    rows = [*((i, t) for i, t in enumerate(grammar(50, 1) + rare(3, 6))), *AWKWARD]
     want = Counter(w for _, t in rows for w in ascii_words(t))
     of = keys(list(want))
-    got = {r["key"]: r["n"] for r in masked_lm.count_words(docs(rows)).collect()}
-    assert got == {of[w][0]: n for w, n in want.items()} and len(got) == len(want)
+    counts = masked_lm.count_words(docs(rows)).collect()
+    got = {r["key"]: (r["n"], r["shape"]) for r in counts}
+    assert got == {of[w][0]: (n, of[w][1]) for w, n in want.items()} and len(got) == len(want)
+    tails = {of[w][0]: int.from_bytes(w.encode()[::-1][:7].ljust(7, b"\0"), "big") for w in want}
+    assert {r["key"]: r["tail"] for r in counts} == tails
 
 
 def test_keys_differ():
