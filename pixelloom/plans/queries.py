@@ -616,7 +616,7 @@ MISSING = dict.fromkeys(("study_date", "study_description", "series_description"
 @query(
     "SELECT CAST(vec_id AS VARCHAR) AS file_id, "
     + ", ".join(f"CASE WHEN (vec_id + {i}) % 3 > 0 THEN '{i}.' || vec_id {MISSING.get(k, '')} END AS {k}" for i, k in enumerate(GETTERS))
-    + """, CASE WHEN vec_id % 2 = 0 THEN CAST(label AS DOUBLE) + 0.5::DOUBLE END AS slice_thickness, CASE WHEN vec_id % 2 = 1 THEN label - 5 END AS pixel_padding_value, CASE WHEN vec_id % 4 = 1 THEN label - 9 END AS pixel_padding_range_limit,
+    + """, CASE WHEN vec_id % 2 = 0 THEN CAST(label AS DOUBLE) + 0.5::DOUBLE END AS slice_thickness, CAST(CASE WHEN vec_id % 2 = 1 THEN label - 5 END AS BIGINT) AS pixel_padding_value, CAST(CASE WHEN vec_id % 4 = 1 THEN label - 9 END AS BIGINT) AS pixel_padding_range_limit,
     vec_id % 4 <> 2 AS is_little_endian, CASE WHEN vec_id % 3 = 0 THEN NULL ELSE CAST(label AS DOUBLE) END AS first_center, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 2 END AS centers FROM embeddings"""
 )
 def other_getters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -661,7 +661,7 @@ def parsed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT CAST(vec_id AS VARCHAR) AS file_id, 'P' || (vec_id + 10000000) AS patient_id, CASE vec_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 4 THEN 2 ELSE 3 END AS n_elements,
-    CASE vec_id % 5 WHEN 1 THEN 100 WHEN 2 THEN 8 + 10 + 8 WHEN 3 THEN 0 END AS value_length, CASE vec_id % 5 WHEN 1 THEN 4 WHEN 2 THEN 8 + 10 + 8 WHEN 3 THEN 0 END AS n_bytes FROM embeddings"""
+    CAST(CASE vec_id % 5 WHEN 1 THEN 100 WHEN 2 THEN 8 + 10 + 8 WHEN 3 THEN 0 END AS BIGINT) AS value_length, CASE vec_id % 5 WHEN 1 THEN 4 WHEN 2 THEN 8 + 10 + 8 WHEN 3 THEN 0 END AS n_bytes FROM embeddings"""
 )
 def broken_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A header cut short, a value cut short, a sequence of undefined length, another element of undefined length, a whole file."""
