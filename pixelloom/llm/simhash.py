@@ -15,6 +15,10 @@ back a spanning forest of its links rather than all pairs. Buckets with over `bu
 fingerprints are dealt into tiles of two shares, one that asks and one that is looked up, so a task holds two shares of
 `bucket_rows` at most. Components come from rounds of large-star and small-star over the links, cut by written tables.
 
+Wider distances have more segments (one more than differing bits), so some chain still starts with an equal segment and
+the first two differ in at most one bit. `one_of_each` searches eight fingerprints of a text's shingle set so, at seven
+bits, confirms what is found by the sets' exact similarity, and takes up the pairs that no fingerprint reaches by bands.
+
 Defined cases: null text counts as empty; a text without words has fingerprint zero, which links
 like any other. Rows with a null id link others as any row does, but take no part in the smallest id; a group of only such
 rows has a null component. Repeated rows give repeated result rows; equal fingerprints are one in the search. Very long
@@ -36,9 +40,8 @@ from pixelloom.llm import _common as C
 
 SEED = 42
 DISTANCE = 4
-#: Segment ends around the ring of 64 bits.
-CUTS = (0, 13, 26, 39, 52, 64)
-SEGMENTS = len(CUTS) - 1
+#: Segments of the ring of 64 bits; wider distances have more.
+SEGMENTS = 5
 PAIR_BLOCK = 1 << 19
 BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -56,8 +59,21 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(whole[a:b], SEED) for a, b in zip(first, ends[size - 1 :].tolist())]
 
 
+def majority(hashes: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The fingerprint of each run of `counts` hashes; bits are counted through a histogram of hash bytes."""
+    n = len(counts)
+    h = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    row = np.repeat(np.arange(n), counts)
+    total = np.array(counts)
+    bits = np.zeros((n, 64), np.uint8)
+    for b in range(8):
+        seen = np.bincount(row * 256 + h[:, b], minlength=n * 256).reshape(n, 256)
+        bits[:, 8 * b : 8 * b + 8] = (seen @ BITS_OF) * 2 > total[:, None]
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def fingerprints_of(texts: list[bytes], size: int = 4) -> np.ndarray:
-    """Unsigned 64-bit fingerprints; bits are counted through a histogram of hash bytes."""
+    """Unsigned 64-bit fingerprints."""
     out = np.zeros(len(texts), np.uint64)
     i = 0
     while i < len(texts):
@@ -67,14 +83,7 @@ def fingerprints_of(texts: list[bytes], size: int = 4) -> np.ndarray:
             hashes += got
             counts.append(len(got))
             j += 1
-        h = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
-        row = np.repeat(np.arange(j - i), counts)
-        total = np.array(counts)
-        bits = np.zeros((j - i, 64), np.uint8)
-        for b in range(8):
-            seen = np.bincount(row * 256 + h[:, b], minlength=(j - i) * 256).reshape(j - i, 256)
-            bits[:, 8 * b : 8 * b + 8] = (seen @ BITS_OF) * 2 > total[:, None]
-        out[i:j] = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+        out[i:j] = majority(np.array(hashes, np.uint64), counts)
         i = j
     return out
 
@@ -90,16 +99,25 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
     return C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(mark, "doc_id long, fp long")
 
 
-def _segment(fp: np.ndarray, i: int) -> np.ndarray:
-    a, b = CUTS[i % SEGMENTS], CUTS[i % SEGMENTS + 1]
+def cuts_of(distance: int) -> list[int]:
+    """Segment ends around the ring: more segments than differing bits, so that some chain starts with an equal one, of 13 bits at most."""
+    n = max(SEGMENTS, distance + 1)
+    return [-(-64 * i // n) for i in range(n + 1)]
+
+
+def _segment(fp: np.ndarray, i: int, distance: int = DISTANCE) -> np.ndarray:
+    cuts = cuts_of(distance)
+    i %= len(cuts) - 1
+    a, b = cuts[i], cuts[i + 1]
     return (fp >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)
 
 
-def _mask(start: int, n: int) -> np.uint64:
+def _mask(start: int, n: int, distance: int = DISTANCE) -> np.uint64:
     """The bits of n consecutive segments of the ring."""
+    cuts = cuts_of(distance)
     m = 0
     for i in range(start, start + n):
-        a, b = CUTS[i % SEGMENTS], CUTS[i % SEGMENTS + 1]
+        a, b = cuts[i % (len(cuts) - 1)], cuts[i % (len(cuts) - 1) + 1]
         m |= ((1 << (b - a)) - 1) << a
     return np.uint64(m)
 
@@ -110,14 +128,14 @@ def ring_links(start: int, fp: np.ndarray, group: np.ndarray, asks: np.ndarray,
     At most PAIR_BLOCK candidates are held at once. Only rows with `asks` look others up.
     """
     others = (np.bincount(group, ~asks) > 0)[group] if len(group) else asks  # rows whose group holds some that don't ask
-    second = _segment(fp, start + 1)
-    width = CUTS[(start + 1) % SEGMENTS + 1] - CUTS[(start + 1) % SEGMENTS]
+    segments = len(cuts_of(distance)) - 1
+    second = _segment(fp, start + 1, distance)
+    width = int(_mask(start + 1, 1, distance)).bit_count()
     place = group.astype(np.uint64) << np.uint64(13) | second
     order = np.argsort(place, kind="stable")
     place, fps, asking = place[order], fp[order], np.nonzero(asks[order])[0]
-    share = distance / SEGMENTS
-    flips = [0] + [1 << b for b in range(width)] if 2 * share >= 1 else [0]
-    prefixes = [(_mask(start, n), int(n * share)) for n in (3, 4)]
+    flips = [0] + [1 << b for b in range(width)] if 2 * distance >= segments else [0]
+    prefixes = [(_mask(start, n, distance), n * distance // segments) for n in range(3, segments)]
     for flip in flips:
         target = place[asking] ^ np.uint64(flip)
         lo, hi = np.searchsorted(place, target, "left"), np.searchsorted(place, target, "right")
@@ -178,16 +196,19 @@ def _forest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(bucket: np.ndarray, block: np.ndarray, fp: np.ndarray, node: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        forest = Forest(len(fp))
+        root = np.arange(len(fp))
         start = bucket >> 13
         group = np.concatenate([[0], np.cumsum((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))])
         for s in np.unique(start):
             own = np.nonzero(start == s)[0]
-            for a, b in ring_links(int(s), fp[own], group[own], asks[own], distance):
-                forest.join(own[a], own[b])
-        child = np.nonzero(forest.root != np.arange(len(fp)))[0]
+            own = own[np.argsort(node[own], kind="stable")]  # roots are smallest nodes, so that buckets give the same links
+            forest = Forest(len(own))
+            for a, b in ring_links(int(s) % (len(cuts_of(distance)) - 1), fp[own], group[own], asks[own], distance):
+                forest.join(a, b)
+            root[own] = own[forest.root]
+        child = np.nonzero(root != np.arange(len(fp)))[0]
         if len(child):
-            a, b = node[forest.root[child]], node[child]
+            a, b = node[root[child]], node[child]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
     held: list[tuple[np.ndarray, ...]] = []
@@ -214,10 +235,16 @@ def _forest(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Rec
 
 
 def near_links(nodes: DataFrame, distance: int = DISTANCE, bucket_rows: int = 1 << 20) -> DataFrame:
-    """Links (a, b), a < b, that connect what lies within `distance` bits. nodes: node and its distinct fp."""
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", CUTS[i]).bitwiseAND(F.lit((1 << (CUTS[i + 1] - CUTS[i])) - 1)).alias("s")) for i in range(SEGMENTS)])
+    """Links (a, b), a < b, that connect what lies within `distance` bits. nodes: node and its distinct fp.
+
+    With a column k, nodes have several fingerprints, each searched among those of the same k, where it is distinct.
+    """
+    cuts = cuts_of(distance)
+    n = len(cuts) - 1
+    k = F.col("k") if "k" in nodes.columns else F.lit(0)
+    parts = F.array(*[F.struct((k * n + i).alias("i"), F.shiftrightunsigned("fp", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("s")) for i in range(n)])
     dealt = nodes.select("node", "fp", F.explode(parts).alias("p")).select("node", "fp", (F.col("p.i") * F.lit(1 << 13) + F.col("p.s")).alias("bucket"))
-    # At most 5 * 8,192 buckets exist, so the list of large ones has a bound at any size.
+    # At most 8,192 buckets of each segment exist, so the list of large ones has a bound at any size.
     large = F.broadcast(dealt.groupBy("bucket").count().where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).alias("blocks")))
     dealt = dealt.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("turn", F.pmod(F.xxhash64("fp"), F.col("blocks")))
@@ -267,7 +294,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE, id
     return marks.join(rooted.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bands of the looser search and hashes in a band. Texts of similarity s share a band with chance 1 - (1 - s^4)^32: all but 5 in 10^8 at 0.8.
+#: Fingerprints of the looser search and bits in which they may differ. Texts of similarity s are found with chance 0.87 at 0.8, 0.98 at 0.85, 0.9998 at 0.9.
+PRINTS, WIDE = 8, 7
+STIR = np.random.default_rng(8).integers(0, 1 << 63, PRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bands of what the fingerprints leave and hashes in a band. Texts of similarity s share a band with chance 1 - (1 - s^4)^32: all but 5 in 10^8 at 0.8.
 BANDS, ROWS = 32, 4
 SPREAD = np.random.default_rng(9).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -276,6 +306,27 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), np.uint64))
 
 
+def prints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """PRINTS fingerprints of each shingle set: that of the hashes themselves and of their hashes stirred."""
+    out = np.zeros((len(sets), PRINTS), np.uint64)
+    i = 0
+    while i < len(sets):
+        counts = [len(sets[i])]
+        while i + len(counts) < len(sets) and len(counts) < 256 and sum(counts) < 1 << 18:
+            counts.append(len(sets[i + len(counts)]))
+        j = i + len(counts)
+        hashes = np.concatenate(sets[i:j])
+        for k, by in enumerate(STIR):
+            h = hashes
+            if k:
+                h = h * by
+                h = (h ^ h >> np.uint64(32)) * STIR[0]
+                h ^= h >> np.uint64(29)
+            out[i:j, k] = majority(h, counts)
+        i = j
+    return out
+
+
 def bands_of(hashes: np.ndarray) -> np.ndarray:
     """A key for each band: its number and its smallest spread hashes mixed. Texts without words share all their keys."""
     low = np.full(len(SPREAD), 0, np.uint64)
@@ -285,26 +336,31 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (the text's hash) and band keys for every row."""
+    """doc_id, node (the text's hash), fingerprints and band keys for every row."""
+
+    def lists(values: np.ndarray, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) // n + 1, dtype=np.int32) * n), pa.array(values))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(2).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
-            keys = np.concatenate([np.zeros(0, np.int64), *(bands_of(shingle_set(t, size)) for t in texts)])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "node", "bands"])
+            sets = [shingle_set(t, size) for t in texts]
+            prints = prints_of(sets).view(np.int64).ravel()
+            keys = np.concatenate([np.zeros(0, np.int64), *(bands_of(x) for x in sets)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists(prints, PRINTS), lists(keys, BANDS)], names=["doc_id", "node", "prints", "bands"])
 
-    return _with_node(docs, id_col, text_col).mapInArrow(mark, "doc_id long, node long, bands array<long>")
+    return _with_node(docs, id_col, text_col).mapInArrow(mark, "doc_id long, node long, prints array<long>, bands array<long>")
 
 
 def _with_node(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return C.id_and_text(docs, id_col, text_col).select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
 
 
-def similar_forest(texts: list[bytes], asks: list[bool], size: int, similarity: float) -> list[int]:
-    """Roots of a cluster's texts over pairs that share a band, hold one that asks, and whose shingle sets overlap by `similarity` at least.
+def similar_forest(texts: list[bytes], asks: list[bool], prints: np.ndarray, size: int, similarity: float) -> list[int]:
+    """Roots of a cluster's texts over pairs that hold one that asks and whose shingle sets overlap by `similarity` at least.
 
-    A pair is compared once, and not at all when other pairs have joined it.
+    Pairs with a fingerprint within WIDE bits come first, then those of the rest that share a band. A pair is compared
+    once, and not at all when other pairs have joined it.
     """
     sets = [shingle_set(t, size) for t in texts]
     keys = np.array([bands_of(s) for s in sets])
@@ -326,6 +382,12 @@ def similar_forest(texts: list[bytes], asks: list[bool], size: int, similarity:
         apart[place[a], b] = common < similarity * (x + y - common) - 1e-9
         return not apart[place[a], b]
 
+    asking = np.array(asks)
+    for a in range(len(texts) - 1):
+        near = (np.bitwise_count(prints[a + 1 :] ^ prints[a]) <= WIDE).any(axis=1)
+        for b in (np.nonzero(near & (forest.root[a + 1 :] != forest.root[a]) & (asking[a + 1 :] | asking[a]))[0] + a + 1).tolist():
+            if forest.root[a] != forest.root[b] and alike(a, b):
+                forest.join(np.array([a]), np.array([b]))
     for band in keys.T:
         order = np.argsort(band, kind="stable")
         for group in np.split(order, np.nonzero(np.diff(band[order]))[0] + 1):
@@ -349,48 +411,53 @@ def similar_forest(texts: list[bytes], asks: list[bool], size: int, similarity:
 def _confirmed(batches: Iterator[pa.RecordBatch], size: int, similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of whole clusters; a cluster's rows arrive together, sorted by cluster and block."""
 
-    def links(held: dict[int, tuple[bytes, bool]]) -> Iterator[pa.RecordBatch]:
+    def links(held: dict[int, tuple[bytes, bool, list[int]]]) -> Iterator[pa.RecordBatch]:
         nodes = list(held)
-        roots = similar_forest([t for t, _ in held.values()], [a for _, a in held.values()], size, similarity)
+        texts, asks, prints = (list(x) for x in zip(*held.values()))
+        roots = similar_forest(texts, asks, np.array(prints, np.int64).view(np.uint64), size, similarity)
         pairs = [sorted((nodes[r], nodes[i])) for i, r in enumerate(roots) if r != i]
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs)], names=["a", "b"])
 
-    held: dict[int, tuple[bytes, bool]] = {}
+    held: dict[int, tuple[bytes, bool, list[int]]] = {}
     now = None
     for batch in batches:
         texts = batch.column(3).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-        for cluster, block, node, text, asks in zip(*(batch.column(i).to_pylist() for i in range(3)), texts, batch.column(4).to_pylist()):
+        for cluster, block, node, text, asks, prints in zip(*(batch.column(i).to_pylist() for i in range(3)), texts, batch.column(4).to_pylist(), batch.column(5).to_pylist()):
             if now != (cluster, block):
                 if held:
                     yield from links(held)
                 now, held = (cluster, block), {}
-            held[node] = (text or b"", asks)
+            held[node] = (text or b"", asks, prints)
     if held:
         yield from links(held)
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", cluster_rows: int = 1024) -> DataFrame:
-    """Links (a, b), a < b, that connect the texts whose shingle sets overlap by `similarity`. nodes: node, least (its smallest doc_id) and bands.
+    """Links (a, b), a < b, that connect the texts whose shingle sets overlap by `similarity`. nodes: node, least (its smallest doc_id), prints and bands.
 
-    A cluster of over `cluster_rows` texts is dealt into shares of about so many, and a task compares one share with another:
+    Candidates have a fingerprint within WIDE bits, found by pigeonring chains, or share a band. A cluster of over `cluster_rows` texts is dealt into shares of about so many, and a task compares one share with another:
     two shares of texts at most are in one task, however large the cluster is.
     """
-    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
+    found = C.stored(nodes.select("node", F.posexplode("prints").alias("k", "fp")).groupBy("k", "fp").agg(F.min("node").alias("node")), "prints")
+    # Equal fingerprints are one in the search; the texts that have one are joined like those of a band.
+    equal = F.transform("prints", lambda fp, k: F.xxhash64(fp, k))
+    dealt = nodes.select("node", F.explode(F.concat("bands", equal)).alias("bucket"))
     low = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "low")
     # All that shares a bucket comes into one cluster, so that each text travels to its cluster once.
-    loose = components(dealt.join(low, "bucket").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b")), "loose")
+    banded = dealt.join(low, "bucket").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    loose = components(near_links(found, WIDE).union(banded), "loose")
     members = loose.union(loose.select(F.col("root").alias("node"), "root").distinct())
     # Tile (i, j), i <= j, asks with share i among the texts of share j.
     blocks = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / cluster_rows).alias("blocks"))
-    members = members.join(nodes.select("node", "least"), "node").join(blocks, "root").select(F.col("node").alias("_node"), "root", "blocks", "least")
+    members = members.join(nodes.select("node", "least", "prints"), "node").join(blocks, "root").select(F.col("node").alias("_node"), "root", "blocks", "least", "prints")
     texts = _with_node(docs, id_col, text_col)
     texts = texts.join(members.hint("merge"), (texts["node"] == members["_node"]) & texts["doc_id"].eqNullSafe(members["least"]))
     texts = texts.withColumn("turn", F.pmod("node", "blocks"))
     shares = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     asking = F.transform(F.filter(shares, lambda j: j >= F.col("turn")), lambda j: F.struct((F.col("turn") * F.col("blocks") + j).alias("block"), F.lit(True).alias("asks")))
     asked = F.transform(F.filter(shares, lambda i: i < F.col("turn")), lambda i: F.struct((i * F.col("blocks") + F.col("turn")).alias("block"), F.lit(False).alias("asks")))
-    texts = texts.select("root", "node", "text", F.inline(F.concat(asking, asked))).select("root", "block", "node", "text", "asks")
+    texts = texts.select("root", "node", "text", "prints", F.inline(F.concat(asking, asked))).select("root", "block", "node", "text", "asks", "prints")
     texts = texts.repartition("root", "block").sortWithinPartitions("root", "block")
     return texts.mapInArrow(lambda batches: _confirmed(batches, size, similarity), "a long, b long")
 
@@ -403,7 +470,7 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     with an id keeps exactly one row that has an id. Rows with a null id stay, and link others.
     """
     marks = C.stored(sketches(docs, size, id_col, text_col), "sketches")
-    nodes = C.stored(marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "texts")
+    nodes = C.stored(marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints"), F.first("bands").alias("bands")), "texts")
     roots = components(similar_links(docs, nodes, size, similarity, id_col, text_col))
     named = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = C.stored(named, "groups")

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pixelloom.llm import simhash
 from pixelloom.llm.queries import op6_simhash
@@ -211,3 +212,48 @@ def test_tiles_of_large_buckets_find_every_link(spark):
 
     whole = groups(1 << 20)
     assert groups(3) == whole and groups(10) == whole and 12 <= len(set(whole.values())) < len(fps)
+
+
+def test_wider_pigeonring_loses_no_link():
+    rng = random.Random(8)
+    fp = np.array(sorted({x for _ in range(60) for x in flips(rng.getrandbits(64), 6, 7, rng)}), np.uint64)
+    for distance in (2, 6, 7, 8, 11):
+        got = set()
+        for start in range(len(simhash.cuts_of(distance)) - 1):
+            group = np.unique(simhash._segment(fp, start, distance), return_inverse=True)[1]
+            for a, b in simhash.ring_links(start, fp, group, np.ones(len(fp), bool), distance):
+                got |= set(zip(a.tolist(), b.tolist()))
+        assert got == {(a, b) for a in range(len(fp)) for b in range(a + 1, len(fp)) if (int(fp[a]) ^ int(fp[b])).bit_count() <= distance}
+
+
+@pytest.mark.parametrize("bucket_rows", [20, 1 << 20])
+def test_wider_links_connect_the_same_components(spark, bucket_rows):
+    """Several fingerprints of a node, each searched among its own kind."""
+    rng = random.Random(9)
+    prints = [sorted({x for _ in range(12) for x in flips(rng.getrandbits(64), 6, 6, rng)}) for _ in range(2)]
+    rows = [(100 * k + i, k, x - (1 << 64) if x >> 63 else x) for k in (0, 1) for i, x in enumerate(prints[k])]
+    links = simhash.near_links(spark.createDataFrame(rows, "node long, k int, fp long"), 7, bucket_rows)
+    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    for k in (0, 1):
+        assert [roots.get(100 * k + i, 100 * k + i) - 100 * k for i in range(len(prints[k]))] == brute_roots(prints[k], 7)
+
+
+def test_fingerprints_of_shingle_sets():
+    texts = ["a b c d e f a b c d e f", "x", "", " ".join(f"w{i}" for i in range(300))]
+    prints = simhash.prints_of([simhash.shingle_set(t.encode(), 5) for t in texts])
+    assert prints.shape == (4, simhash.PRINTS) and prints[1, 0] == brute_fp("x", 5) and prints[3, 0] == brute_fp(texts[3], 5) and not prints[2].any()
+    assert len(set(prints[3].tolist())) == simhash.PRINTS
+
+
+def test_near_copies_are_found_by_fingerprints(docs):
+    """The stage's candidates come from the SimHash search, also where no band is shared."""
+    rng = random.Random(10)
+    rows = []
+    for k in range(30):
+        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(400))
+        rows += [(2 * k, base), (2 * k + 1, replaced(base, 3, "e", rng))]
+    marks = simhash.sketches(docs(rows), 5, "doc_id", "text").withColumn("bands", F.array("doc_id"))
+    ids = {r["node"]: r["doc_id"] for r in marks.collect()}
+    links = simhash.similar_links(docs(rows), marks.withColumnRenamed("doc_id", "least")).collect()
+    assert sorted(sorted((ids[r["a"]], ids[r["b"]])) for r in links) == [[2 * k, 2 * k + 1] for k in range(30)]
+    assert all(jaccard(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.9 for k in range(30))
