@@ -59,6 +59,17 @@ def looks_compressed(data: Column, uid: Column) -> Column:
     return h.startswith("FF4F") | (h == "0000000C") | h.startswith("FFD8") | is_encapsulated(uid)
 
 
+def is_stream(data: Column, size: Column, frames: Column, wrapped: Column, uid: Column) -> Column:
+    """Whether an instance's pixel bytes are a compressed stream; by first bytes only where they can't be its samples.
+
+    Samples can begin as a stream does, so bytes of a defined length that is just that of all frames (one byte of padding
+    more, where it is odd) are samples.
+    """
+    whole = size * F.greatest(frames, F.lit(1))
+    native = ~wrapped & ((F.octet_length(data) == whole) | (F.octet_length(data) == whole + whole % 2))
+    return is_encapsulated(uid) | (~F.coalesce(native, F.lit(False)) & looks_compressed(data, uid))
+
+
 def range_error(index: Column, frames: Column) -> Column:
     message = F.concat(F.lit("Invalid frameIndex "), index.cast("string"), F.lit(" (total frames: "), frames.cast("string"), F.lit(")."))
     return F.when((index < 0) | ((frames > 0) & (index >= frames)), error(RANGE, message))
@@ -94,16 +105,17 @@ def _instance() -> Column:
     table = offset_table_error(wrapped["bot_offsets"], F.transform(fragments, lambda f: f["relative_tag_start"]), frames)
     explicit = error(FORMAT, "Invalid RLE DICOM data: Pixel Data (7FE0,0010) is explicit length. RLE Lossless requires encapsulated undefined length data per DICOM PS3.5.")
     rle = uid == RLE
+    size = frame_bytes(*(F.col(c) for c in ("rows", "columns", "samples_per_pixel", "bits_allocated")))
     return F.struct(
         rle.alias("rle"),
         frames.alias("frames"),
         fragments.alias("fragments"),
         data.alias("data"),
-        frame_bytes(*(F.col(c) for c in ("rows", "columns", "samples_per_pixel", "bits_allocated"))).alias("size"),
+        size.alias("size"),
         first_error((F.col("error").isNotNull(), F.col("error")), (missing.isNotNull(), missing)).alias("own"),
         F.when(rle & wrapped.isNull(), explicit).alias("explicit"),
         F.when(rle, first_error((table.isNotNull(), table), ((frames != 1) & (F.size(fragments) != frames), error(FORMAT, count)))).alias("cut"),
-        F.when(~rle & looks_compressed(data, uid), error(UNSUPPORTED, message)).alias("unsupported"),
+        F.when(~rle & is_stream(data, size, frames, wrapped.isNotNull(), uid), error(UNSUPPORTED, message)).alias("unsupported"),
     )
 
 

@@ -139,6 +139,19 @@ def test_images_look_at_compression_before_the_frame_number(spark):
     assert kinds(render.render(render.frames_of(rows, F.lit(5))).collect()) == ["RangeError"]
 
 
+STARTS = (b"\xff\xd8\xff\xe0", b"\xff\x4f\xff\x51", b"\0\0\0\x0c")
+
+
+def test_samples_that_begin_as_a_stream_does(spark):
+    gray = {"Rows": 1, "Columns": 2, "BitsStored": 12, "PixelRepresentation": 1}
+    big = shown(spark, *(part10(gray, D.EXPLICIT_BE, pixel_data=s) for s in STARTS))
+    frames_ = shown(spark, *(part10({"Rows": 1, "Columns": 3, "BitsAllocated": 8, "NumberOfFrames": "3"}, pixel_data=s + bytes(5)) for s in STARTS))
+    assert kinds(big) == [None] * 3 and kinds(frames_) == [None] * 9
+    longer = shown(spark, *(part10({"Rows": 1, "Columns": 2, "BitsAllocated": 8}, pixel_data=s + bytes(4)) for s in STARTS))
+    wrapped = shown(spark, *(part10(gray, wrapped=encapsulated([s])) for s in STARTS))
+    assert kinds(longer) == kinds(wrapped) == ["UnsupportedError"] * 3
+
+
 def test_many_frames_and_wide_palettes_take_linear_time(spark):
     n, part = 2000, rle.encode_frame(bytes(range(16)))
     offsets = [i * (len(part) + 8) for i in range(n)]
