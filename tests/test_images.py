@@ -227,6 +227,12 @@ def test_palette_colours(spark):
     assert [p[0] for p in rgba(c)] == [16, 128, 255, 128]
 
 
+def test_palette_frames_that_begin_as_a_stream_does(spark):
+    got = shown(spark, *(palette((100, 50, 8), (bytes(range(100)),) * 3, stored=s, Columns=len(s)) for s in STARTS))
+    assert kinds(got) == [None] * 3
+    assert [[p[0] for p in rgba(r)] for r in got] == [[max(0, min(99, k - 50)) for k in s] for s in STARTS]
+
+
 def test_palette_ladder(spark):
     contents = [
         palette(RedPaletteColorLookupTableData=None, SegmentedRedPaletteColorLookupTableData=b"ab"),
