@@ -62,11 +62,14 @@ def looks_compressed(data: Column, uid: Column) -> Column:
 def is_stream(data: Column, size: Column, frames: Column, wrapped: Column, uid: Column) -> Column:
     """Whether an instance's pixel bytes are a compressed stream; by first bytes only where they can't be its samples.
 
-    Samples can begin as a stream does, so bytes of a defined length that is just that of all frames (one byte of padding
-    more, where it is odd) are samples.
+    Samples can begin as a stream does. So bytes of a defined length that is just that of all frames (one byte of padding
+    more, where it is odd) are samples, and shorter ones too, unless they have a stream's whole signature and its end mark.
     """
-    whole = size * F.greatest(frames, F.lit(1))
-    native = ~wrapped & ((F.octet_length(data) == whole) | (F.octet_length(data) == whole + whole % 2))
+    whole, n = size * F.greatest(frames, F.lit(1)), F.octet_length(data)
+    full = (n == whole) | (n == whole + whole % 2)
+    last = F.hex(F.substring(data, -4, 4))
+    signed = F.hex(F.substring(data, 1, 12)).rlike("^(FFD8FF|FF4FFF51|0000000C6A5020200D0A870A)") & last.rlike("FFD9(00)?$")
+    native = ~wrapped & (full | ((n < whole) & ~signed))
     return is_encapsulated(uid) | (~F.coalesce(native, F.lit(False)) & looks_compressed(data, uid))
 
 

@@ -152,6 +152,15 @@ def test_samples_that_begin_as_a_stream_does(spark):
     assert kinds(longer) == kinds(wrapped) == ["UnsupportedError"] * 3
 
 
+def test_short_samples_that_begin_as_a_stream_does(spark):
+    colour = {"Rows": 2, "Columns": 3, "SamplesPerPixel": 3, "PhotometricInterpretation": "RGB", "BitsAllocated": 8}
+    got = shown(spark, *(part10(colour, pixel_data=s + bytes([1] * 12)) for s in STARTS))
+    assert kinds(got) == [None] * 3
+    assert [[x for p in rgba(r) for x in p[:3]] for r in got] == [[*s, *[1] * 12, *[0] * (6 - len(s))] for s in STARTS]
+    whole = [b"\xff\xd8\xff\xe0ab\xff\xd9", b"\xff\x4f\xff\x51a\xff\xd9", b"\0\0\0\x0cjP  \r\n\x87\na\xff\xd9"]
+    assert kinds(shown(spark, *(part10(colour, pixel_data=s) for s in whole))) == ["UnsupportedError"] * 3
+
+
 def test_many_frames_and_wide_palettes_take_linear_time(spark):
     n, part = 2000, rle.encode_frame(bytes(range(16)))
     offsets = [i * (len(part) + 8) for i in range(n)]
