@@ -21,6 +21,7 @@ from pixelloom.operators import rle
 from pixelloom.operators.dataset import getters, with_dataset
 from pixelloom.operators.frames import NEEDS, extract
 from pixelloom.operators.palette import palette
+from pixelloom.sources import ROWS, RUN
 
 INFO = ["bits_stored", "high_bit", "is_signed", "is_little_endian", "planar_configuration", "photometric_interpretation", "rescale_slope", "rescale_intercept", "window_center", "window_width", "pixel_padding_value", "pixel_padding_range_limit"]
 
@@ -165,16 +166,20 @@ def render(frames: DataFrame, center: float | None = None, width: float | None =
     return frames.select(*used).mapInArrow(run, schema)
 
 
-def _runs(batch: pa.RecordBatch, one: Callable[[dict], tuple], size: Callable[[tuple], int], most: int = 1 << 26) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
-    """Runs of a batch's rows with what `one` makes of each, about `most` bytes of it at a time; so no array outgrows its offsets."""
+def _runs(batch: pa.RecordBatch, one: Callable[[dict], tuple], size: Callable[[tuple], int], most: int = RUN, rows: int = ROWS) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Runs of a batch's rows with what `one` makes of each, about `most` bytes and at most `rows` rows at a time.
+
+    So no array outgrows its offsets, and few rows are Python objects, however many a batch has.
+    """
     payload = pc.binary_length(batch.column(batch.schema.get_field_index("payload"))).fill_null(0).to_numpy(zero_copy_only=False)
     before = np.cumsum(payload, dtype=np.int64) - payload
     begin, got, held = 0, [], 0
-    for part in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(before // (most // 4))) + 1):
+    at = np.arange(batch.num_rows)
+    for part in np.split(at, np.flatnonzero(np.diff(before // (most // 4)) | np.diff(at // rows)) + 1):
         for i, row in zip(part.tolist(), batch.slice(int(part[0]) if len(part) else 0, len(part)).to_pylist()):
             got.append(one(row))
             held += size(got[-1])
-            if held >= most:
+            if held >= most or len(got) == rows:
                 yield batch.slice(begin, len(got)), got
                 begin, got, held = i + 1, [], 0
     if got:

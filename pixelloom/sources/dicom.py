@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.errors import FORMAT, ImageError, error, fail_fast, first_error
-from pixelloom.sources import part10
+from pixelloom.sources import RUN, part10
 
 FRAGMENT = "struct<index: int, relative_tag_start: bigint, payload: binary>"
 ENCAPSULATED = f"struct<bot_offsets: array<bigint>, fragments: array<{FRAGMENT}>>"
@@ -19,7 +19,7 @@ _FRAGMENT = pa.struct([("index", pa.int32()), ("relative_tag_start", pa.int64())
 _ENCAPSULATED = pa.struct([("bot_offsets", pa.list_(pa.int64())), ("fragments", pa.list_(_FRAGMENT))])
 _ELEMENT = pa.struct([("ordinal", pa.int32()), ("tag", pa.int64()), ("vr", pa.string()), ("value_length", pa.int64()), ("value_bytes", pa.binary()), ("is_little_endian", pa.bool_()), ("is_last", pa.bool_()), ("text", pa.string()), ("whole", pa.int64()), ("decimal", pa.float64()), ("decimals", pa.list_(pa.float64())), ("encapsulated", _ENCAPSULATED)])
 _ERROR = pa.struct([("kind", pa.string()), ("message", pa.string())])
-RUN = 1 << 26  # bytes of files parsed before they are handed on
+ELEMENTS = 1 << 13  # elements parsed before they are handed on, as each is far larger as objects than in its file
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -44,7 +44,7 @@ def parse_files(files: DataFrame, tags: Sequence[int] | None = None, pixels: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin, elements, errors, held = 0, [], [], 0
+            begin, elements, errors, held, n = 0, [], [], 0, 0
             for i in range(batch.num_rows):
                 content = batch.column(1)[i].as_py() or b""
                 try:
@@ -54,10 +54,10 @@ def parse_files(files: DataFrame, tags: Sequence[int] | None = None, pixels: boo
                 last = {e.tag: i for i, e in enumerate(found)}
                 elements.append([{**vars(e), **part10.decoded(e), "ordinal": i, "is_last": last[e.tag] == i} for i, e in enumerate(found) if wanted is None or e.tag in wanted])
                 errors.append(failed)
-                held += len(content)
-                if held >= RUN or i == batch.num_rows - 1:  # answered by bytes, so that no array outgrows its offsets
+                held, n = held + len(content), n + len(elements[-1]) + 1
+                if held >= RUN or n >= ELEMENTS or i == batch.num_rows - 1:  # answered by bytes, so that no array outgrows its offsets
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, i + 1 - begin), pa.array(elements, pa.list_(_ELEMENT)), pa.array(errors, _ERROR)], names=["file_id", "elements", "error"])
-                    begin, elements, errors, held = i + 1, [], [], 0
+                    begin, elements, errors, held, n = i + 1, [], [], 0, 0
 
     parsed = files.select(F.col("file_id").cast("string"), "content").mapInArrow(run, PARSED)
     return parsed.withColumn("error", fail_fast(F.col("error"))) if mode == "failfast" else parsed

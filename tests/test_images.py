@@ -11,7 +11,7 @@ from pixelloom.functions import dictionaries as D
 from pixelloom.functions import pixels, values
 from pixelloom.operators import dataset, frames, render, rle, windowing
 from pixelloom.sources import dicom
-from pixelloom.sources.writer import encapsulated, packed_int16, part10
+from pixelloom.sources.writer import encapsulated, packed_int16, part10, write_instances
 
 
 def parsed(spark, *contents, **kw):
@@ -203,6 +203,31 @@ def test_batches_are_answered_by_bytes():
     assert not list(render._runs(batch.slice(0, 0), None, None))
 
 
+class Given:
+    """Stands for a DataFrame; mapInArrow gives back its function."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_few_rows_of_a_batch_are_objects_at_a_time(spark):
+    n = 5000
+    batch = pa.RecordBatch.from_pydict({"k": pa.array(range(n), pa.int64())})
+    files = list(write_instances(Given(), lambda row: part10({"InstanceNumber": row["k"], **GRAY}, pixel_data=bytes(2)), "k")(iter([batch])))
+    assert max(f.num_rows for f in files) <= 512
+    whole = pa.Table.from_batches(files).combine_chunks().to_batches()
+    found = list(dicom.parse_files(Given())(iter(whole)))
+    assert len(whole) == 1 and max(len(f.column(1).flatten()) for f in found) <= 8192 + 8
+    rows = [(i, next(e["whole"] for e in es if e["tag"] == D.TAG["InstanceNumber"])) for f in found for i, es in zip(f.column(0).to_pylist(), f.column(1).to_pylist())]
+    assert rows == [(str(k), k) for k in range(n)]
+    batch = batch.append_column("payload", pa.array([b"ab"] * n, pa.binary()))
+    runs = list(render._runs(batch, lambda f: (f["k"],), lambda g: 2))
+    assert max(len(got) for _, got in runs) <= 512 and [g[0] for _, got in runs for g in got] == [k for part, _ in runs for k in part.column(0).to_pylist()] == list(range(n))
+
+
 def test_text_of_unknown_elements(spark):
     content = part10([(D.TAG["AcquisitionDate"], "UN", b"20200102")], D.IMPLICIT_LE)
     assert dataset.instances(parsed(spark, content)).first()["acquisition_date"] == "20200102"
